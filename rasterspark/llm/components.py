@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by alternating small-star and large-star steps."""
 
 from __future__ import annotations
 
@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     table, seen = Table(edges, "edges"), None
     for _ in range(rounds):
-        new = Table(_star(_star(table.read(), True).distinct(), False).where("u <> v").distinct(), "edges")
+        # the small star goes first: it reads each link once and leaves about one for each node to the large star
+        new = Table(_star(_star(table.read(), False).where("u <> v").distinct(), True).distinct(), "edges")
         table.drop()
         table = new
         state = table.read().agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

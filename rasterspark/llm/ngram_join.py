@@ -29,8 +29,8 @@ NODE = 64
 BLOCK_SETS, BLOCK_BYTES = 1536, 8 << 20
 #: Sketches that agree in so many places tie two sets to one class of candidates, or end a set's path at the pivot.
 #: For a pair at Jaccard 0.8 the agreement has mean 0.8 and deviation 0.05, and by the triangle inequality a set within
-#: 0.8 of one that is within 0.75 of the pivot is itself within 0.55 of the pivot, so it is tied there, or splits on.
-TIE, NEAR = 0.5, 0.75
+#: 0.8 of one that is within 0.6 of the pivot is itself within 0.4 of the pivot, so it is tied there, or splits on.
+TIE, NEAR = 0.4, 0.6
 DEPTH = 6
 _COLUMNS = 4096
 

@@ -48,35 +48,64 @@ def argument_faults(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return joined.select("key", faults.alias("faults"))
 
 
-def levels(calls: DataFrame, rounds: int = 10_000) -> DataFrame:
+def anchors(calls: DataFrame, links: DataFrame) -> DataFrame:
+    """calls: key; links: from, to -> key, anchor, steps, joint: the first call above each (or itself) without exactly one
+    parent, the links up to it, and whether it has several.
+
+    Pointers are doubled: after k rounds a call points 2 ** k links up, so rounds grow with the logarithm of the longest
+    chain. Calls on or below a cycle of single parents never reach an anchor and are left out.
+    """
+    parents = saved(links.groupBy(F.col("to").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("from").alias("up")), "call-parents")
+    kind = lambda n: F.when(n.isNull(), "root").when(n > 1, "joint")
+    tops = calls.join(parents, "key", "left").where("n IS NULL OR n > 1").select("key", F.col("key").alias("anchor"), F.lit(0).cast("long").alias("steps"), kind(F.col("n")).alias("end"))
+    above = parents.select(F.col("key").alias("up"), F.col("n").alias("m"))
+    table = Table(parents.where("n = 1").join(above, "up", "left").select("key", F.col("up").alias("anchor"), F.lit(1).cast("long").alias("steps"), kind(F.col("m")).alias("end")), "call-pointers")
+    for _ in range(table.read().count().bit_length() + 1):
+        ended, moving = table.read().where("end IS NOT NULL"), table.read().where("end IS NULL")
+        if moving.isEmpty():
+            break
+        ahead = table.read().select(F.col("key").alias("anchor"), F.col("anchor").alias("a2"), F.col("steps").alias("s2"), F.col("end").alias("e2"))
+        moved = moving.join(ahead, "anchor").select("key", F.col("a2").alias("anchor"), (F.col("steps") + F.col("s2")).alias("steps"), F.col("e2").alias("end"))
+        new = Table(ended.unionByName(moved), "call-pointers")
+        table.drop()
+        table = new
+    every = tops.unionByName(table.read().where("end IS NOT NULL"))
+    return saved(every.select("key", "anchor", "steps", (F.col("end") == "joint").alias("joint")), "call-anchors")
+
+
+def levels(calls: DataFrame) -> DataFrame:
     """calls: conv_id, call_id, key, parents (call ids of the same conversation) -> key, level.
 
     A call's level is one more than the highest of its parents that exist; calls on a cycle, or below one, get none.
-    Each round places the calls whose parents are all placed, so there are as many rounds as the longest chain.
+    Chains of single parents are cut short first (see anchors). Calls with several parents are then placed round by
+    round, once all their parents' anchors are placed, so there are as many rounds as such calls follow each other.
     """
     links = calls.select("key", "conv_id", F.explode(F.array_distinct("parents")).alias("parent"))
     known = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("parent"), F.col("key").alias("from")).where("parent IS NOT NULL")
     same = F.col("conv_id").eqNullSafe(F.col("c"))
     links = saved(links.alias("l").join(known.alias("k"), same & (F.col("l.parent") == F.col("k.parent"))).select("from", F.col("key").alias("to")), "call-links")
-    waiting = links.groupBy(F.col("to").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    placed = Table(calls.join(waiting, "key", "left_anti").select("key", F.lit(0).alias("level")), "levels-0")
-    everything, newest = [placed], placed
-    for level in range(1, rounds):
-        done = everything[0].read()
-        for table in everything[1:]:
-            done = done.unionByName(table.read())
-        touched = links.join(newest.read().select(F.col("key").alias("from")), "from", "left_semi").select("to").distinct()
-        open_links = links.join(touched, "to").join(done.select(F.col("key").alias("from"), "level"), "from", "left")
-        ready = open_links.groupBy("to").agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("placed")).where("n = placed")
-        newest = Table(ready.select(F.col("to").alias("key"), F.lit(level).alias("level")), f"levels-{level}")
+    found = anchors(calls.select("key"), links)
+    simple = found.where("NOT joint").select("key", F.col("steps").alias("level"))
+    waiting = found.where("joint AND steps = 0").select(F.col("key").alias("to"))
+    if waiting.isEmpty():
+        return simple
+    up = found.select(F.col("key").alias("from"), "anchor", F.when(~F.col("joint"), F.col("steps") + 1).alias("known"), (F.col("steps") + 1).alias("more"))
+    edges = saved(links.join(waiting, "to", "left_semi").join(up, "from", "left").select("to", "anchor", "known", "more"), "joint-links")
+    paths: list[str] = []
+    schema = "anchor long, base long"
+    while True:
+        # one scan of all rounds' files: the plan stays as small in the last round as in the first
+        placed = calls.sparkSession.read.schema(schema).parquet(*paths) if paths else calls.sparkSession.createDataFrame([], schema)
+        ready = edges.join(placed, "anchor", "left").withColumn("level", F.coalesce("known", F.col("base") + F.col("more")))
+        ready = ready.groupBy("to").agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("placed"), F.max("level").alias("base")).where("n = placed")
+        ready = ready.select(F.col("to").alias("anchor"), "base").join(placed.select("anchor"), "anchor", "left_anti")
+        newest = Table(ready, "joint-levels")
         if newest.read().isEmpty():
             newest.drop()
             break
-        everything.append(newest)
-    done = everything[0].read()
-    for table in everything[1:]:
-        done = done.unionByName(table.read())
-    return done
+        paths.append(newest.path)
+    below = found.where("joint").join(placed, "anchor").select("key", (F.col("base") + F.col("steps")).alias("level"))
+    return simple.unionByName(below)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -93,7 +122,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     plain = saved(plain.drop("args"), "calls").withColumn("args", F.try_parse_json(F.col("arguments")))
     found = results.groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
     out = plain.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left").drop("c", "i")
-    out = out.join(argument_faults(plain.select("key", "name", "args"), schemas), "key", "left").join(levels(plain.select("conv_id", "call_id", "key", "parents")), "key", "left")
+    out = out.join(argument_faults(plain.select("key", "name", "args"), schemas), "key", "left").join(levels(plain.select("conv_id", "call_id", "key", "parents")).withColumn("level", F.col("level").cast("int")), "key", "left")
     out = out.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("valid", F.size("faults") == 0)
     # the members' names are in order; the arguments' are put in order by their variant
     message = F.struct(F.col("args").alias("arguments"), F.col("content"), F.col("call_id").alias("id"), F.col("level"), F.col("name"), F.array_sort(F.array_distinct("parents")).alias("parents"))

@@ -142,6 +142,24 @@ def test_tool_calls(spark):
     assert out[0].message == '{"arguments":{"m":"x","n":1},"content":"r1","id":"a","level":0,"name":"t","parents":[]}' and not out[1].linked
 
 
+def test_tool_call_levels_against_plain_python(spark):
+    rng = np.random.default_rng(5)
+    calls = [(1, f"c{k}", [f"c{k - 1}"]) for k in range(70)]  # a long chain
+    for conv in range(2, 14):
+        n = int(rng.integers(2, 30))
+        back = 0 if conv % 3 else 2  # some conversations have cycles
+        calls += [(conv, f"c{k}", [f"c{int(rng.integers(0, k + back))}" for _ in range(int(rng.integers(0, 3)))] if k else []) for k in range(n)]
+    want = {}
+    for _ in calls:
+        for conv, call, parents in calls:
+            ups = [p for p in set(parents) if (conv, p) in {(c, i) for c, i, _ in calls}]
+            if all((conv, p) in want for p in ups):
+                want[conv, call] = max((want[conv, p] + 1 for p in ups), default=0)
+    rows = [(conv, call, k, parents) for k, (conv, call, parents) in enumerate(calls)]
+    out = tool_calls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, key long, parents array<string>"))
+    assert {rows[r.key][:2]: r.level for r in out.collect()} == want
+
+
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a>m</a></nav><div class="cookie-notice">c</div><article><h1>T&eacute;st</h1><p>one<br>two&nbsp; three</p><div class="ad">buy</div><p>four</article><div id="comments"><p>no</p></div><footer>f</footer><p tru'
     assert html_text.main_text(page) == "Tést\n\none two three\n\nfour"

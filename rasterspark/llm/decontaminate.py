@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, id_or_default, read_table, saved, small_batches
+from .common import ascii_lower, broadcast_if_small, id_or_default, read_table, saved, small_batches, spare
 from .words import Piece, pieces
 
 WINDOW, SHINGLE = 13, 3
@@ -148,9 +148,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that contamination() finds clean, all columns kept."""
     bad = contamination(docs, benchmark, **options).where("contaminated")
-    bad = bad.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__doc", id_or_default()).withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(bad, ["__doc", "__hash"], "left_anti").drop("__doc", "__hash").select(*docs.columns)
+    doc, text_hash = spare(docs, "doc", "text_hash")
+    bad = bad.select(id_or_default().alias(doc), F.col("text_hash").alias(text_hash)).distinct()
+    keyed = docs.withColumn(doc, id_or_default()).withColumn(text_hash, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(bad, [doc, text_hash], "left_anti").drop(doc, text_hash)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

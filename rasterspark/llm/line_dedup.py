@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, ascii_lower, broadcast_if_small, drop_path, id_or_default, read_table, scratch
+from .common import Table, ascii_lower, broadcast_if_small, drop_path, id_or_default, read_table, scratch, spare
 
 BLANKS = " \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
@@ -116,13 +116,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     doc_id are one document with the smallest id. No rows give no rows; other columns pass through.
     """
     drops = repeated_lines(docs, min_chars, min_docs, batches, fanout)
-    drops = drops.select(F.col("doc").alias("__doc"), F.col("drops").alias("__drops"))
-    lines, dropped = lines_of(F.col("text")), F.col("__drops")
+    doc, lost, left = spare(docs, "doc", "lost", "left")
+    drops = drops.select(F.col("doc").alias(doc), F.col("drops").alias(lost))
+    lines, dropped = lines_of(F.col("text")), F.col(lost)
     kept = F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(dropped, line_hash(x)))
-    out = docs.withColumn("__doc", id_or_default()).join(drops, "__doc", "left")
-    out = out.withColumn("__kept", F.when(dropped.isNull(), lines).otherwise(kept)).withColumn("n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("__kept")).withColumn("text", F.array_join("__kept", "\n"))
-    return out.drop("__doc", "__drops", "__kept")
+    out = docs.withColumn(doc, id_or_default()).join(drops, doc, "left")
+    out = out.withColumn(left, F.when(dropped.isNull(), lines).otherwise(kept)).withColumn("n_lines", F.size(lines).cast("long"))
+    out = out.withColumn("n_dropped", F.col("n_lines") - F.size(left)).withColumn("text", F.array_join(left, "\n"))
+    return out.drop(doc, lost, left)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, id_or_default, read_table, saved
+from .common import broadcast_if_small, id_or_default, read_table, saved, spare
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, d
 
 def shard_rows(mixed: DataFrame) -> DataFrame:
     """The mix as rows, a row for each copy, dealt by shard and shuffled within it."""
-    rows = mixed.select("*", F.explode("draws").alias("__d")).select("*", F.col("__d.shard").alias("shard"), F.col("__d.order").alias("shard_order")).drop("__d", "draws")
+    rows = mixed.selectExpr("*", "inline(draws) AS (shard, shard_order)").drop("draws")
     return rows.repartitionByRange("shard", "shard_order").sortWithinPartitions("shard", "shard_order")
 
 
@@ -152,10 +152,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, all columns kept, with size, target, copies, taken and draws."""
     plan = mix(docs, **options).where("copies > 0").drop("source", "source_size")
     # rows that share an id and size are alike to the mix
-    plan = plan.withColumn("__doc", id_or_default()).withColumn("__size", F.col("size")).drop("doc_id").dropDuplicates(["__doc", "__size"])
+    doc, words = spare(docs, "doc", "words")
+    plan = plan.withColumn(doc, id_or_default()).withColumn(words, F.col("size")).drop("doc_id").dropDuplicates([doc, words])
     clash = [c for c in docs.columns if c.lower() in ("size", "target", "copies", "taken", "draws")]
-    keyed = docs.drop(*clash).withColumn("__doc", id_or_default()).withColumn("__size", word_count(F.col("text")))
-    return keyed.join(plan, ["__doc", "__size"]).drop("__doc", "__size")
+    keyed = docs.drop(*clash).withColumn(doc, id_or_default()).withColumn(words, word_count(F.col("text")))
+    return keyed.join(plan, [doc, words]).drop(doc, words)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Table, broadcast_if_small, id_or_default, read_table, saved, small_batches
+from .common import NO_ID, Table, broadcast_if_small, id_or_default, read_table, saved, small_batches, spare
 from .components import components
 from .words import mix, pieces, shingle_hash
 
@@ -278,8 +278,9 @@ def near_classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without the near copies: of each class the document whose doc_id names it stays."""
-    gone = near_classes(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.withColumn("__doc", id_or_default()).join(gone, "__doc", "left_anti").select(*docs.columns)
+    (doc,) = spare(docs, "doc")
+    gone = near_classes(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.withColumn(doc, id_or_default()).join(gone, doc, "left_anti").drop(doc)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import broadcast_if_small, read_table, small_batches
 from .words import pieces, words_of
@@ -177,10 +178,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thres
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the chain finds not toxic, all columns kept; the texts are read in place, without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.withColumn("__text", F.col("text").cast("string"))
-    scored = rows.mapInArrow(chain_scorer(shared), plain + "".join(f", p_{c} double" for c in CHAIN))
-    return scored.where(F.col("p_toxic") < threshold).select(*docs.columns)
+    schema = StructType().add("row", docs.schema, False)
+    for c in CHAIN:
+        schema = schema.add(f"p_{c}", "double")
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(chain_scorer(shared), schema).where(F.col("p_toxic") < threshold).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

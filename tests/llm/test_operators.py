@@ -194,6 +194,24 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, *EDGE), labels.limit(0)).count() == len(EDGE)
 
 
+@pytest.mark.parametrize("form", ["{}", "__{}", "p_{}"])
+def test_clashing_columns(spark, form):
+    extra = {form.format(c): F.lit(c) for c in ("doc", "Doc_", "hash", "text_hash", "lost", "left", "kept", "words", "toxic", "row")}
+    given = docs(spark, *EDGE).withColumns(extra)
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet").limit(0) for t in ("labels", "benchmark"))
+    runs = [
+        lambda d: toxicity.drop_toxic(d, labels, threshold=2.0),
+        lambda d: line_dedup.dedup_lines(d).drop("n_lines", "n_dropped"),
+        ngram_join.one_of_each,
+        lambda d: decontaminate.drop_contaminated(d, bench),
+        lambda d: mixing.mixed_documents(d).drop("size", "target", "copies", "taken", "draws"),
+    ]
+    for run in runs:
+        out = run(given)
+        assert out.columns == given.columns
+        assert out.select(*extra).distinct().collect() == given.select(*extra).limit(1).collect()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

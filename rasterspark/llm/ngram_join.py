@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by chosen paths.
 
 A document is the set of its five-word shingles. Exact copies are folded first. Each run splits the sets recursively: a
-node picks a coordinate of a min-hash sketch, and sets that share the token there fall into one child. Small nodes are
+node picks coordinates of a min-hash sketch, and sets that share the tokens there fall into one child (two tokens at
+once at the first split, so a passage that many documents share makes no large node of them). Small nodes are
 compared by brute force on the sketches; large ones are first compared with one of their own sets (a pivot), to which
 near sets are tied, and the others are split again on two sampled tokens. Runs repeat until a pair at the threshold is
 missed with a chance under 1 - recall. What the runs tie together is a class of candidates; inside each class all pairs
@@ -31,6 +32,8 @@ BLOCK_SETS, BLOCK_BYTES = 1536, 8 << 20
 #: For a pair at Jaccard 0.8 the agreement has mean 0.8 and deviation 0.05, and by the triangle inequality a set within
 #: 0.8 of one that is within 0.6 of the pivot is itself within 0.4 of the pivot, so it is tied there, or splits on.
 TIE, NEAR = 0.4, 0.6
+#: Tokens that sets must share at the first split.
+SPLITS = 2
 DEPTH = 6
 _COLUMNS = 4096
 
@@ -195,7 +198,11 @@ def chosen_path_ties(sets: DataFrame, runs: int) -> list[DataFrame]:
     def child(node, at):
         return F.xxhash64(node, at, token(F.col("sketch"), at)).alias("node")
 
-    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(r, F.pmod(r * 37, F.lit(SKETCH)).cast("int"), token(F.col("sketch"), F.pmod(r * 37, F.lit(SKETCH)).cast("int"))))
+    def place(r, k):
+        # once all coordinates have been used they are paired anew
+        return F.pmod((SPLITS * r + k) * 37 + k * SPLITS * F.floor(r * SPLITS / SKETCH), F.lit(SKETCH)).cast("int")
+
+    first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(r, *[token(F.col("sketch"), place(r, k)) for k in range(SPLITS)]))
     paths, ties = sets.select(F.explode(first).alias("node"), "set"), []
     for depth in range(DEPTH + 1):
         sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -249,7 +256,7 @@ def near_classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall:
     folded = named.groupBy("print").agg(F.min("doc").alias("set"), F.count(F.lit(1)).alias("n_copies"), F.first("sketch").alias("sketch"))
     folded = saved(folded, "sets")
     sets = folded.select("set", "sketch")
-    ties = chosen_path_ties(sets, runs_needed(similarity[0] / similarity[1], recall))
+    ties = chosen_path_ties(sets, runs_needed(similarity[0] / similarity[1], recall, SPLITS))
     edges = ties[0]
     for more in ties[1:]:
         edges = edges.unionByName(more)

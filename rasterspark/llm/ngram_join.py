@@ -203,7 +203,7 @@ def chosen_path_ties(sets: DataFrame, runs: int) -> list[DataFrame]:
         return F.pmod((SPLITS * r + k) * 37 + k * SPLITS * F.floor(r * SPLITS / SKETCH), F.lit(SKETCH)).cast("int")
 
     first = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(r, *[token(F.col("sketch"), place(r, k)) for k in range(SPLITS)]))
-    paths, ties = sets.select(F.explode(first).alias("node"), "set"), []
+    paths, ties, n_sets = sets.select(F.explode(first).alias("node"), "set"), [], sets.count()
     for depth in range(DEPTH + 1):
         sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         live = Table(paths.join(sizes, "node"), f"paths-{depth}").read()
@@ -211,9 +211,12 @@ def chosen_path_ties(sets: DataFrame, runs: int) -> list[DataFrame]:
         # runs often come to the same small node: its sets are compared once
         nodes = small.groupBy("node").agg(F.sort_array(F.collect_list("set")).alias("sets")).select("sets").distinct()
         nodes = nodes.select(F.xxhash64("sets").alias("node"), F.explode("sets").alias("set"))
-        large = live.where(F.col("n") > NODE)
-        if not large.isEmpty() and depth == DEPTH:  # the exact way for nodes that stay large: all pairs of their parts
-            parts = F.ceil(F.col("n") / (NODE // 2))
+        large, parts = live.where(F.col("n") > NODE), F.ceil(F.col("n") / (NODE // 2))
+        dealt = large.agg(F.sum(parts)).first()[0] or 0
+        last = depth == DEPTH or dealt <= n_sets
+        # the exact way for nodes that stay large, taken once it makes no more rows than there are sets: all pairs of
+        # their parts
+        if last and dealt:
             part = F.pmod(F.xxhash64(F.col("set"), F.lit(1)), parts)
             spread = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
             pairs = large.select("node", "set", part.alias("a"), spread.alias("b"))
@@ -223,7 +226,7 @@ def chosen_path_ties(sets: DataFrame, runs: int) -> list[DataFrame]:
         count = int(compared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         compared = compared.repartition(count, "node").sortWithinPartitions("node", "set")
         ties.append(Table(compared.mapInArrow(node_ties, "u long, v long"), "ties").read())
-        if depth == DEPTH or large.isEmpty():
+        if last:
             return ties
         large = large.select("node", "set").join(sets, "set")
         # the same order in every node, so runs often tie a set to the same pivot

@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain: linear models predict the categories in turn, each with the probabilities of the
 categories before it among its inputs. Those inputs are out-of-fold predictions while the chain is trained.
 
-The first categories are taught by word lists, the last, `toxic`, by the labels.
+The first categories are taught by word lists, the last, `toxic`, by the labels. A document's marks are its words and
+the prefixes that several of its words share, so that a family of inflected words counts though each form is rare.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import broadcast_if_small, read_table, small_batches
-from .words import pieces, words_of
+from .words import Piece, mix, pieces, words_of
 
 #: Most labelled documents that a fit takes, those with the least hashes of doc_id.
 MAX_ROWS = 8_000
 BUCKETS = 1 << 20
-FOLDS, MOST_WORDS, LEAST_DOCS, LEAST_SHARE, LEAST_Z, RIDGE = 3, 256, 3, 0.06, 4.5, 0.2
+FOLDS, MOST_WORDS, LEAST_DOCS, LEAST_Z, RIDGE = 3, 256, 3, 4.5, 0.2
+#: Lengths in bytes of the prefixes of longer words.
+PREFIXES = (5, 7)
 #: English words that teach the first categories of the chain.
 LEXICON = {
     "insult": ("idiot", "moron", "stupid", "loser", "clown", "scum", "dumb", "fool"),
@@ -35,28 +38,55 @@ def buckets_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def prefix_buckets(piece: Piece, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words with more bytes than length, and the buckets of their first bytes."""
+    at = np.flatnonzero(piece.word_end - piece.word_at > length)
+    h = np.full(len(at), length, np.uint64)
+    for j in range(length):
+        h = h * np.uint64(0x100000001B3) + piece.folded[piece.word_at[at] + j].astype(np.uint64)
+    return at, buckets_of(mix(h))
+
+
+def marks(piece: Piece, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and buckets (those wanted) of their words, and of the prefixes of two or more different words there."""
+    words = buckets_of(piece.hashes)
+    use = slice(None) if wanted is None else wanted[words]
+    docs, buckets = [piece.word_doc[use]], [words[use]]
+    for length in PREFIXES:
+        at, prefix = prefix_buckets(piece, length)
+        if wanted is not None:
+            at, prefix = at[wanted[prefix]], prefix[wanted[prefix]]
+        pairs = np.unique(piece.word_doc[at] * BUCKETS * BUCKETS + prefix * BUCKETS + words[at]) // BUCKETS
+        twice = np.unique(pairs[1:][pairs[1:] == pairs[:-1]])
+        docs.append(twice // BUCKETS)
+        buckets.append(twice % BUCKETS)
+    return np.concatenate(docs), np.concatenate(buckets)
+
+
 def distinct_buckets(batches):
-    """Replaces the last column, a text, by the distinct hash buckets of its words."""
+    """Replaces the last column, a text, by the distinct buckets of its marks."""
     for batch in batches:
         found = []
         for piece in pieces(batch.column(batch.num_columns - 1)):
-            firsts = piece.first_words()
-            found += [np.unique(buckets_of(piece.hashes[a:b])).astype(np.int32) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+            docs, buckets = marks(piece)
+            pairs = np.unique(docs * BUCKETS + buckets)
+            firsts = np.searchsorted(pairs, np.arange(piece.docs + 1) * BUCKETS)
+            found += [(pairs[a:b] % BUCKETS).astype(np.int32) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
         yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "words"])
 
 
 def telling_words(owner: np.ndarray, words: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Buckets that most set the category's documents apart, by the test of two proportions.
 
-    A bucket counts only if enough of the category's documents have it: what a few of them share is their subject, or
-    copied from one to the other.
+    A bucket counts from LEAST_DOCS of the category's documents on, near copies left out, whatever their share: a
+    language with few of the documents has marks of its own.
     """
     ones, zeros = max(y.sum(), 1e-9), max(len(y) - y.sum(), 1e-9)
     n = np.bincount(words, minlength=BUCKETS).astype(np.float64)
     a = np.bincount(words, y[owner], BUCKETS)
     p = n / len(y)
     z = np.abs(a / ones - (n - a) / zeros) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / zeros))
-    z[(a < max(LEAST_DOCS, LEAST_SHARE * ones)) | (a / ones < (n - a) / zeros) | (z < LEAST_Z)] = 0
+    z[(a < LEAST_DOCS) | (a / ones < (n - a) / zeros) | (z < LEAST_Z)] = 0
     best = np.argsort(-z, kind="stable")[:MOST_WORDS]
     return np.sort(best[z[best] > 0])
 
@@ -132,9 +162,8 @@ def chain_scorer(shared):
         for batch in batches:
             found = []
             for piece in pieces(batch.column(batch.num_columns - 1)):
-                words = buckets_of(piece.hashes)
-                hit = table[words]
-                owner, words, before = piece.word_doc[hit], words[hit], np.zeros((piece.docs, 0))
+                owner, words = marks(piece, table)
+                before = np.zeros((piece.docs, 0))
                 for chosen, w in chain:
                     at = np.minimum(np.searchsorted(chosen, words), max(len(chosen) - 1, 0))
                     inside = chosen[at] == words if len(chosen) else np.zeros(len(words), bool)

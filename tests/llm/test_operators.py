@@ -194,6 +194,23 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, *EDGE), labels.limit(0)).count() == len(EDGE)
 
 
+def test_toxicity_by_language(spark):
+    folder = "/root/testdata/sf0.1"
+    data, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    # taught by one half of the labels, held against the other
+    out = toxicity.toxicity(data, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    rows = out.join(data.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg(F.when(F.col("y") == 1, F.col("toxic").cast("int"))), F.avg(F.when(F.col("y") == 0, F.col("toxic").cast("int")))).collect()
+    assert {r[0] for r in rows} == {"en", "fr", "de", "es"}
+    assert all(recall >= 0.6 and wrong <= 0.03 for _, recall, wrong in rows), rows
+
+
+def test_toxicity_prefixes():
+    piece = next(pieces(pa.array(["stemmed stemming", "stemmed stemmed", "stem"])))
+    docs_, buckets = toxicity.marks(piece)
+    shared = toxicity.prefix_buckets(piece, 5)[1][0]
+    assert docs_[buckets == shared].tolist() == [0]
+
+
 @pytest.mark.parametrize("form", ["{}", "__{}", "p_{}"])
 def test_clashing_columns(spark, form):
     extra = {form.format(c): F.lit(c) for c in ("doc", "Doc_", "hash", "text_hash", "lost", "left", "kept", "words", "toxic", "row")}

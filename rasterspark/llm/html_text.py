@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block. A line's weight is its text outside links, and nothing if it lies in a
-menu, header, footer, advert or the like, or outside the page's article where it has one. Weights are summed over a
-sliding window of lines; where the sums surge over a threshold the text begins, where they dive to nothing it ends.
+Markup is stripped to lines, one for each block; menus, headers, footers, adverts and the like are left out unless they
+hold most of the page's text. A line's weight is its text outside links, several times that in an article. Weights are
+summed over a sliding window of lines; windows that reach a share of the page's largest sum, and are not mostly links,
+pick the text. With them stay the short lines of the same element and the article that they lie in.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +19,14 @@ from pyspark.sql import functions as F
 from .common import read_table, small_batches
 
 WINDOW = 3
-#: Least sum of a window that starts a text, as a share of the page's largest, where no article is marked.
+#: Least sum of a window that belongs to a text, as a share of the page's largest.
 SURGE = 0.2
+#: What text in an article or main element weighs.
+BONUS = 3
+#: Least text of an element that is an aside by its name if it is to outweigh an article elsewhere.
+LEAST_MAIN = 500
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|audio|video|xmp)\b[^>]*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|audio|video|xmp)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|</?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*+\Z",
     re.S | re.I,
 )
@@ -28,6 +34,8 @@ ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 # Elements of HTML by their part in a page, and names that mark what isn't the article.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = set("head title nav header footer aside form menu dialog button label fieldset".split())
+#: Asides that also wrap whole pages.
+WRAPPERS = {"form", "fieldset"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = {"p", "li", "dt", "dd", "option"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -48,38 +56,62 @@ def is_aside(tag: str, rest: str) -> bool:
         value = "".join(values)
         if value.lower() in ROLES if name.lower() == "role" else NAMES.search(value):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", rest, re.I))
+    return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """The page's blocks in order: text, code points outside links, whether in an article; asides have no text."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, aside, article
+def is_hidden(rest: str) -> bool:
+    return bool(rest and re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", rest, re.I))
+
+
+class Line(NamedTuple):
+    text: str
+    links: int  # code points inside links
+    article: int  # number of the outermost article or main element around it, or 0
+    path: tuple[int, ...]  # numbers of the elements around it
+
+
+def blocks(page: str, held: frozenset[int] = frozenset()) -> list[Line]:
+    """The page's lines in order, without the text of asides; an element that is one by its name, role or WRAPPERS
+    is none where it holds most of the page's text (LEAST_MAIN at least where an article lies outside it)."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, bool, bool, int, tuple[int, int]]] = []  # tag, aside, article, unseen, number, text seen before it
     parts: list[str] = []
-    links = skipping = article = link = 0
+    masses: dict[int, tuple[int, int]] = {}  # of the asides: text outside links, what of it lies in articles
+    links = skipping = link = number = unseen = marked = seen = inside = 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, max(len(text) - links, 0), article > 0))
+            out.append(Line(text, min(links, len(text)), next((s[4] for s in stack if s[2]), 0), tuple(s[4] for s in stack)))
         parts.clear()
         links = 0
 
+    def weigh(piece: str) -> None:
+        nonlocal seen, inside
+        if not (link or unseen):
+            seen += len(piece.strip()) * (BONUS if marked else 1)
+            inside += len(piece.strip()) * (BONUS if marked else 0)
+
     def close(k: int) -> None:
-        nonlocal skipping, article, link
+        nonlocal skipping, marked, unseen, link
         while len(stack) > k:
-            tag, aside, main = stack.pop()
+            tag, aside, main, hidden, n, before = stack.pop()
+            if aside and not hidden:
+                masses[n] = (seen - before[0], inside - before[1])
             skipping -= aside
-            article -= main
+            marked -= main
+            unseen -= hidden
             link -= tag == "a"
 
     at = 0
     for m in TOKEN.finditer(page):
-        if not skipping and m.start() > at:
+        if m.start() > at:
             piece = page[at : m.start()]
-            parts.append(piece)
-            links += len(piece) if link else 0
+            weigh(piece)
+            if not skipping:
+                parts.append(piece)
+                links += len(piece) if link else 0
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -107,36 +139,58 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
             close(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
         if tag in VOID or m["rest"].endswith("/"):
             continue
-        main = tag in ("article", "main") and not skipping
-        aside = is_aside(tag, m["rest"])
-        stack.append((tag, aside, main))
+        number += 1
+        main, hidden = tag in ("article", "main"), tag in SKIPPED - WRAPPERS or (tag not in ("body", "html", "main") and is_hidden(m["rest"]))
+        aside = hidden or (number not in held and is_aside(tag, m["rest"]))
+        stack.append((tag, aside, main, hidden, number, (seen, inside)))
         skipping += aside
-        article += main
+        marked += main
+        unseen += hidden
         link += tag == "a"
-    if not skipping and at < len(page):
-        parts.append(page[at:])
+    if at < len(page):
+        weigh(page[at:])
+        if not skipping:
+            parts.append(page[at:])
     flush()
-    return out
+    close(0)
+    most = frozenset(n for n, (mass, own) in masses.items() if 2 * mass > seen and (own or not inside or mass >= LEAST_MAIN)) - held
+    return blocks(page, held | most) if most else out
 
 
 def main_text(page: str | None) -> str:
     lines = blocks(page or "")
-    marked = any(inside for _, _, inside in lines)
-    weights = [(len(text) if marked else weight) * (inside or not marked) for text, weight, inside in lines]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    least = 0 if marked else SURGE * max(sums, default=0)
-    kept: list[str] = []
-    i = 0
-    while i < len(sums):
-        if sums[i] > least or (marked and sums[i]):  # surge
-            j = i
-            while j < len(sums) and sums[j] > 0:  # dive
-                j += 1
-            kept += [text for (text, _, _), weight in zip(lines[i:j], weights[i:j], strict=True) if weight]
-            i = j
+    plain = [len(line.text) - line.links for line in lines]
+    weights = [w * (BONUS if line.article else 1) for line, w in zip(lines, plain, strict=True)]
+    # windows end where an article begins or ends
+    ends, end = [0] * len(lines), len(lines)
+    for i in reversed(range(len(lines))):
+        end = i + 1 if i + 1 < len(lines) and lines[i].article != lines[i + 1].article else end
+        ends[i] = min(i + WINDOW, end)
+    sums = [sum(weights[i : ends[i]]) for i in range(len(lines))]
+    most = max(sums, default=0)
+    picked: set[int] = set()
+    for i, total in enumerate(sums):
+        if total and total >= SURGE * most and sum(plain[i : ends[i]]) >= sum(line.links for line in lines[i : ends[i]]):
+            picked |= {j for j in range(i, ends[i]) if plain[j]}
+    articles = {lines[i].article for i in picked} - {0} or ({line.article for line in lines} if not picked else set())
+    core = [i for i in sorted(picked) if weights[i] >= SURGE * most / WINDOW and not lines[i].article]
+    around = set()
+    for i, j in zip(core, [*core[1:], None], strict=False):
+        # the element of this long line and the next, or the parent of the only one
+        if j is not None and j - i <= 2 * WINDOW:
+            around.add(tuple(a for a, b in zip(lines[i].path, lines[j].path, strict=False) if a == b))
         else:
-            i += 1
-    return "\n\n".join(kept)
+            around.add(lines[i].path[:-1])
+    kept = [
+        k
+        for k, line in enumerate(lines)
+        if (line.article and line.article in articles)
+        or k in picked
+        or (not line.article and plain[k] > line.links and any(line.path[: len(path)] == path for path in around))
+    ]
+    # a few lines of links between lines that stay
+    gaps = [k for a, b in zip(kept, kept[1:], strict=False) if b - a <= WINDOW + 1 for k in range(a + 1, b) if lines[k].article == lines[a].article == lines[b].article]
+    return "\n\n".join(lines[k].text for k in sorted({*kept, *gaps}))
 
 
 def extract_batches(batches):

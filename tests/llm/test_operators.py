@@ -168,6 +168,23 @@ def test_html():
     assert html_text.main_text(loose).split("\n\n")[-2:] == ["short", ("more text. " * 30).strip()]
 
 
+def test_html_without_marked_article():
+    a, b, c = (f"{'A long paragraph of plain text. ' * 12}{k}" for k in "abc")
+    cases = {
+        f"<div><h1>Head</h1><p>By Line</p><p>Monday</p><p>{a}</p><p>{b}</p><p>{c}</p></div>": ["Head", "By Line", "Monday", a, b, c],
+        f"<div><p>{a}</p><p>{b}</p><p><a>1</a></p><p><a>2</a></p><p><a>3</a></p><p>The end.</p></div>": [a, b, "1", "2", "3", "The end."],
+        f"<div><p>{a}</p><p><a>All of it linked</a></p><p>{b}</p></div>": [a, "All of it linked", b],
+        f"<div><h1>Head</h1><p>{a}</p><p>{b}</p></div><article><p>Read this too</p></article>": ["Head", a, b],
+        f'<div class="page has-sidebar"><div class="sidebar">s</div><p>{a}</p><p>{b}</p></div>': [a, b],
+        f'<main><article class="post category legal"><p>{a}</p></article></main>': [a],
+        f"<form id=f><p>{a}</p></form><footer>{b}</footer>": [a],
+        f'<svg class="i"/><article><p>{a}</p></article><div id="comments"><p>{b}</p></div>': [a],
+        f"<ul><li><a>Home</a><li><a>About</a></ul><div><p>{a}</p></div>": [a],
+    }
+    for page, want in cases.items():
+        assert html_text.main_text(page).split("\n\n") == want, page
+
+
 def test_license(spark):
     texts = ["x\nLicensed under the Apache License, Version 2.0.\ny", "Licensed under the Banana License, Version 7.1 of the fruit.", None, "plain"]
     out = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, *texts)).collect()}

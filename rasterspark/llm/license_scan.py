@@ -1,8 +1,10 @@
 """License scans by conditional compression.
 
-Lines with a licensing cue, taken together where they follow each other, are candidate blocks. Each is compressed alone
-and with every template as a zstandard raw dictionary; the template that saves most is the likely one, and its wording
-is then compared word by word. Templates are a parameter; NOTICES holds short public notices.
+Candidate blocks are windows of words around a template's anchors, across lines: a few words in a row, so many apart that
+a text with the template's wording has one of them whole. The wording is compared word by word, and every confirmed
+template is returned; of one licence's templates over the same words the one whose zstandard raw dictionary saves most.
+Lines with a licensing cue that no confirmed template covers, taken together where they follow each other, are blocks
+too: the template that saves most is the likely one. Templates are a parameter; NOTICES holds short public notices.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ NOTICES = {
 }
 #: Share of a template's words that may be missing from a block, or stand between its words there.
 SLACK = 0.1
+ANCHOR = 3
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -44,12 +47,29 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def candidate_blocks(text: str) -> list[tuple[int, str]]:
-    """First line and text of each run of lines with a cue."""
+def anchors(template: list[str]) -> list[int]:
+    """Places of disjoint runs of ANCHOR words, the longest words first: one more than the words that may be missing or
+    added, each of which breaks one run at most."""
+    size = min(ANCHOR, len(template))
+    out: list[int] = []
+    for k in sorted(range(len(template) - size + 1), key=lambda k: -len("".join(template[k : k + size]))):
+        if len(out) <= int(SLACK * len(template)) and all(abs(k - j) >= size for j in out):
+            out.append(k)
+    return out if template else []
+
+
+def anchor_pattern(notices: dict[str, tuple[str, ...]]) -> str:
+    """For Java and Python: finds every text that has an anchor of a template."""
+    runs = {r"\W+".join(map(re.escape, words[k : k + ANCHOR])) for texts in notices.values() for words in map(words_of, texts) for k in anchors(words)}
+    return "(?i)" + "|".join(sorted(runs))
+
+
+def candidate_blocks(text: str, covered: frozenset[int] | set[int] = frozenset()) -> list[tuple[int, str]]:
+    """First line and text of each run of lines with a cue, without the covered lines."""
     out: list[tuple[int, str]] = []
     last = -2
     for k, line in enumerate(text.split("\n")):
-        if re.search(CUE, line):
+        if k not in covered and re.search(CUE, line):
             if k == last + 1:
                 out[-1] = (out[-1][0], f"{out[-1][1]}\n{line}")
             else:
@@ -80,10 +100,15 @@ class Scanner:
 
         self.plain = zstandard.ZstdCompressor(level=3)
         self.templates = []
+        self.pattern = re.compile(anchor_pattern(notices))
+        self.anchors: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         for name, texts in sorted(notices.items()):
             for text in texts:
                 raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, words_of(text), zstandard.ZstdCompressor(level=3, dict_data=raw)))
+                words = words_of(text)
+                for k in anchors(words):
+                    self.anchors.setdefault(tuple(words[k : k + ANCHOR]), []).append((len(self.templates), k))
+                self.templates.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=raw)))
 
     def rank(self, block: str) -> list[tuple[int, int]]:
         """Bytes saved by each template, most first; ties in the templates' order."""
@@ -107,6 +132,36 @@ class Scanner:
         return first or (None, 0, [], [])
 
 
+    def confirmed(self, text: str) -> list[tuple[int, int, str, int, list[str], list[str]]]:
+        """First and last line, licence, bytes saved, words missing and added of each template that the text holds."""
+        if not self.pattern.search(text):
+            return []
+        places = list(_WORD.finditer(text))
+        words = [m[0].lower() for m in places]
+        found: dict[tuple[int, int, int], tuple[int, list[str], list[str]]] = {}
+        sizes = {len(a) for a in self.anchors}
+        for i in range(len(words)):
+            for t, k in [x for size in sizes for x in self.anchors.get(tuple(words[i : i + size]), ())]:
+                _, template, compressor = self.templates[t]
+                slack = int(SLACK * len(template))
+                first = max(i - k - slack, 0)
+                window = words[first : i - k + len(template) + slack]
+                lost, extra = wording(template, window)
+                if len(lost) + len(extra) > SLACK * len(template):
+                    continue
+                same = [m for m in SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if m.size]
+                a, b = first + same[0].b, first + same[-1].b + same[-1].size
+                raw = text[places[a].start() : places[b - 1].end()].encode()
+                found[t, a, b] = (len(self.plain.compress(raw)) - len(compressor.compress(raw)), lost, extra)
+        out, taken = [], []
+        for (t, a, b), (saved, lost, extra) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
+            name = self.templates[t][0]
+            if all(n != name or b <= c or d <= a for n, c, d in taken):
+                taken.append((name, a, b))
+                out.append((text.count("\n", 0, places[a].start()), text.count("\n", 0, places[b - 1].end()), name, saved, lost, extra))
+        return sorted(out, key=lambda x: (x[0], x[2]))
+
+
 FOUND = pa.list_(pa.struct([("line", pa.int32()), ("license", pa.string()), ("saved", pa.int32()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]))
 
 
@@ -116,11 +171,13 @@ def scan_batches(notices: dict[str, tuple[str, ...]]):
         for batch in batches:
             rows = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                found = []
-                for line, block in candidate_blocks(text) if text else []:
+                sure = scanner.confirmed(text) if text else []
+                found = [{"line": line, "license": name, "saved": saved, "missing": lost, "added": extra} for line, _, name, saved, lost, extra in sure]
+                covered = {k for first, last, *_ in sure for k in range(first, last + 1)}
+                for line, block in candidate_blocks(text, covered) if text else []:
                     name, saved, lost, extra = scanner.scan(block)
                     found.append({"line": line, "license": name, "saved": saved, "missing": lost, "added": extra})
-                rows.append(found)
+                rows.append(sorted(found, key=lambda x: x["line"]))
             yield pa.record_batch([*batch.columns[:-1], pa.array(rows, FOUND)], names=[*batch.schema.names[:-1], "blocks"])
 
     return scan
@@ -130,12 +187,12 @@ def scan_licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None =
     """One row per row of docs: doc_id, blocks (line, license or null, bytes saved, words missing and added), licenses
     (the confirmed ones, sorted).
 
-    Null and empty texts, and texts without a cue, have no blocks; rows that repeat are scanned one by one; no rows give
-    no rows. Only texts with a cue leave the JVM. Other columns are not read.
+    Null and empty texts, and texts without a cue or a template's wording, have no blocks; rows that repeat are scanned
+    one by one; no rows give no rows. Only texts with a cue or an anchor leave the JVM. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(CUE), text).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(CUE) | text.rlike(anchor_pattern(notices or NOTICES)), text).alias("text"))
     kind = "array<struct<line:int,license:string,saved:int,missing:array<string>,added:array<string>>>"
     out = rows.mapInArrow(scan_batches(notices or NOTICES), f"doc_id long, blocks {kind}")
     return out.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(F.transform("blocks", lambda b: b["license"])))))

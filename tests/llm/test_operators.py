@@ -192,6 +192,25 @@ def test_license(spark):
     assert out[0].blocks[0].line == 1 and out[0].blocks[0].saved > 0 and out[1].blocks[0].license is None and out[1].blocks[0].missing
 
 
+@pytest.mark.parametrize("width", [4, 7, 1000])
+def test_every_license_template_wrapped(width):
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    for name, templates in license_scan.NOTICES.items():
+        for template in templates:
+            words = template.split()
+            text = "intro\n" + "\n".join(" * " + " ".join(words[k : k + width]) for k in range(0, len(words), width)) + "\nplain end"
+            assert [(x[0], x[2]) for x in scanner.confirmed(text)] == [(1, name)], (name, template)
+
+
+def test_licenses_without_cue_and_side_by_side(spark):
+    mit, bsd = license_scan.NOTICES["MIT"], license_scan.NOTICES["BSD-3-Clause"][0]
+    texts = [f"a\n{mit[1]}\nb", f"{mit[0]}\nLicensed under CC BY 4.0.", f"{mit[0]} Licensed under CC BY 4.0.", f"{mit[0]}\nLicensed under the Banana License.", bsd.replace("forms, ", "forms,\n"), mit[1].replace("hereby ", "now "), mit[1][:90]]
+    out = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, *texts)).collect()}
+    assert [list(out[k].licenses) for k in range(7)] == [["MIT"], ["CC-BY-4.0", "MIT"], ["CC-BY-4.0", "MIT"], ["MIT"], ["BSD-3-Clause"], ["MIT"], []]
+    assert [(b.line, b.license) for b in out[3].blocks] == [(0, "MIT"), (1, None)]
+    assert out[5].blocks[0].missing == ["hereby"] and out[5].blocks[0].added == ["now"]
+
+
 def test_quality_model_on_held_out(spark):
     folder = "/root/testdata/sf0.01"
     out = QUERIES["op8_quality_classifier"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")

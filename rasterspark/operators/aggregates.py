@@ -196,6 +196,40 @@ def poisson_bootstrap(rows: DataFrame, value: str, replicates: int = 200, seed:
     return means.groupBy("scope").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("scope", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def bootstrap_interval_by_sums(deltas: DataFrame, key: str, value: str = "delta", replicates: int = 10_000, seed: int = 20260810, chunk: int = 250) -> DataFrame:
+    """95% percentile interval of the mean, by region and over all, for groups of any size: a row weighs Poisson(1) in
+    each replicate by a seed from its key, so a replicate is two sums. Each task adds its rows up by scope and chunk of
+    replicates; partial sums are shuffled by scope and replicate."""
+    from .sets import with_global
+
+    def weigh(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums, counts = {}, {}
+        for batch in batches:
+            scopes, seeds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for scope, start, v in zip(scopes, seeds, batch.column(2).to_pylist(), strict=True):
+                drawn = np.random.default_rng(start % (1 << 64)).poisson(1, replicates)
+                if scope not in sums:
+                    sums[scope], counts[scope] = np.zeros((2, replicates)), 0
+                sums[scope] += drawn * np.array([[v], [1.0]])
+                counts[scope] += 1
+        for scope, (total, weight) in sums.items():
+            for k in range(0, replicates, chunk):
+                r = np.arange(k, min(k + chunk, replicates))
+                n = np.where(r == 0, counts[scope], 0)
+                yield pa.record_batch([pa.array([scope] * len(r), pa.string()), pa.array(r, pa.int32()), pa.array(total[r]), pa.array(weight[r]), pa.array(n, pa.int64())], names=["scope", "r", "s", "w", "n"])
+
+    rows = with_global(deltas, "region_id", "all_tiffs").where(F.col(value).isNotNull())
+    rows = rows.select(F.col("scope").cast("string").alias("scope"), F.xxhash64(F.lit(seed), F.col(key)).alias("start"), F.col(value).cast("double").alias("v"))
+    sums = rows.mapInArrow(weigh, "scope string, r int, s double, w double, n long").groupBy("scope", "r").agg(*[F.sum(c).alias(c) for c in ("s", "w", "n")])
+    # few rows draw a replicate without any of them now and then: it has no mean
+    q = F.percentile(F.try_divide("s", "w"), F.array(F.lit(0.025), F.lit(0.975)))
+    out = sums.groupBy("scope").agg(F.sum("n").alias("n"), q.alias("q"))
+    return out.select("scope", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def multiclass_metrics(rows: DataFrame, truth: str, predicted: str, classes: list[int]) -> DataFrame:
     """Per class: tp, fp, fn and ratios; mean_iou of the classes from 1 on in every row."""
     cells = rows.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))

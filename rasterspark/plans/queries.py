@@ -358,7 +358,7 @@ def extreme_deltas(t: Tables) -> DataFrame:
 
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return A.bootstrap_interval(_deltas(t))
+    return A.bootstrap_interval_by_sums(_deltas(t), "source_tiff_id")
 
 
 @query(_PAIR + """, long AS (SELECT region_id, 'b' AS model, tn, fp, fn, tp FROM b WHERE s IN (SELECT s FROM j WHERE reasons = '') UNION ALL SELECT region_id, 'h', tn, fp, fn, tp FROM h WHERE s IN (SELECT s FROM j WHERE reasons = '')),
@@ -478,7 +478,9 @@ def latest_state_stream(t: Tables) -> DataFrame:
     import uuid
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return registry.run_available(stream, ["run_key"], f"states_{uuid.uuid4().hex}", f"{folder}/stream-{uuid.uuid4().hex}")
+    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    registry.upsert_states(stream, ["run_key"], f"{path}/table", f"{path}/checkpoint")
+    return registry.read_states(spark, f"{path}/table")
 
 
 @query("""SELECT 'chips/all/' || doc_id AS relative_path, n_chars AS byte_size, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'stored' ELSE sha256(coalesce(text, '')) END AS sha256, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'reused' ELSE 'fresh' END AS hash_source FROM documents""")

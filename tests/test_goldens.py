@@ -221,3 +221,27 @@ def test_pairs_and_hashes(spark):
     assert [(r.issue_type, r.candidate_id) for r in issues.collect()] == [("missing_label", "b")]
     one_row, twice = a.limit(1), a.limit(1).unionByName(a.limit(1))
     assert hashing.table_fingerprint(one_row).first() != hashing.table_fingerprint(twice).first()
+
+
+def test_bootstrap_by_sums(spark):
+    rows = spark.range(0, 400, 1, 5).select("id", F.concat(F.lit("r"), F.pmod("id", F.lit(2))).alias("region_id"), (F.sin("id") / 10).alias("delta"))
+    plain = {r.scope: r for r in A.bootstrap_interval(rows, replicates=2_000).collect()}
+    sums = {r.scope: r for r in A.bootstrap_interval_by_sums(rows, "id", replicates=2_000).collect()}
+    dealt = {r.scope: r for r in A.bootstrap_interval_by_sums(rows.repartition(3), "id", replicates=2_000).collect()}
+    assert set(plain) == set(sums) == {"all_tiffs", "r0", "r1"}
+    for scope, want in plain.items():
+        width = want.high - want.low
+        assert sums[scope].n == want.n and abs(sums[scope].low - want.low) < 0.1 * width and abs(sums[scope].high - want.high) < 0.1 * width
+        assert abs(sums[scope].low - dealt[scope].low) < 1e-12 and abs(sums[scope].high - dealt[scope].high) < 1e-12
+
+
+def test_registered_queries_stay_off_one_task_and_the_driver(spark, monkeypatch):
+    from rasterspark.plans.queries import QUERIES
+
+    for module, name in ((A, "bootstrap_interval"), (registry, "run_available")):
+        monkeypatch.setattr(module, name, lambda *a, **b: pytest.fail("reached"))
+    folder = "/root/testdata/sf0.001"
+    assert QUERIES["bootstrap_ci"](spark, folder).count() > 1
+    states, events = QUERIES["latest_state_stream"](spark, folder), spark.read.parquet(f"{folder}/events.parquet")
+    want = registry.latest_states(events.selectExpr("user_id AS run_key", "struct(ts, event_id) AS seq"), ["run_key"])
+    assert {(r.run_key, r.seq) for r in states.collect()} == {(r.run_key, r.seq) for r in want.collect()}

@@ -10,8 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in rows, that an operator may mark for broadcast; its rows are counted first.
-BROADCAST_ROWS = 200_000
+#: Largest table that an operator may mark for broadcast: its counted rows times what a row of its columns takes.
+BROADCAST_BYTES = 16 << 20
 #: Rows of an Arrow batch; texts are long, so a batch stays small.
 ARROW_ROWS = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,6 +26,8 @@ def scratch(spark: SparkSession) -> str:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -66,9 +68,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).read()
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast only where its counted rows are within the limit; else Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+def row_bytes(df: DataFrame) -> int:
+    """What a row takes, by the types of its columns; texts and hashes are short where an operator joins with them."""
+    sizes = {"boolean": 1, "int": 4, "bigint": 8, "double": 8, "binary": 256}
+    return sum(sizes.get(f.dataType.simpleString(), 128) for f in df.schema)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Marks df for broadcast only where its counted rows are within BROADCAST_BYTES; else Spark joins by shuffle."""
+    return F.broadcast(df) if rows * row_bytes(df) <= BROADCAST_BYTES else df
 
 
 def id_or_default(name: str = "doc_id") -> Column:

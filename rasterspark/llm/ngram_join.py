@@ -266,7 +266,7 @@ def followers(sets: DataFrame, plan: Plan) -> DataFrame:
     n = dense.count()
     near = nodes.join(broadcast_if_small(dense, n), "node").select("set", "pivot").distinct().join(sets, "set")
     pivots = sets.join(broadcast_if_small(dense.select(F.col("pivot").alias("set")).distinct(), n), "set", "left_semi")
-    near = near.join(broadcast_if_small(pivots.select(F.col("set").alias("pivot"), F.col("sketch").alias("p")), n, 20_000), "pivot")
+    near = near.join(broadcast_if_small(pivots.select(F.col("set").alias("pivot"), F.col("sketch").alias("p")), n), "pivot")
     bit = lambda i: F.when(token(F.col("sketch"), i) == token(F.col("p"), i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     same = F.aggregate(F.sequence(F.lit(0), F.lit(SKETCH - 1)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i)))
     near = near.withColumn("same", same).where(F.bit_count("same") >= plan.core)

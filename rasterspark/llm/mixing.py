@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame functions only).
 
-Documents fall into blocks of their source by a hash. A source's quota is a number of whole passes over its blocks and a
-run of permuted blocks for the rest. The tree halves the output shards again and again: at each node a hypergeometric
-draw tells how many of each source's blocks go left, so quotas stay exact. Each shard then takes its share of every
-source's permuted blocks, disjoint from the other shards', and orders its rows by a hash.
+Documents fall into blocks of their source by a hash, more of them the larger the source. A source's quota is a number of
+whole passes over its blocks and a run of permuted blocks for the rest. The tree halves the output shards again and
+again: at each node a hypergeometric draw tells how many of each source's blocks go left, so quotas stay exact. Each
+shard then takes its share of every source's permuted blocks, disjoint from the other shards', and orders its rows by a
+hash. A document's draws are those of its block; what the mix takes of it is their sum.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import broadcast_if_small, id_or_default, read_table, saved, spare
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
+#: Halvings of the output: 2 ** DEPTH shards.
+DEPTH = 3
 
 
 def word_count(text: Column) -> Column:
@@ -27,13 +30,13 @@ def md5_key(*parts) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """no, source, source_size, target: sources by code point, null last, weigh weights in turn and share the total;
+    """no, source, source_size, source_rows, target: sources by code point, null last, weigh weights in turn and share the total;
     none gets over `most` times its size, and what is over is shared by weight among the others.
 
     That is one level: target = least(most * size, weight * level). With the sources by cap / weight, the level is the
     first (total - caps before) / (weights from here on) that is within the source's own cap / weight.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     everything = Window.partitionBy()  # a row for each source
     no = F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last()))
     per = per.withColumn("no", no).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("no") - 1, F.lit(len(weights))) + 1).cast("int")))
@@ -43,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     total = F.sum("source_size").over(everything).cast("double")
     per = per.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
     level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "no", "level"))).over(everything)["level"]
-    return per.withColumn("target", F.least(F.col("cap"), F.col("weight") * level)).select("no", "source", "source_size", "target")
+    return per.withColumn("target", F.least(F.col("cap"), F.col("weight") * level)).select("no", "source", "source_size", "source_rows", "target")
 
 
 def let(value: Column, body) -> Column:
@@ -77,7 +80,8 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column
 
 
 def uniform(*parts) -> Column:
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """A number in (0, 1) from the first 13 hex digits of a hash, as SQL can make it too."""
+    return (F.conv(F.substring(md5_key(*parts), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def split_tree(quotas: DataFrame, depth: int, seed: str) -> DataFrame:
@@ -88,11 +92,12 @@ def split_tree(quotas: DataFrame, depth: int, seed: str) -> DataFrame:
         total = F.aggregate("has", F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
         def draw(a, x):
-            k = hypergeometric(a["total"], x["n"], a["drawn"], uniform(F.lit(seed), F.col("node"), x["no"]))
+            k = hypergeometric(a["total"], x["n"], a["drawn"], uniform(seed, "split", F.col("node"), x["no"]))
             left = F.concat(a["left"], F.array(F.struct(x["no"].alias("no"), k.alias("n"))))
             return F.struct((a["total"] - x["n"]).alias("total"), (a["drawn"] - k).alias("drawn"), left.alias("left"))
 
-        odd = F.pmod(F.xxhash64(F.lit(seed), F.col("node")), F.lit(2)) * F.pmod(total, F.lit(2))
+        # of an odd number of blocks the half that a draw picks gets one more
+        odd = F.when(uniform(seed, "odd", F.col("node")) < 0.5, F.pmod(total, F.lit(2))).otherwise(0)
         start = F.struct(total.alias("total"), (F.floor(total / 2) + odd).cast("long").alias("drawn"), F.array().cast("array<struct<no:int,n:bigint>>").alias("left"))
         left = nodes.withColumn("left", F.aggregate("has", start, draw)["left"])
         right = F.zip_with("has", "left", lambda x, y: F.struct(x["no"].alias("no"), (x["n"] - y["n"]).alias("n")))
@@ -101,70 +106,92 @@ def split_tree(quotas: DataFrame, depth: int, seed: str) -> DataFrame:
     return nodes.select((F.col("node") - (1 << depth)).cast("int").alias("shard"), F.explode("has").alias("q")).select("shard", "q.*")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, depth: int = 3, block_digits: int = 2, seed: str = SEED) -> DataFrame:
+def running(rows: DataFrame, value: Column, order: Column, name: str, n_sources: int) -> DataFrame:
+    """rows with name: the sum of value over the rows of the same source (no) before this one in the order of a hash.
+
+    Sums of ranges of the hash go first, so a source of many blocks is not one task's sort.
+    """
+    rows = rows.withColumn("order", order).withColumn("range", F.substring("order", 1, 2))
+    ranges = rows.groupBy("no", "range").agg(F.sum(value).alias("there"))
+    past = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("no", "range", F.coalesce(F.sum("there").over(past("no", "range")), F.lit(0)).alias("past"))
+    rows = rows.join(broadcast_if_small(ranges, 256 * n_sources), ["no", "range"])
+    here = F.coalesce(F.sum(value).over(past("no", "range", "order")), F.lit(0))
+    return rows.withColumn(name, (F.col("past") + here).cast("long")).drop("order", "range", "past")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, depth: int = DEPTH, seed: str = SEED) -> DataFrame:
     """One row per row of docs: doc_id, source, size (words), source_size, target (its source's words in the mix),
-    copies (times taken), taken (words), draws (array of shard and order: where its copies go, and the local shuffle's
-    key there).
+    copies (draws), taken (words of all draws), draws (array of shard, words and order: where each copy goes, what of it
+    is taken, and the local shuffle's key there).
 
-    A source has 16 ** block_digits blocks at most. Of the last document that a source's target reaches, the mix takes
-    the first words that the target still lacks, so a source's taken words are its target, rounded. The same rows and seed give the same mix. A null text has no words, a null source is a
+    A source of r rows has 16 ** d blocks at most, d the hex digits of r less three, two at least. Of the last document
+    that a source's target reaches, the mix takes the first words that the target still lacks, so a source's taken words
+    are its target, rounded. The same rows and seed give the same mix. A null text has no words, a null source is a
     source, named last; rows that share a doc_id are taken alike unless the target ends between them. No rows give no
     rows; if no text has a word, targets are 0.
     """
     key = md5_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
-    sizes = saved(sizes.withColumn("block", F.substring("key", 1, block_digits)), "mix-sizes")
+    sizes = saved(sizes, "mix-sizes")
     targets = saved(source_targets(sizes, weights, most), "mix-targets")
     n_sources = targets.count()
     numbered = sizes.join(broadcast_if_small(targets, n_sources), sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    numbered = numbered.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+    numbered = numbered.withColumn("passes", passes).withColumn("rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size") + 0.5).cast("long"))
+    digits = F.greatest(F.lit(2), F.length(F.hex("source_rows")) - 3)
+    numbered = numbered.withColumn("block", F.substring(F.col("key"), F.lit(1), digits)).drop("source_rows")
     blocks = numbered.groupBy("no", "block", "passes", "rest").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("no").orderBy(md5_key(seed, F.col("no"), F.col("block")))  # a row for each block
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    blocks = blocks.withColumn("copies", F.col("passes") + ((F.col("before") < F.floor(F.col("rest") + 0.5)) & (F.col("words") > 0)).cast("long"))
+    blocks = running(blocks, F.col("words"), md5_key(seed, F.col("no"), F.col("block")), "before", n_sources)
+    blocks = blocks.withColumn("copies", F.col("passes") + ((F.col("before") < F.col("rest")) & (F.col("words") > 0)).cast("long"))
     blocks = saved(blocks.select("no", "block", "before", "copies"), "mix-blocks")
     quotas = split_tree(blocks.groupBy("no").agg(F.sum("copies").alias("n")), depth, seed)
-    by_shard = Window.partitionBy("no").orderBy("shard")
+    by_shard = Window.partitionBy("no").orderBy("shard")  # a row for each shard
     quotas = quotas.withColumn("to", F.sum("n").over(by_shard)).withColumn("from", F.col("to") - F.col("n")).where("n > 0")
     drawn = blocks.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    rank = F.row_number().over(Window.partitionBy("no").orderBy(md5_key(seed, "draw", F.col("no"), F.col("block"), F.col("copy")))) - 1
-    placed = drawn.withColumn("rank", rank).alias("b").join(quotas.alias("q"), (F.col("b.no") == F.col("q.no")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
-    shards = placed.groupBy("b.no", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
+    drawn = running(drawn, F.lit(1), md5_key(seed, "draw", F.col("no"), F.col("block"), F.col("copy")), "rank", n_sources)
+    quotas = broadcast_if_small(quotas, n_sources << depth)
+    placed = drawn.alias("b").join(quotas.alias("q"), (F.col("b.no") == F.col("q.no")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    shards = placed.groupBy("b.no", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("shards"))  # `most` at most
     blocks = saved(blocks.join(shards, ["no", "block"], "left"), "mix-placed")
     at = Window.partitionBy("no", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = numbered.withColumn("inside", F.coalesce(F.sum("size").over(at), F.lit(0))).join(broadcast_if_small(blocks, n_sources * 16**block_digits), ["no", "block"])
-    need = F.floor(F.col("rest") + 0.5) - F.col("before") - F.col("inside")
-    out = out.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", need)))
-    out = out.withColumn("copies", F.col("passes") + (F.col("part") > 0).cast("long")).withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
-    places = F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies").cast("int"))
-    draws = F.transform(places, lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed), s, i, F.col("key")).alias("order")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", draws.alias("draws"))
+    out = numbered.withColumn("inside", F.coalesce(F.sum("size").over(at), F.lit(0))).join(broadcast_if_small(blocks, blocks.count()), ["no", "block"])
+    part = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("before") - F.col("inside")))
+    # the block's draw after its whole passes takes what the target still lacks
+    whole = lambda d: d["copy"] < F.col("passes")
+    draws = F.filter(F.coalesce("shards", F.array().cast("array<struct<copy:bigint,shard:int>>")), lambda d: whole(d) | (F.col("part") > 0))
+    draws = F.transform(draws, lambda d: F.struct(d["shard"].alias("shard"), F.when(whole(d), F.col("size")).otherwise(F.col("part")).alias("words"), F.xxhash64(F.lit(seed), d["shard"], d["copy"], F.col("key")).alias("order")))
+    out = out.withColumn("part", part).withColumn("draws", draws)
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return out.select("doc_id", "source", "size", "source_size", "target", F.size("draws").cast("long").alias("copies"), taken.alias("taken"), "draws")
 
 
 def shard_rows(mixed: DataFrame) -> DataFrame:
-    """The mix as rows, a row for each copy, dealt by shard and shuffled within it."""
-    rows = mixed.selectExpr("*", "inline(draws) AS (shard, shard_order)").drop("draws")
+    """The mix as rows, a row for each copy with what is taken of it, dealt by shard and shuffled within it."""
+    rows = mixed.selectExpr("*", "inline(draws) AS (shard, shard_words, shard_order)").drop("draws")
     return rows.repartitionByRange("shard", "shard_order").sortWithinPartitions("shard", "shard_order")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, all columns kept, with size, target, copies, taken and draws."""
-    plan = mix(docs, **options).where("copies > 0").drop("source", "source_size")
+    """The documents that the mix takes, all columns kept, with size, target, copies, taken and draws (a `_` is added to
+    the name of one that docs has already). A row is a plan: a document drawn three times stands once, and one taken in
+    part stands whole; shard_rows() makes the rows of the shards, each with its words."""
+    doc, words, *names = spare(docs, "doc", "words", "size", "target", "copies", "taken", "draws")
+    plan = mix(docs, **options).where("copies > 0").withColumn(doc, id_or_default()).withColumn(words, F.col("size"))
+    plan = plan.select(doc, words, *[F.col(c).alias(n) for c, n in zip(("size", "target", "copies", "taken", "draws"), names, strict=True)])
     # rows that share an id and size are alike to the mix
-    doc, words = spare(docs, "doc", "words")
-    plan = plan.withColumn(doc, id_or_default()).withColumn(words, F.col("size")).drop("doc_id").dropDuplicates([doc, words])
-    clash = [c for c in docs.columns if c.lower() in ("size", "target", "copies", "taken", "draws")]
-    keyed = docs.drop(*clash).withColumn(doc, id_or_default()).withColumn(words, word_count(F.col("text")))
-    return keyed.join(plan, [doc, words]).drop(doc, words)
+    keyed = docs.withColumn(doc, id_or_default()).withColumn(words, word_count(F.col("text")))
+    return keyed.join(plan.dropDuplicates([doc, words]), [doc, words]).drop(doc, words)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    out = mix(read_table(spark, sf_dir, "documents"))
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return out.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 TARGETS = """
-per AS (SELECT source, sum(size) AS source_size FROM sizes GROUP BY source),
+per AS (SELECT source, sum(size) AS source_size, count(*) AS source_rows FROM sizes GROUP BY source),
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS no FROM per),
 weighed AS (
@@ -174,19 +201,52 @@ levels AS (
       - coalesce(sum(cap) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY cap / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 targets AS (
-  SELECT no, source, CAST(source_size AS BIGINT) AS source_size,
+  SELECT no, source, CAST(source_size AS BIGINT) AS source_size, source_rows,
     least(cap, weight * (SELECT arg_min(level, (ratio, no)) FROM levels WHERE level <= ratio)) AS target FROM levels)
 """
+
+
+def _uniform(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws(':', '{SEED}', {', '.join(parts)})), 1, 13))::UBIGINT)::DOUBLE + 0.5) / {float(1 << 52)!r}::DOUBLE"
+
+
+def _level(k: int) -> str:
+    """The nodes of one level: each source's blocks that go left, one source after the other."""
+    return f"""
+n{k} AS (SELECT node, no, n, row_number() OVER (PARTITION BY node ORDER BY no) AS i, CAST(sum(n) OVER (PARTITION BY node) AS BIGINT) AS total FROM q{k}),
+d{k} AS (
+  SELECT node, 0 AS i, 0 AS no, 0::BIGINT AS n, 0::BIGINT AS k, total, total // 2 + CASE WHEN {_uniform("'odd'", "node")} < 0.5 THEN total % 2 ELSE 0 END AS drawn FROM (SELECT DISTINCT node, total FROM n{k})
+  UNION ALL
+  SELECT node, i, no, n, k, total - n, drawn - k FROM (
+    SELECT *, low + len(list_filter(range(1, len(w) + 1), lambda j: list_sum(w[1:j]) <= {_uniform("'split'", "node", "no")} * list_sum(w))) AS k FROM (
+      SELECT *, list_transform(logs, lambda x: exp(x - list_max(logs))) AS w FROM (
+        SELECT *, list_transform(range(0, high - low + 1), lambda j: coalesce(list_sum(steps[1:j]), 0.0::DOUBLE)) AS logs FROM (
+          SELECT *, list_transform(range(low, high), lambda j: ln((n - j)::DOUBLE * (drawn - j)) - ln((j + 1)::DOUBLE * (total - n - drawn + j + 1))) AS steps FROM (
+            SELECT p.node, m.i, m.no, m.n, p.total, p.drawn, greatest(0, p.drawn - (p.total - m.n)) AS low, least(m.n, p.drawn) AS high FROM d{k} p JOIN n{k} m ON m.node = p.node AND m.i = p.i + 1)))))),
+q{k + 1} AS (SELECT 2 * node AS node, no, k AS n FROM d{k} WHERE i > 0 UNION ALL SELECT 2 * node + 1, no, n - k FROM d{k} WHERE i > 0)"""
+
+
 ORACLE = rf"""
-WITH sizes AS (
+WITH RECURSIVE sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('{SEED}:' || doc_id) AS key FROM documents),
 {TARGETS},
 plan AS (
-  SELECT doc_id, key, size, no, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes
+  SELECT doc_id, key, size, no, source_size, target, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS passes,
+    substr(key, 1, greatest(2, length(to_hex(source_rows)) - 3)) AS block
   FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source),
 placed AS (
-  SELECT *, target - passes * source_size AS rest, coalesce(sum(size) OVER (
-    PARTITION BY no ORDER BY md5('{SEED}:' || no || ':' || substr(key, 1, 2)), key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM plan)
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, floor(rest + 0.5) - before)) AS BIGINT) AS taken
-FROM placed
+  SELECT *, CAST(floor(target - passes * source_size + 0.5) AS BIGINT) AS rest, coalesce(sum(size) OVER (
+    PARTITION BY no ORDER BY md5('{SEED}:' || no || ':' || block), key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM plan),
+blocks AS (SELECT no, block, CAST(passes + CASE WHEN min(before) < rest AND sum(size) > 0 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM placed GROUP BY no, block, passes, rest),
+q0 AS (SELECT 1 AS node, no, CAST(sum(copies) AS BIGINT) AS n FROM blocks GROUP BY no),
+{",".join(_level(k) for k in range(DEPTH))},
+quotas AS (SELECT node - {1 << DEPTH} AS shard, no, n, sum(n) OVER (PARTITION BY no ORDER BY node) AS upto FROM q{DEPTH}),
+copies AS (SELECT no, block, unnest(range(copies)) AS copy FROM blocks),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY md5('{SEED}:draw:' || no || ':' || block || ':' || copy)) AS rank FROM copies),
+drawn AS (SELECT r.no, block, copy, shard FROM ranked r JOIN quotas s ON s.no = r.no AND rank > upto - n AND rank <= upto),
+taking AS (
+  SELECT doc_id, d.shard, d.copy, CASE WHEN copy < passes THEN size ELSE greatest(0, least(size, rest - before)) END AS words, copy < passes AS whole
+  FROM placed p JOIN drawn d ON d.no = p.no AND d.block = p.block),
+per_doc AS (SELECT doc_id, sum(words) AS taken, string_agg(shard, ',' ORDER BY copy) AS shards FROM taking WHERE whole OR words > 0 GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(shards, '') AS shards FROM placed LEFT JOIN per_doc USING (doc_id)
 """

@@ -14,9 +14,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, ascii_lower, broadcast_if_small, drop_path, id_or_default, read_table, scratch, spare
+from .common import NO_ID, Table, ascii_lower, broadcast_if_small, drop_path, read_table, scratch, spare
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Documents of a line whose rows are joined by broadcast, wherever they are: shuffled, they would be one task's.
+HOT_DOCS = 100_000
 HASH = ["h1", "h2"]
 
 
@@ -30,8 +32,14 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
+    """128 bits: the second hash is seeded with that of a constant, so it doesn't follow from the first."""
     key = line_key(line)
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+
+
+def doc_key() -> Column:
+    """doc_id; of rows without one a number below 0 from the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(NO_ID)))
 
 
 class LineRuns:
@@ -71,6 +79,9 @@ class LineRuns:
     def _compact(self, level: int) -> None:
         names, self.levels[level] = self.levels[level], []
         self._write(self._merged(names), level + 1)
+        self._drop(names)
+
+    def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE {name}")
             drop_path(self.spark, f"{self.folder}/{name}")
@@ -87,23 +98,45 @@ class LineRuns:
     def totals(self) -> DataFrame:
         return self._merged(self.runs())
 
+    def drop(self) -> None:
+        self._drop(self.runs())
+        drop_path(self.spark, self.folder)
+        self.levels = []
+
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """doc and drops (array of line hashes): the lines that a document loses."""
     spark = docs.sparkSession
     found = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.length(line_key(x)) >= min_chars), line_hash))
-    lines = docs.select(id_or_default().alias("doc"), F.explode(found).alias("h")).select("doc", "h.h1", "h.h2")
+    lines = docs.select(doc_key().alias("doc"), F.explode(found).alias("h")).select("doc", "h.h1", "h.h2")
     cuts = [i / batches for i in range(1, batches)]
-    bounds = sorted(set(docs.select(id_or_default().alias("doc")).approxQuantile("doc", cuts, 0.01))) if cuts else []
+    bounds = sorted(set(docs.select(doc_key().alias("doc")).approxQuantile("doc", cuts, 0.01))) if cuts else []
     batch = F.lit(len(bounds)) - sum((F.when(F.col("doc") > F.lit(int(b)), 1).otherwise(0) for b in bounds), F.lit(0))
     # rows that share a doc_id are one document: its lines count once
     table = Table(lines.groupBy("doc", *HASH).agg(batch.alias("batch")).select("doc", *HASH, "batch"), "lines", "batch")
     store = LineRuns(spark, min_docs, fanout)
     for k in range(len(bounds) + 1):
         store.add(table.read().where(F.col("batch") == k))
-    frequent = Table(store.totals().where(F.col("n_docs") >= min_docs), "frequent-lines").read()
-    hits = table.read().join(broadcast_if_small(frequent, frequent.count()), HASH).where(F.col("doc") != F.col("keeper"))
-    return hits.groupBy("doc").agg(F.collect_list(F.struct(*HASH)).alias("drops"))
+    frequent = Table(store.totals().where(F.col("n_docs") >= min_docs), "frequent-lines")
+    store.drop()
+    hits = frequent_hits(table.read(), frequent.read()).where(F.col("doc") != F.col("keeper"))
+    drops = Table(hits.groupBy("doc").agg(F.collect_list(F.struct(*HASH)).alias("drops")), "line-drops")
+    table.drop()
+    frequent.drop()
+    return drops.read()
+
+
+def frequent_hits(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows of lines that are frequent, with their keepers. There are few lines of HOT_DOCS documents or more (as many
+    as there are rows, divided by that): they are joined first, and the rest by shuffle where it isn't small."""
+    n, hot = frequent.agg(F.count(F.lit(1)), F.count_if(F.col("n_docs") >= HOT_DOCS)).first()
+    keepers = frequent.select(*HASH, "keeper")
+    if not hot:
+        return lines.join(broadcast_if_small(keepers, n), HASH)
+    often = frequent.where(F.col("n_docs") >= HOT_DOCS).select(*HASH, F.col("keeper").alias("often"))
+    rows = lines.join(broadcast_if_small(often, hot), HASH, "left")
+    rare = frequent.where(F.col("n_docs") < HOT_DOCS).select(*HASH, "keeper")
+    return rows.where("often IS NOT NULL").withColumnRenamed("often", "keeper").unionByName(rows.where("often IS NULL").drop("often").join(broadcast_if_small(rare, n), HASH))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
@@ -113,14 +146,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     Returns the rows of docs with text replaced by the lines left, joined by \\n, and with n_lines (before dropping) and
     n_dropped, which replace columns of these names. A null or empty text is one empty line; a line repeated in one
     document counts once; rows that share a doc_id are one document and keep or lose the line alike; rows without a
-    doc_id are one document with the smallest id. No rows give no rows; other columns pass through.
+    doc_id are a document for each different text, below all ids from 0 on. No rows give no rows; other columns pass
+    through.
     """
     drops = repeated_lines(docs, min_chars, min_docs, batches, fanout)
     doc, lost, left = spare(docs, "doc", "lost", "left")
     drops = drops.select(F.col("doc").alias(doc), F.col("drops").alias(lost))
     lines, dropped = lines_of(F.col("text")), F.col(lost)
     kept = F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(dropped, line_hash(x)))
-    out = docs.withColumn(doc, id_or_default()).join(drops, doc, "left")
+    out = docs.withColumn(doc, doc_key()).join(drops, doc, "left")
     out = out.withColumn(left, F.when(dropped.isNull(), lines).otherwise(kept)).withColumn("n_lines", F.size(lines).cast("long"))
     out = out.withColumn("n_dropped", F.col("n_lines") - F.size(left)).withColumn("text", F.array_join(left, "\n"))
     return out.drop(doc, lost, left)

@@ -46,7 +46,8 @@ def tile_diagnostics(tiles: DataFrame, threshold: float = 0.5) -> DataFrame:
 def centre_crop(values: Column, padded_height: int, padded_width: int, height: Column, width: Column) -> Column:
     """The part of a padded, flattened array that held the original: offsets floor((padded - size) / 2)."""
     top, left = F.floor((padded_height - height) / 2).cast("int"), F.floor((padded_width - width) / 2).cast("int")
-    return F.flatten(F.transform(F.sequence(top, top + height - 1), lambda r: F.slice(values, r * padded_width + left + 1, width)))
+    # values goes through an array of one, so it is computed once and not for each row
+    return F.flatten(F.transform(F.array(values), lambda v: F.flatten(F.transform(F.sequence(top, top + height - 1), lambda r: F.slice(v, r * padded_width + left + 1, width)))))
 
 
 def crop_faults(tiles: DataFrame, padded_height: int, padded_width: int) -> DataFrame:

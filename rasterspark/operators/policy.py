@@ -21,12 +21,13 @@ def filter_report(chips: DataFrame, threshold: str) -> DataFrame:
 
 
 def apply_filter(chips: DataFrame, threshold: str) -> dict[str, DataFrame]:
-    """active, removed and metadata (one row with the fingerprints of what went in and what stays)."""
+    """active, removed, snapshot (the chips as they came, with what was decided) and metadata (one row with the
+    fingerprints of what went in and what stays)."""
     report = filter_report(chips, threshold)
     active, removed = report.where("action = 'keep'").select(*chips.columns), report.where("action = 'remove'").select(*chips.columns)
     before, after = table_fingerprint(chips), table_fingerprint(active)
     meta = before.select(F.struct("*").alias("input")).crossJoin(after.select(F.struct("*").alias("output"))).withColumn("threshold_pct", F.lit(threshold))  # one row each
-    return {"active": active, "removed": removed, "metadata": meta}
+    return {"active": active, "removed": removed, "snapshot": report, "metadata": meta}
 
 
 def filter_status(chips: DataFrame, metadata: DataFrame, threshold: str) -> str:
@@ -97,6 +98,16 @@ def repair_labels(pixels: DataFrame, family: str, nodata: float = 0) -> DataFram
     return pixels.withColumn("is_nodata", empty).withColumn("label", F.when(empty, 3).otherwise(other))
 
 
+def rebuild_labels(image: DataFrame, labels: DataFrame, origin: tuple[float, float], pixel: tuple[float, float], nodata: float = 0) -> DataFrame:
+    """A label on the image's grid. image: source_tiff_id, row, col, x, y (map position of the pixel's centre), bands;
+    labels: source_tiff_id, row, col, label on a grid of its own -> 1 where the label's pixel at that place is 1, else 0
+    (outside the label too), 3 at nodata pixels of the image; with covered and is_nodata for the audit."""
+    from .joins import nearest_align
+
+    aligned = nearest_align(image, labels, origin, pixel).drop("src_row", "src_col")
+    return repair_labels(aligned, "aligned", nodata)
+
+
 def repaired_parts(chips: DataFrame, limit: float = 50.0) -> tuple[DataFrame, DataFrame]:
     return chips.where(F.col("nodata_pct") <= limit), chips.where(F.col("nodata_pct") > limit)
 

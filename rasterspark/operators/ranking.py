@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -85,16 +85,17 @@ def threshold_examples(chips: DataFrame, thresholds: tuple[float, ...], per_side
     return out
 
 
-def first_of_each(rows: DataFrame, groups: list[str], order: list[str], key: str) -> DataFrame:
-    """The first row of each value of each grouping column, each key once."""
-    parts = []
-    for g in groups:
-        w = Window.partitionBy(g).orderBy(*order)
-        parts.append(rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates([key])
+def qa_sample(rows: DataFrame, groups: list[str], order: list[str], key: str, partial: Column) -> DataFrame:
+    """The first row of each value of each grouping column, and every partial chip; each key once.
+
+    The first row of a group is a partial aggregate, not a sort of the group.
+    """
+    first = F.min_by(key, F.struct(*order, key))
+    keys = [rows.groupBy(g).agg(first.alias(key)).select(key) for g in groups]
+    wanted = rows.where(partial).select(key)
+    for k in keys:
+        wanted = wanted.unionByName(k)
+    return rows.join(wanted.distinct(), key, "left_semi")
 
 
 def seeded_sample(rows: DataFrame, key: str, seed: int, k: int) -> DataFrame:
@@ -117,6 +118,16 @@ def manifest_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.lower("region_id"), "acquisition_date", F.lower("source_tiff_id"), "source_tiff_id")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Sorted rows with their places from 1 on: a range sort, then the rows before each partition are added; no task
+    sorts or holds the table."""
+    cut = rows.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
+    sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return cut.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").withColumn(name, F.col("before") + inside + 1).drop("part", "id", "before")
+
+
 def footprint_order(regions: DataFrame, last: str = "bc") -> DataFrame:
     return regions.orderBy(F.col("region_id") == last, "region_id")
 

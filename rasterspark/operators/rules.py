@@ -84,11 +84,12 @@ def raster_pairs(images: DataFrame, labels: DataFrame, bands: int = 8, nodata: i
     out = i.join(j, F.col("i.source_tiff_id") == F.col("l.source_tiff_id"), "left")
     far = lambda cols, eps: reduce(Column.__or__, [F.abs(F.col(f"i.{c}") - F.col(f"l.{c}")) > eps for c in cols])
     rules = {
-        "missing label": F.col("l.source_tiff_id").isNull(), "shape": (F.col("i.width") != F.col("l.width")) | (F.col("i.height") != F.col("l.height")), "crs": ~F.col("i.crs").eqNullSafe(F.col("l.crs")),
+        "shape": (F.col("i.width") != F.col("l.width")) | (F.col("i.height") != F.col("l.height")), "crs": ~F.col("i.crs").eqNullSafe(F.col("l.crs")),
         "transform": far([f"transform_{k}" for k in "abcdef"], 1e-9), "bounds": far(["bounds_left", "bounds_bottom", "bounds_right", "bounds_top"], 1e-6), "image bands": F.col("i.band_count") != bands, "label bands": F.col("l.band_count") != 1,
         "label dtype": F.col("l.dtype") != "uint8", "label nodata": ~F.col("l.nodata").eqNullSafe(F.lit(float(nodata))), "label values": F.exists("l.label_values", lambda v: (v < 0) | (v > 4)), "unlabelled nodata": F.col("l.nodata_unlabelled") > 0,
     }
     text = F.concat_ws("; ", F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()])))
+    text = F.when(F.col("l.source_tiff_id").isNull(), "missing label").otherwise(text)
     return out.select(F.col("i.source_tiff_id").alias("source_tiff_id"), text.alias("issues")).where("issues <> ''")
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -13,28 +11,13 @@ from ..operators import aggregates as A
 from ..operators import grid, hashing, joins, overlap, policy, ranking, rules, sets
 from ..streaming import registry
 from .adapters import PIXELS, Tables, duck
+from .base import ORACLES, QUERIES, query, rounded  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 S, C = ("sources",), ("sources", "chip_counts", "chips")
 THRESHOLDS = (25.0, 50.0, 60.0, 75.0)
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
-
-
 _KEEP = "nodata_pct <= 50"
 
 
@@ -51,13 +34,13 @@ _SUMS = ", ".join(f"coalesce(sum(CASE WHEN class_presence {op} 'positive' THEN {
 
 
 @query(duck(*C) + f""",
-lev AS (SELECT 'global' AS level, NULL AS region, NULL AS source, * FROM chips UNION ALL SELECT 'region', region_id, NULL, * FROM chips),
+lev AS (SELECT 'global' AS level, NULL AS region, NULL AS source, * FROM chips UNION ALL SELECT 'region', region_id, NULL, * FROM chips UNION ALL SELECT 'source', region_id, source_tiff_id, * FROM chips),
 agg AS (SELECT level, region, source, class_presence, count(*) AS chips, count(*) FILTER (class_presence = 'positive') AS selected_chips, count(*) FILTER (class_presence <> 'positive') AS excluded_chips, {_SUMS} FROM lev GROUP BY ALL),
 keys AS (SELECT DISTINCT level, region, source, cp FROM agg, (VALUES ('positive'), ('clean_background_only'), ('mixed_background_nodata'), ('ignore_only')) v(cp))
-SELECT k.level, k.region, k.cp AS class_presence, {", ".join(f"coalesce(a.{m}, 0) AS {m}" for m in ("chips", "selected_chips", "excluded_chips", *[f"{s}_{c}" for c in A.PIXELS for s in ("selected", "excluded")]))}
-FROM keys k LEFT JOIN agg a ON a.level = k.level AND a.region IS NOT DISTINCT FROM k.region AND a.class_presence = k.cp""")
+SELECT k.level, k.region, k.source, k.cp AS class_presence, {", ".join(f"coalesce(a.{m}, 0) AS {m}" for m in ("chips", "selected_chips", "excluded_chips", *[f"{s}_{c}" for c in A.PIXELS for s in ("selected", "excluded")]))}
+FROM keys k LEFT JOIN agg a ON a.level = k.level AND a.region IS NOT DISTINCT FROM k.region AND a.source IS NOT DISTINCT FROM k.source AND a.class_presence = k.cp""")
 def class_presence_rollup(t: Tables) -> DataFrame:
-    return A.presence_rollup(policy.training_selection(t["chips"])).where("level <> 'source'").drop("source")
+    return A.presence_rollup(policy.training_selection(t["chips"]))
 
 
 @query(duck(*C) + """
@@ -124,15 +107,23 @@ def audit_bins(t: Tables) -> DataFrame:
     return A.audit_bins(t["chips"])
 
 
-@query(duck(*C) + """
+@query(duck(*C) + """,
+b AS (SELECT chip_id, CASE WHEN k % 11 = 1 THEN 0 ELSE total_pixel_count END AS total_pixel_count, CASE WHEN k % 13 = 2 THEN -1 ELSE class_0_pixel_count END AS class_0_pixel_count, class_1_pixel_count, ignore_pixel_count,
+  CASE WHEN k % 17 = 3 THEN 100 ELSE nodata_pixel_count END AS nodata_pixel_count, CASE WHEN k % 19 = 4 THEN nodata_pct + 0.5 ELSE nodata_pct END AS nodata_pct, CASE WHEN k % 23 = 5 THEN row_off + 3 ELSE row_off END AS row_off, CASE WHEN k % 29 = 6 THEN 1000 ELSE chip_width END AS chip_width,
+  col_off, chip_height, source_width, source_height FROM (SELECT *, CAST(substr(source_tiff_id, 5) AS BIGINT) + chip_index AS k FROM chips))
 SELECT issue_type, count(*) AS n, min(chip_id) AS first_id FROM (
-  SELECT chip_id, unnest(list_filter([CASE WHEN nodata_pixel_count > 40 THEN 'nodata_over' END, CASE WHEN nodata_pct > 90 THEN 'too_empty' END, CASE WHEN row_off + 1024 > source_height THEN 'outside' END,
-    CASE WHEN col_off + 1024 > source_width THEN 'outside' END, CASE WHEN total_pixel_count <> 1024 * 1024 THEN 'total' END], lambda x: x IS NOT NULL)) AS issue_type FROM chips) GROUP BY 1""")
+  SELECT chip_id, unnest(list_filter([CASE WHEN total_pixel_count <= 0 THEN 'no_pixels' END, CASE WHEN least(class_0_pixel_count, class_1_pixel_count, ignore_pixel_count, nodata_pixel_count) < 0 THEN 'negative_count' END,
+    CASE WHEN class_0_pixel_count + class_1_pixel_count + ignore_pixel_count <> total_pixel_count THEN 'class_sum' END, CASE WHEN nodata_pixel_count > ignore_pixel_count THEN 'nodata_over' END,
+    CASE WHEN total_pixel_count > 0 AND abs(nodata_pct - 100.0::DOUBLE * nodata_pixel_count / total_pixel_count) > 1e-9 THEN 'nodata_pct' END,
+    CASE WHEN row_off < 0 OR col_off < 0 OR row_off + chip_height > source_height OR col_off + chip_width > source_width THEN 'outside' END,
+    CASE WHEN chip_height <> 1024 OR row_off % 512 <> 0 THEN 'row_window' END, CASE WHEN chip_width <> 1024 OR col_off % 512 <> 0 THEN 'col_window' END, CASE WHEN total_pixel_count <> chip_width * chip_height THEN 'total' END], lambda x: x IS NOT NULL)) AS issue_type FROM b) GROUP BY 1""")
 def chip_violations(t: Tables) -> DataFrame:
-    chips = t["chips"]
-    # the tables hold no broken counts: against a limit of 40 pixels the rule has something to find
-    shifted = chips.withColumn("ignore_pixel_count", F.lit(40).cast("long")).withColumn("class_0_pixel_count", F.lit(60) - F.col("class_1_pixel_count"))
-    found = rules.collect_issues(rules.count_algebra(shifted).where("issue_type = 'nodata_over'"), rules.stored_percentage(chips), rules.window_validity(chips, 1024, 512), rules.violations(chips, "chip_id", too_empty=F.col("nodata_pct") > 90))
+    """Faults of every kind planted in some of the chips."""
+    k = F.substring("source_tiff_id", 5, 20).cast("long") + F.col("chip_index")
+    planted = {"total_pixel_count": (11, F.lit(0)), "class_0_pixel_count": (13, F.lit(-1)), "nodata_pixel_count": (17, F.lit(100)), "nodata_pct": (19, F.col("nodata_pct") + 0.5), "row_off": (23, F.col("row_off") + 3), "chip_width": (29, F.lit(1000))}
+    chips = t["chips"].withColumns({c: F.when(F.pmod(k, F.lit(m)) == at, v).otherwise(F.col(c)) for at, (c, (m, v)) in enumerate(planted.items(), 1)})
+    some = chips.where("total_pixel_count > 0")  # a percentage of no pixels can't be recomputed
+    found = rules.collect_issues(rules.count_algebra(chips), rules.stored_percentage(some), rules.window_validity(chips, 1024, 512))
     return found.groupBy("issue_type").agg(F.count(F.lit(1)).alias("n"), F.min("candidate_id").alias("first_id"))
 
 
@@ -227,11 +218,11 @@ def fold_summary(t: Tables) -> DataFrame:
 
 @query(duck(*C) + _ROLES + """,
 sel AS (SELECT *, total_pixel_count + chip_index AS byte_size FROM base WHERE experiment_split <> ''),
-g AS (SELECT 'split' AS grouping, '' AS value, * FROM sel UNION ALL SELECT 'region', region_id, * FROM sel UNION ALL SELECT 'date', acquisition_date::VARCHAR, * FROM sel UNION ALL SELECT 'class', class_presence, * FROM sel)
+g AS (SELECT 'split' AS grouping, '' AS value, * FROM sel UNION ALL SELECT 'region', region_id, * FROM sel UNION ALL SELECT 'date', acquisition_date::VARCHAR, * FROM sel UNION ALL SELECT 'class', class_presence, * FROM sel UNION ALL SELECT 'source', source_tiff_id, * FROM sel)
 SELECT experiment_split, grouping, value, count(*) AS chips, count(DISTINCT source_tiff_id) AS sources, sum(byte_size) AS bytes FROM g GROUP BY 1, 2, 3""")
 def fold_inventory(t: Tables) -> DataFrame:
     files = t["chips"].select("chip_id", (F.col("total_pixel_count") + F.col("chip_index")).alias("byte_size"))
-    return A.selected_inventory(policy.baseline_fold(_with_roles(t)), files).where("grouping <> 'source'")
+    return A.selected_inventory(policy.baseline_fold(_with_roles(t)), files)
 
 
 @query("""
@@ -467,7 +458,8 @@ def status_transitions(t: Tables) -> DataFrame:
     return registry.transition_faults(t["source_states"], ["run_key"], low, (high,)).select("run_key", "seq", "event_id", "previous")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS run_key, event_type AS status, {'ts': ts, 'event_id': event_id} AS seq FROM events)
+SELECT run_key, arg_max(status, seq) AS status, max(seq).ts AS ts, max(seq).event_id AS event_id FROM e GROUP BY 1""")
 def latest_state_stream(t: Tables) -> DataFrame:
     from pyspark.sql import SparkSession
 
@@ -480,7 +472,7 @@ def latest_state_stream(t: Tables) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     path = f"{folder}/stream-{uuid.uuid4().hex}"
     registry.upsert_states(stream, ["run_key"], f"{path}/table", f"{path}/checkpoint")
-    return registry.read_states(spark, f"{path}/table")
+    return registry.read_states(spark, f"{path}/table").select("run_key", "status", "seq.ts", "seq.event_id")
 
 
 @query("""SELECT 'chips/all/' || doc_id AS relative_path, n_chars AS byte_size, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'stored' ELSE sha256(coalesce(text, '')) END AS sha256, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'reused' ELSE 'fresh' END AS hash_source FROM documents""")
@@ -516,13 +508,22 @@ def logit_ensemble(t: Tables) -> DataFrame:
     return joins.logit_ensemble(a, b, ["source_tiff_id", "row", "col"]).groupBy("source_tiff_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum("mask").alias("positives"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(255 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CAST(x AS DOUBLE) + 1) / 2))) AS INT)) AS v FROM embeddings)
+SELECT concat('chip_', vec_id) AS chip_id, round(list_sum(list_transform(v, lambda x: CAST(CAST(x / greatest(list_max(v), 1) AS FLOAT) AS DOUBLE))), 6) AS total FROM v""")
 def score_tiles(t: Tables) -> DataFrame:
     """A plain predictor over the tiles: the share of the image's greatest value."""
     tiles = t.tiles().withColumn("image", F.transform("probability", lambda p: (255 * p).cast("int"))).withColumn("b", F.lit(1)).select("chip_id", "h", "w", "b", "image", "label")
     return overlap.score_tiles(tiles, lambda image, label: image[:, :, 0] / max(int(image.max()), 1)).select("chip_id", F.round(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("SELECT count(*) AS n_rows FROM part")
+@query()
 def table_fingerprint(t: Tables) -> DataFrame:
-    return hashing.table_fingerprint(t["part"]).select("n_rows")
+    """Fingerprints of a table, of its rows in another order, and of one with a changed row."""
+    part = t["part"]
+    changed = part.withColumn("p_size", F.when(F.col("p_partkey") == 1, -1).otherwise(F.col("p_size")))
+    tables = {"part": part, "shuffled": part.repartition(7, "p_name"), "changed": changed}
+    found = [hashing.table_fingerprint(df).withColumn("name", F.lit(name)) for name, df in tables.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+from . import checks  # noqa: E402, F401

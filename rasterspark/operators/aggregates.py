@@ -182,20 +182,6 @@ def bootstrap_interval(deltas: DataFrame, value: str = "delta", statistic: str =
     return rows.groupBy("scope").applyInPandas(resample, "scope string, n long, low double, high double")
 
 
-def poisson_bootstrap(rows: DataFrame, value: str, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """The same idea for groups too large for one task: Poisson(1) weights by hash, all sums mergeable."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("r"), F.col("id")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cuts, total, p = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += p
-        cuts.append(total)
-        p /= k
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    spread = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = spread.groupBy("scope", "r").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
-    return means.groupBy("scope").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("scope", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-
-
 def bootstrap_interval_by_sums(deltas: DataFrame, key: str, value: str = "delta", replicates: int = 10_000, seed: int = 20260810, chunk: int = 250) -> DataFrame:
     """95% percentile interval of the mean, by region and over all, for groups of any size: a row weighs Poisson(1) in
     each replicate by a seed from its key, so a replicate is two sums. Each task adds its rows up by scope and chunk of

@@ -97,21 +97,26 @@ def region_envelopes(rasters: DataFrame) -> DataFrame:
     return rasters.groupBy("region_id", "dataset", "region_name").agg(F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.max("top").alias("top"), F.count_distinct("source_tiff_id").alias("source_count"))
 
 
-def footprints(boxes: DataFrame) -> DataFrame:
-    """boxes: region_id, left, bottom, right, top -> area and centroid of the union of each region's boxes.
+def footprint_parts(boxes: DataFrame) -> DataFrame:
+    """boxes: region_id, left, bottom, right, top -> region_id, x, x2, from, to: disjoint rectangles of the same union.
 
     The plane is cut at all ends in x; within a slab the union in y is a walk over sorted intervals. Slabs are keyed by
     their left end, so a box meets only the slabs that it spans.
     """
-    ends = boxes.select("region_id", F.explode(F.array("left", "right")).alias("x")).distinct()
     from pyspark.sql import Window
 
+    ends = boxes.select("region_id", F.explode(F.array("left", "right")).alias("x")).distinct()
     slabs = ends.withColumn("x2", F.lead("x").over(Window.partitionBy("region_id").orderBy("x"))).where("x2 IS NOT NULL")
     b, s = boxes.alias("b"), slabs.alias("s")
     inside = b.join(s, (F.col("b.region_id") == F.col("s.region_id")) & (F.col("left") <= F.col("x")) & (F.col("right") >= F.col("x2")))
     order = Window.partitionBy("b.region_id", "x").orderBy("bottom", "top")
     reach = F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = inside.withColumn("from", F.greatest("bottom", F.coalesce(reach, F.col("bottom")))).where("top > from")
-    area = (F.col("x2") - F.col("x")) * (F.col("top") - F.col("from"))
-    spans = spans.select("b.region_id", area.alias("a"), ((F.col("x") + F.col("x2")) / 2).alias("cx"), ((F.col("top") + F.col("from")) / 2).alias("cy"))
-    return spans.groupBy("region_id").agg(F.sum("a").alias("area"), F.try_divide(F.sum(F.col("a") * F.col("cx")), F.sum("a")).alias("centroid_x"), F.try_divide(F.sum(F.col("a") * F.col("cy")), F.sum("a")).alias("centroid_y"))
+    return spans.select("b.region_id", "x", "x2", "from", F.col("top").alias("to"))
+
+
+def footprints(boxes: DataFrame) -> DataFrame:
+    """boxes: region_id, left, bottom, right, top -> area and centroid of the union of each region's boxes."""
+    area = (F.col("x2") - F.col("x")) * (F.col("to") - F.col("from"))
+    parts = footprint_parts(boxes).select("region_id", area.alias("a"), ((F.col("x") + F.col("x2")) / 2).alias("cx"), ((F.col("to") + F.col("from")) / 2).alias("cy"))
+    return parts.groupBy("region_id").agg(F.sum("a").alias("area"), F.try_divide(F.sum(F.col("a") * F.col("cx")), F.sum("a")).alias("centroid_x"), F.try_divide(F.sum(F.col("a") * F.col("cy")), F.sum("a")).alias("centroid_y"))

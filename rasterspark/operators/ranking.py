@@ -120,8 +120,10 @@ def manifest_order(rows: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
     """Sorted rows with their places from 1 on: a range sort, then the rows before each partition are added; no task
-    sorts or holds the table."""
-    cut = rows.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
+    sorts or holds the table. The sort is written, for it need not cut its ranges alike twice."""
+    from ..sources.scratch import saved
+
+    cut = saved(rows.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()), "numbered")
     sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
     before = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))

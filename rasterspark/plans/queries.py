@@ -9,6 +9,7 @@ from ..functions import exprs as X
 from ..functions import metrics as M
 from ..operators import aggregates as A
 from ..operators import grid, hashing, joins, overlap, policy, ranking, rules, sets
+from ..sources import scratch
 from ..streaming import registry
 from .adapters import PIXELS, Tables, duck
 from .base import ORACLES, QUERIES, query, rounded  # noqa: F401
@@ -466,11 +467,7 @@ def latest_state_stream(t: Tables) -> DataFrame:
     spark: SparkSession = t.spark
     stream = spark.readStream.schema(t["events"].schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/event[s].parquet")
     stream = stream.select(F.col("user_id").alias("run_key"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("status"))
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    path = scratch.path(spark, "stream")
     registry.upsert_states(stream, ["run_key"], f"{path}/table", f"{path}/checkpoint")
     return registry.read_states(spark, f"{path}/table").select("run_key", "status", "seq.ts", "seq.event_id")
 
@@ -526,4 +523,4 @@ def table_fingerprint(t: Tables) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-from . import checks  # noqa: E402, F401
+from . import checks, files  # noqa: E402, F401

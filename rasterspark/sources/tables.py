@@ -57,8 +57,8 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """NPZ chips with exactly the arrays image (h, w, b) and label (h, w), one row for each file."""
+def decode_tiles(files: DataFrame) -> DataFrame:
+    """files: path, content (NPZ bytes with exactly the arrays image (h, w, b) and label (h, w)) -> tiles."""
 
     def decode(frames):
         import numpy as np
@@ -76,10 +76,43 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((name, *image.shape, image.astype("int32").ravel(), label.astype("int32").ravel()))
             yield pd.DataFrame(rows, columns=["path", "h", "w", "b", "image", "label"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInPandas(decode, TILE)
 
 
+def encode_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles (path, h, w, b, image, label) -> path and NPZ bytes."""
+
+    def encode(frames):
+        import numpy as np
+
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                held = io.BytesIO()
+                np.savez_compressed(held, image=np.asarray(row.image, np.int32).reshape(row.h, row.w, row.b), label=np.asarray(row.label, np.int32).reshape(row.h, row.w))
+                out.append(held.getvalue())
+            yield frame[["path"]].assign(content=out)
+
+    return tiles.select("path", "h", "w", "b", "image", "label").mapInPandas(encode, "path string, content binary")
+
+
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """NPZ chips, one row for each file."""
+    return decode_tiles(spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path))
+
+
+#: Columns of a hosted image dataset.
+IMAGE_COLUMNS = ("image.tif", "label.tif")
+
+
+def read_image_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset split with its arrays in the columns image.tif and label.tif -> image and label, and other columns."""
+    df = spark.read.parquet(path)
+    if missing := [c for c in IMAGE_COLUMNS if c not in df.columns]:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    return df.select(*[F.col(f"`{c}`").alias(c.removesuffix(".tif")) for c in IMAGE_COLUMNS], *[F.col(f"`{c}`") for c in df.columns if c not in IMAGE_COLUMNS])
+
+
 def read_blocks(spark: SparkSession, path: str, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Block rows of rasters, of some bands, that touch a window (row, col, height, width); both prune the scan."""
     df = spark.read.parquet(path)
@@ -91,8 +124,33 @@ def read_blocks(spark: SparkSession, path: str, bands: list[int] | None = None,
     return df
 
 
+def read_window(spark: SparkSession, path: str, bands: list[int], window: tuple[int, int, int, int]) -> DataFrame:
+    """The parts of the blocks that lie in a window (row, col, height, width): offsets, h, w and values of each part."""
+    from ..operators.grid import cut_tile
+
+    row, col, height, width = window
+    top, left = F.greatest("row_off", F.lit(row)), F.greatest("col_off", F.lit(col))
+    h, w = F.least(F.col("row_off") + F.col("h"), F.lit(row + height)) - top, F.least(F.col("col_off") + F.col("w"), F.lit(col + width)) - left
+    part = cut_tile(F.col("values"), F.col("w"), F.lit(1), top - F.col("row_off"), left - F.col("col_off"), h, w)
+    blocks = read_blocks(spark, path, bands, window)
+    # named apart first: within a lambda Spark takes an alias of the same select for the column of that name
+    parts = blocks.select(*[c for c in blocks.columns if c not in ("row_off", "col_off", "h", "w", "values")], F.struct(top.alias("row_off"), left.alias("col_off"), h.alias("h"), w.alias("w"), part.alias("values")).alias("part"))
+    return parts.select(*[c for c in parts.columns if c != "part"], "part.*")
+
+
+def event_faults(spark: SparkSession, path: str, schema: str, statuses: tuple[str, ...] = ()) -> DataFrame:
+    """file, line (from 1) and fault (json, status) of the lines that read_events would fail on. A log is read whole, file
+    by file, for its line numbers; ask for them once the reader has failed."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.col("value"), "\n")).alias("line", "text"))
+    parsed = lines.where(F.trim("text") != "").withColumn("e", F.from_json("text", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    fault = F.when(F.col("e").isNull() | F.col("e._corrupt_record").isNotNull(), "json")
+    if statuses:
+        fault = fault.when(~F.coalesce(F.col("e.status").isin(*statuses), F.lit(False)), "status")
+    return parsed.select("file", (F.col("line") + 1).alias("line"), fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def read_events(spark: SparkSession, path: str, schema: str, statuses: tuple[str, ...] = ()) -> DataFrame:
-    """JSON lines with line numbers left to the reader's error; an unknown status is fatal when rows are read."""
+    """JSON lines; a broken line or an unknown status is fatal when rows are read, event_faults() tells which lines."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if statuses:
         known = F.col("status").isin(*statuses)
@@ -140,21 +198,48 @@ def summary_json(df: DataFrame) -> DataFrame:
 
 
 def write_views(folds: DataFrame, path: str) -> None:
+    """The selected chips by fold and split; verify_views() holds what was written against them."""
     folds.where("selected").write.partitionBy("fold_id", "experiment_split").parquet(path)
 
 
-def write_predictions(pixels: DataFrame, path: str) -> None:
-    """Probability (null where uncovered) and mask (255 where uncovered) by source."""
-    pixels.withColumn("mask", F.coalesce("mask", F.lit(255))).repartition("source_tiff_id").write.partitionBy("source_tiff_id").parquet(path)
+def verify_views(spark: SparkSession, folds: DataFrame, path: str) -> DataFrame:
+    """fold_id, experiment_split, chip_id and side (missing, unexpected) of rows that the written set and the selected
+    one don't share; empty if they are equal."""
+    from ..operators.sets import symmetric_difference
+
+    keys = ["fold_id", "experiment_split", "chip_id"]
+    return symmetric_difference(folds.where("selected"), spark.read.parquet(path), keys)
+
+
+def dense_pixels(pixels: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every pixel of each source (source_width, source_height): probability null and mask 255 where none is covered."""
+    place = F.explode(F.sequence(F.lit(0).cast("long"), F.col("source_height").cast("long") * F.col("source_width") - 1))
+    grid = sources.select("source_tiff_id", "source_width", place.alias("i"))
+    grid = grid.select("source_tiff_id", F.expr("CAST(i DIV source_width AS INT)").alias("row"), F.pmod("i", "source_width").cast("int").alias("col"))
+    out = grid.join(pixels.select("source_tiff_id", "row", "col", "probability", "mask"), ["source_tiff_id", "row", "col"], "left")
+    return out.withColumn("mask", F.coalesce("mask", F.lit(255)))
+
+
+def write_predictions(pixels: DataFrame, sources: DataFrame, path: str) -> None:
+    """Probability (null where uncovered) and mask (255 where uncovered) of all pixels, by source."""
+    dense_pixels(pixels, sources).repartition("source_tiff_id").write.partitionBy("source_tiff_id").parquet(path)
+
+
+def features(regions: DataFrame, boxes: DataFrame) -> DataFrame:
+    """A JSON feature collection with the dissolved footprint (disjoint rectangles) and its area centroid for each region.
+
+    regions: region_id, source_count; boxes: region_id, left, bottom, right, top. One row for each region is gathered.
+    """
+    from ..operators.grid import footprint_parts, footprints
 
+    corners = [("x", "from"), ("x2", "from"), ("x2", "to"), ("x", "to"), ("x", "from")]
+    ring = F.array(F.array(*[F.array(F.col(x), F.col(y)) for x, y in corners]))
+    shapes = footprint_parts(boxes).groupBy("region_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "from", ring.alias("ring")))), lambda s: s["ring"]).alias("rings"))
+    rows = regions.join(shapes, "region_id").join(footprints(boxes), "region_id")
 
-def features(regions: DataFrame) -> DataFrame:
-    """A JSON feature collection with an envelope and a centroid for each region (a small table)."""
-    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("left", "bottom"), ("right", "bottom"), ("right", "top"), ("left", "top"), ("left", "bottom"))])
-    point = F.array((F.col("left") + F.col("right")) / 2, (F.col("bottom") + F.col("top")) / 2)
     def feature(kind, coordinates):
         return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct("region_id", "source_count").alias("properties")))
 
-    rows = regions.select("region_id", F.explode(F.array(feature("Polygon", F.array(ring)), feature("Point", point))).alias("f"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("region_id", "f"))), lambda r: r["f"]), ",")
+    rows = rows.select("region_id", F.posexplode(F.array(feature("MultiPolygon", F.col("rings")), feature("Point", F.array("centroid_x", "centroid_y")))).alias("k", "f"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("region_id", "k", "f"))), lambda r: r["f"]), ",")
     return rows.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("json"))

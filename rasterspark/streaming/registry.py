@@ -7,11 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def latest_states(events: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """Batch or stream (update mode): the last event of each key."""
-    fields = [c for c in events.columns if c not in keys]
-    return events.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("s")).select(*keys, "s.*")
+from ..operators.ranking import latest_state as latest_states
 
 
 def transition_faults(events: DataFrame, keys: list[str], resumes: str, resumable: tuple[str, ...], order: str = "seq") -> DataFrame:
@@ -20,20 +16,17 @@ def transition_faults(events: DataFrame, keys: list[str], resumes: str, resumabl
     return events.withColumn("previous", before).where((F.col("status") == resumes) & F.col("previous").isNotNull() & ~F.col("previous").isin(*resumable))
 
 
-def run_available(stream: DataFrame, keys: list[str], name: str, checkpoint: str) -> DataFrame:
-    """Takes what has arrived into a memory table of latest states."""
-    query = latest_states(stream, keys).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def upsert_states(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
-    """Appends events and keeps a table of latest states: a new version for each batch, named by the batch, so a batch
-    that is delivered again writes the same version."""
+    """Appends events and keeps a table of latest states: a new version for each batch, from the version before it and
+    the batch alone. Versions are named by the batch, so one that is delivered again writes the same version."""
+
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
-        latest_states(spark.read.parquet(f"{path}/events").drop("batch"), keys).write.mode("overwrite").parquet(f"{path}/state/version={number}")
+        rows = spark.read.schema(batch.schema).parquet(f"{path}/events/batch={number}")
+        if number:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/state/version={number - 1}").select(*batch.columns))
+        latest_states(rows, keys).write.mode("overwrite").parquet(f"{path}/state/version={number}")
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -44,6 +37,12 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
     return states.where(F.col("version") == states.agg(F.max("version")).first()[0]).drop("version")
 
 
+def run_available(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Takes what has arrived and returns the latest states."""
+    upsert_states(stream, keys, path, checkpoint)
+    return read_states(stream.sparkSession, path)
+
+
 def process_new(work: DataFrame, done: Callable[[], DataFrame], keys: list[str], process: Callable[[DataFrame], None]) -> int:
     """Processes what has no completion of the same identity; returns how many there were."""
     todo = work.join(done().select(*keys), keys, "left_anti").cache()

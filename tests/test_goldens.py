@@ -163,7 +163,7 @@ def test_footprint(spark):
     boxes = spark.createDataFrame([("r", 0.0, 0.0, 2.0, 2.0), ("r", 1.0, 1.0, 3.0, 3.0)], "region_id string, left double, bottom double, right double, top double")
     row = grid.footprints(boxes).first()
     assert (row.area, row.centroid_x) == (7.0, 1.5)
-    assert "FeatureCollection" in tables.features(boxes.limit(1).withColumn("source_count", F.lit(1))).first().json
+    assert "FeatureCollection" in tables.features(boxes.limit(1).withColumn("source_count", F.lit(1)), boxes).first().json
 
 
 def test_tiles_and_scores(spark, tmp_path):
@@ -198,7 +198,7 @@ def test_registry_stream(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "1.json").write_text('{"seq":1,"version":"v","run_key":"a","status":"started"}\n{"seq":2,"version":"v","run_key":"a","status":"completed"}\n{"seq":3,"version":"v","run_key":"b","status":"started"}\n')
     stream = lambda: spark.readStream.schema(schema).json(str(tmp_path / "log"))
-    found = registry.run_available(stream(), ["version", "run_key"], "states_test", str(tmp_path / "c1"))
+    found = registry.run_available(stream(), ["version", "run_key"], str(tmp_path / "t1"), str(tmp_path / "c1"))
     assert {(r.run_key, r.status) for r in found.collect()} == {("a", "completed"), ("b", "started")}
     registry.upsert_states(stream(), ["version", "run_key"], str(tmp_path / "t"), str(tmp_path / "c2"))
     assert {(r.run_key, r.status) for r in registry.read_states(spark, str(tmp_path / "t")).collect()} == {("a", "completed"), ("b", "started")}
@@ -244,4 +244,32 @@ def test_registered_queries_stay_off_one_task_and_the_driver(spark, monkeypatch)
     assert QUERIES["bootstrap_ci"](spark, folder).count() > 1
     states, events = QUERIES["latest_state_stream"](spark, folder), spark.read.parquet(f"{folder}/events.parquet")
     want = registry.latest_states(events.selectExpr("user_id AS run_key", "struct(ts, event_id) AS seq"), ["run_key"])
-    assert {(r.run_key, r.seq) for r in states.collect()} == {(r.run_key, r.seq) for r in want.collect()}
+    assert {(r.run_key, r.ts, r.event_id) for r in states.collect()} == {(r.run_key, r.seq.ts, r.seq.event_id) for r in want.collect()}
+
+
+def test_states_over_several_batches(spark, tmp_path):
+    schema = "seq int, run_key string, status string"
+    (tmp_path / "log").mkdir()
+    for k, rows in enumerate(([(1, "a", "started"), (2, "b", "started")], [(4, "a", "completed")], [(3, "a", "failed"), (5, "c", "started")])):
+        (tmp_path / "log" / f"{k}.json").write_text("".join(f'{{"seq":{s},"run_key":"{r}","status":"{v}"}}\n' for s, r, v in rows))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "log"))
+        found = registry.run_available(stream, ["run_key"], str(tmp_path / "t"), str(tmp_path / "c"))
+    assert {(r.run_key, r.status, r.seq) for r in found.collect()} == {("a", "completed", 4), ("b", "started", 2), ("c", "started", 5)}
+
+
+@pytest.mark.parametrize("statistic", ["mean", "median"])
+def test_bootstrap_draws_are_numpys(spark, statistic):
+    values = np.sort(np.sin(np.arange(53)) / 10)
+    drawn = values[np.random.default_rng(20260810).integers(0, len(values), (10_000, len(values)))]
+    low, high = np.quantile(getattr(np, statistic)(drawn, axis=1), [0.025, 0.975])
+    rows = spark.createDataFrame([("r", float(v)) for v in values], "region_id string, delta double")
+    found = {r.scope: r for r in A.bootstrap_interval(rows, statistic=statistic).collect()}
+    assert {(r.low, r.high) for r in found.values()} == {(low, high)} and found["r"].n == 53
+
+
+def test_table_fingerprints(spark):
+    found = {r.name: (r.n_rows, r.digest) for r in __import__("rasterspark.plans.queries", fromlist=["QUERIES"]).QUERIES["table_fingerprint"](spark, "/root/testdata/sf0.001").collect()}
+    assert found["part"] == found["shuffled"] and found["part"][0] == found["changed"][0] and found["part"][1] != found["changed"][1]
+    rows = [(1, "a"), (2, None), (2, None)]
+    hashes = [r[0] for r in spark.createDataFrame(rows, "k int, v string").select(F.xxhash64("k", "v")).collect()]
+    assert tuple(hashing.table_fingerprint(spark.createDataFrame(rows, "k int, v string")).first()) == (3, sum(hashes))

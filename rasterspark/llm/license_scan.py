@@ -1,15 +1,17 @@
 """License scans by conditional compression.
 
-Candidate blocks are windows of words around a template's anchors, across lines: a few words in a row, so many apart that
-a text with the template's wording has one of them whole. The wording is compared word by word, and every confirmed
-template is returned; of one licence's templates over the same words the one whose zstandard raw dictionary saves most.
-Lines with a licensing cue that no confirmed template covers, taken together where they follow each other, are blocks
-too: the template that saves most is the likely one. Templates are a parameter; NOTICES holds short public notices.
+Candidate blocks are runs of words around anchors of the templates (a few words in a row, so many of each template that a
+text with its wording has one of them whole), and lines with a licensing cue. A block is compressed with each template as
+a zstandard raw dictionary. In the order of what they save, templates are compared with the block word by word; the first
+whose wording is there is the block's licence. What lies before and after its words is a block again, so licences side by
+side are all found. A block without a confirmed template is kept, unnamed, where the best one saves a good share of it.
+Templates are a parameter; NOTICES holds public notices, short ones and whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -24,22 +26,39 @@ NOTICES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ),
     "MIT": (
         "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    ),
 }
 #: Share of a template's words that may be missing from a block, or stand between its words there.
 SLACK = 0.1
 ANCHOR = 3
+#: Least share of a block's compressed size that the best template saves if the block is kept without a licence.
+LIKELY = 0.2
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -64,17 +83,17 @@ def anchor_pattern(notices: dict[str, tuple[str, ...]]) -> str:
     return "(?i)" + "|".join(sorted(runs))
 
 
-def candidate_blocks(text: str, covered: frozenset[int] | set[int] = frozenset()) -> list[tuple[int, str]]:
-    """First line and text of each run of lines with a cue, without the covered lines."""
-    out: list[tuple[int, str]] = []
-    last = -2
-    for k, line in enumerate(text.split("\n")):
-        if k not in covered and re.search(CUE, line):
-            if k == last + 1:
-                out[-1] = (out[-1][0], f"{out[-1][1]}\n{line}")
+def cue_spans(text: str) -> list[tuple[int, int]]:
+    """Begin and end of each run of lines with a cue."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    for line in text.split("\n"):
+        if re.search(CUE, line):
+            if out and out[-1][1] == at - 1:
+                out[-1] = (out[-1][0], at + len(line))
             else:
-                out.append((k, line))
-            last = k
+                out.append((at, at + len(line)))
+        at += len(line) + 1
     return out
 
 
@@ -102,6 +121,7 @@ class Scanner:
         self.templates = []
         self.pattern = re.compile(anchor_pattern(notices))
         self.anchors: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        self.sizes: set[int] = set()
         for name, texts in sorted(notices.items()):
             for text in texts:
                 raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -109,6 +129,7 @@ class Scanner:
                 for k in anchors(words):
                     self.anchors.setdefault(tuple(words[k : k + ANCHOR]), []).append((len(self.templates), k))
                 self.templates.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=raw)))
+        self.sizes = {len(a) for a in self.anchors}
 
     def rank(self, block: str) -> list[tuple[int, int]]:
         """Bytes saved by each template, most first; ties in the templates' order."""
@@ -116,50 +137,82 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         return sorted(((alone - len(c.compress(raw)), -k) for k, (_, _, c) in enumerate(self.templates)), reverse=True)
 
-    def scan(self, block: str) -> tuple[str | None, int, list[str], list[str]]:
-        """License (None if no template is confirmed), bytes saved, words missing and added.
-
-        Templates are tried in the order of what they save; the first whose wording is there is the winner.
-        """
-        ranked, words = [r for r in self.rank(block) if r[0] > 0], words_of(block)
-        first = None
-        for saved, k in ranked:
-            name, template, _ = self.templates[-k]
-            lost, extra = wording(template, words)
-            if len(lost) + len(extra) <= SLACK * len(template):
-                return name, saved, lost, extra
-            first = first or (None, saved, lost, extra)
-        return first or (None, 0, [], [])
-
+    def confirm(self, t: int, words: list[str], first: int, last: int) -> tuple[int, int, list[str], list[str]] | None:
+        """The place in words[first:last] with template t's wording, and words missing and added; None if none is near
+        enough. Only windows of the template's length around its anchors are compared."""
+        _, template, _ = self.templates[t]
+        slack, best = int(SLACK * len(template)), None
+        size = min(ANCHOR, len(template))
+        for i in range(first, last - size + 1):
+            for k in (k for u, k in self.anchors.get(tuple(words[i : i + size]), ()) if u == t):
+                start = max(i - k - slack, first)
+                window = words[start : min(i - k + len(template) + slack, last)]
+                lost, extra = wording(template, window)
+                if len(lost) + len(extra) <= SLACK * len(template) and (best is None or len(lost) + len(extra) < len(best[2]) + len(best[3])):
+                    same = [m for m in SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if m.size]
+                    best = (start + same[0].b, start + same[-1].b + same[-1].size, lost, extra)
+        return best
+
+    def blocks(self, text: str, words: list[str], places: list[re.Match]) -> list[tuple[int, int]]:
+        """Runs of words that may hold a notice, in order: around anchors, and lines with a cue. Runs that overlap are one
+        up to a few templates' length; a longer one begins anew, with the whole window of its first anchor."""
+        spans, most = [], 4 * max((len(t) for _, t, _ in self.templates), default=1)
+        for i in range(len(words)):
+            for size in self.sizes:
+                for t, k in self.anchors.get(tuple(words[i : i + size]), ()):
+                    n, slack = len(self.templates[t][1]), int(SLACK * len(self.templates[t][1]))
+                    spans.append((max(i - k - slack, 0), min(i - k + n + slack, len(words))))
+        starts = [m.start() for m in places]
+        for a, b in cue_spans(text):
+            i, j = bisect_left(starts, a), bisect_left(starts, b)
+            spans += [(k, min(k + most, j)) for k in range(i, j, most)]
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if out and a < out[-1][1] and b - out[-1][0] <= 2 * most:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
 
-    def confirmed(self, text: str) -> list[tuple[int, int, str, int, list[str], list[str]]]:
-        """First and last line, licence, bytes saved, words missing and added of each template that the text holds."""
-        if not self.pattern.search(text):
+    def scan(self, text: str) -> list[tuple[int, int, str | None, int, list[str], list[str]]]:
+        """First and last line, licence or None, bytes saved, words missing and added of each block."""
+        if not (self.pattern.search(text) or re.search(CUE, text)):
             return []
         places = list(_WORD.finditer(text))
-        words = [m[0].lower() for m in places]
-        found: dict[tuple[int, int, int], tuple[int, list[str], list[str]]] = {}
-        sizes = {len(a) for a in self.anchors}
-        for i in range(len(words)):
-            for t, k in [x for size in sizes for x in self.anchors.get(tuple(words[i : i + size]), ())]:
-                _, template, compressor = self.templates[t]
-                slack = int(SLACK * len(template))
-                first = max(i - k - slack, 0)
-                window = words[first : i - k + len(template) + slack]
-                lost, extra = wording(template, window)
-                if len(lost) + len(extra) > SLACK * len(template):
-                    continue
-                same = [m for m in SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if m.size]
-                a, b = first + same[0].b, first + same[-1].b + same[-1].size
-                raw = text[places[a].start() : places[b - 1].end()].encode()
-                found[t, a, b] = (len(self.plain.compress(raw)) - len(compressor.compress(raw)), lost, extra)
-        out, taken = [], []
-        for (t, a, b), (saved, lost, extra) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
-            name = self.templates[t][0]
-            if all(n != name or b <= c or d <= a for n, c, d in taken):
-                taken.append((name, a, b))
-                out.append((text.count("\n", 0, places[a].start()), text.count("\n", 0, places[b - 1].end()), name, saved, lost, extra))
-        return sorted(out, key=lambda x: (x[0], x[2]))
+        words, out, done = [m[0].lower() for m in places], [], 0
+        waiting = [(a, b, True) for a, b in reversed(self.blocks(text, words, places))]
+        while waiting:
+            a, b, first = waiting.pop()
+            a = max(a, done) if first else a  # what the block before has confirmed isn't seen again
+            if a >= b:
+                continue
+            held = {tuple(words[i : i + size]) for size in self.sizes for i in range(a, b - size + 1)}
+            near = {t for run in held & self.anchors.keys() for t, _ in self.anchors[run]}
+            block = text[places[a].start() : places[b - 1].end()]
+            lines = text.count("\n", 0, places[a].start()), text.count("\n", 0, places[b - 1].end())
+            cue = re.search(CUE, block)
+            if not near and not cue:
+                continue
+            ranked = self.rank(block)
+            for _, k in ranked:
+                # a template without an anchor here can't be confirmed
+                found = self.confirm(-k, words, a, b) if -k in near else None
+                if found:
+                    i, j, lost, extra = found
+                    raw = text[places[i].start() : places[j - 1].end()]
+                    saved = next(x for x, u in self.rank(raw) if u == k)
+                    out.append((text.count("\n", 0, places[i].start()), text.count("\n", 0, places[j - 1].end()), self.templates[-k][0], saved, lost, extra))
+                    waiting += [(c, d, False) for c, d in ((j, b), (a, i)) if c < d]
+                    done = max(done, j)
+                    break
+            else:
+                saved, k = ranked[0] if ranked else (0, 0)
+                if cue and ranked and saved >= LIKELY * len(self.plain.compress(block.encode())):
+                    out.append((*lines, None, saved, *wording(self.templates[-k][1], words[a:b][: 4 * len(self.templates[-k][1])])))
+        return sorted(out, key=lambda x: (x[0], x[2] or ""))
+
+    def confirmed(self, text: str) -> list[tuple[int, int, str, int, list[str], list[str]]]:
+        return [x for x in self.scan(text) if x[2]]
 
 
 FOUND = pa.list_(pa.struct([("line", pa.int32()), ("license", pa.string()), ("saved", pa.int32()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]))
@@ -171,21 +224,16 @@ def scan_batches(notices: dict[str, tuple[str, ...]]):
         for batch in batches:
             rows = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                sure = scanner.confirmed(text) if text else []
-                found = [{"line": line, "license": name, "saved": saved, "missing": lost, "added": extra} for line, _, name, saved, lost, extra in sure]
-                covered = {k for first, last, *_ in sure for k in range(first, last + 1)}
-                for line, block in candidate_blocks(text, covered) if text else []:
-                    name, saved, lost, extra = scanner.scan(block)
-                    found.append({"line": line, "license": name, "saved": saved, "missing": lost, "added": extra})
-                rows.append(sorted(found, key=lambda x: x["line"]))
+                found = scanner.scan(text) if text else []
+                rows.append([{"line": line, "license": name, "saved": saved, "missing": lost, "added": extra} for line, _, name, saved, lost, extra in found])
             yield pa.record_batch([*batch.columns[:-1], pa.array(rows, FOUND)], names=[*batch.schema.names[:-1], "blocks"])
 
     return scan
 
 
 def scan_licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, blocks (line, license or null, bytes saved, words missing and added), licenses
-    (the confirmed ones, sorted).
+    """One row per row of docs: doc_id, blocks (line, license or null, bytes saved, words missing and added; by line, those
+    of a line by name), licenses (the confirmed ones, sorted). Of templates that save the same the first by name wins.
 
     Null and empty texts, and texts without a cue or a template's wording, have no blocks; rows that repeat are scanned
     one by one; no rows give no rows. Only texts with a cue or an anchor leave the JVM. Other columns are not read.

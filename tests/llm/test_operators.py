@@ -241,6 +241,47 @@ def test_every_license_template_wrapped(width):
             assert [(x[0], x[2]) for x in scanner.confirmed(text)] == [(1, name)], (name, template)
 
 
+def brute_licenses(scanner, text):
+    """Word ranges and names of all windows with a template's wording, compared with every window of every length."""
+    words, out = license_scan.words_of(text), []
+    for name, template, _ in scanner.templates:
+        n, slack = len(template), int(license_scan.SLACK * len(template))
+        for size in range(max(1, n - slack), n + slack + 1):
+            for i in range(len(words) - size + 1):
+                lost, extra = license_scan.wording(template, words[i : i + size])
+                if len(lost) + len(extra) <= slack and words[i] in template and words[i + size - 1] in template:
+                    out.append((i, i + size, name))
+    return out
+
+
+def test_licenses_against_every_window():
+    notices = {k: license_scan.NOTICES[k][:2] for k in ("GPL-3.0", "LGPL-3.0", "ISC", "CC-BY-4.0", "CC-BY-NC-4.0", "Apache-2.0")}
+    scanner, rng = license_scan.Scanner(notices), np.random.default_rng(4)
+    for _ in range(12):
+        parts = []
+        for name in rng.choice(sorted(notices), 3):
+            words = notices[name][int(rng.integers(len(notices[name])))].split()
+            for _ in range(int(rng.integers(0, 3))):
+                words[int(rng.integers(len(words)))] = f"x{rng.integers(9)}"
+            parts += ["plain prose " * int(rng.integers(0, 4)), " ".join(words)]
+        text = "\n".join(parts)
+        brute, found = brute_licenses(scanner, text), scanner.confirmed(text)
+        assert {x[2] for x in found} <= {name for _, _, name in brute}
+        # every stretch that some template's wording covers is confirmed once
+        covered = sorted({w for a, b, _ in brute for w in range(a, b)})
+        runs = sum(1 for i, w in enumerate(covered) if i == 0 or covered[i - 1] != w - 1)
+        assert len(found) >= runs and (not brute or found), text
+
+
+def test_license_ties_edges_and_length(spark):
+    same = {"B": ("these are the very words of it",), "A": ("these are the very words of it",)}
+    text = "x\nthese are the very words of it\ny"
+    out = license_scan.scan_licenses(docs(spark, text, text, None, "", "word", f"{text} " * 3000), same).collect()
+    assert [list(r.licenses) for r in out] == [["A"], ["A"], [], [], [], ["A"]] and len(out[5].blocks) == 3000
+    gpl = license_scan.NOTICES["LGPL-3.0"][0]
+    assert [x[2] for x in license_scan.Scanner(license_scan.NOTICES).confirmed(f"{gpl}\nprose\n{license_scan.NOTICES['GPL-3.0'][1]}")] == ["LGPL-3.0", "GPL-3.0"]
+
+
 def test_licenses_without_cue_and_side_by_side(spark):
     mit, bsd = license_scan.NOTICES["MIT"], license_scan.NOTICES["BSD-3-Clause"][0]
     texts = [f"a\n{mit[1]}\nb", f"{mit[0]}\nLicensed under CC BY 4.0.", f"{mit[0]} Licensed under CC BY 4.0.", f"{mit[0]}\nLicensed under the Banana License.", bsd.replace("forms, ", "forms,\n"), mit[1].replace("hereby ", "now "), mit[1][:90]]

@@ -7,44 +7,54 @@ from pyspark.sql import functions as F
 
 from .common import Table, broadcast_if_small, read_table, saved
 
-#: JSON types by the names that schema_of_variant gives them.
-NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside lambdas Spark computes an expression each time it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def variant_type(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | (kind == "VOID"), "null").when(kind == "BIGINT", "integer").when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "number")
-        .when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("other")
-    )
+    def name(kind):
+        return (
+            F.when(kind.isNull() | (kind == "VOID"), "null").when(kind == "BIGINT", "integer").when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "number")
+            .when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("other")
+        )
+
+    return let(F.schema_of_variant(value), name)
+
 
+def argument_facts(args: Column) -> Column:
+    """Of an object its members by name: JSON type and size (a number, or a string's length); null for anything else."""
 
-def canonical(value: Column) -> Column:
-    """JSON text without spaces and with the keys of every object in order."""
-    return F.to_json(value)
+    def fact(kind, value):
+        size = F.when(kind == "string", F.length(F.try_variant_get(value, "$", "string")).cast("double")).when(kind.isin("integer", "number"), F.try_variant_get(value, "$", "double"))
+        return F.struct(kind.alias("kind"), size.alias("size"))
+
+    # only an object casts to a map
+    given = F.when(F.schema_of_variant(args).startswith("OBJECT"), args.cast("map<string,variant>"))
+    return F.transform_values(given, lambda _, value: let(variant_type(value), lambda kind: fact(kind, value)))
 
 
 def argument_faults(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """calls: key, name, args (variant); schemas: tool, arg, type, required, low, high -> key, faults (sorted texts)."""
+    """calls: key, name, facts (of argument_facts); schemas: tool, arg, type, required, low, high -> key, faults (sorted texts)."""
     rules = schemas.groupBy(F.col("tool").alias("name")).agg(F.sort_array(F.collect_list(F.struct("arg", "type", "required", "low", "high"))).alias("rules"))
     joined = calls.join(broadcast_if_small(rules, rules.count()), "name", "left")
-    is_object = F.coalesce(variant_type(F.col("args")) == "object", F.lit(False))
-    given = F.when(is_object, F.col("args").cast("map<string,variant>"))
 
     def fault(r):
-        value = F.try_element_at(given, r["arg"])
-        kind, number = variant_type(value), F.try_variant_get(value, "$", "double")
-        fits = (kind == r["type"]) | ((r["type"] == "number") & (kind == "integer"))
-        size = F.when(kind == "string", F.length(F.try_variant_get(value, "$", "string")).cast("double")).otherwise(number)
-        return (
-            F.when((kind == "null") & r["required"], F.concat(F.lit("missing:"), r["arg"]))
-            .when((kind != "null") & ~fits, F.concat(F.lit("type:"), r["arg"]))
-            .when((kind != "null") & ((size < r["low"]) | (size > r["high"])), F.concat(F.lit("range:"), r["arg"]))
-        )
+        def judged(fact):
+            kind = F.coalesce(fact["kind"], F.lit("null"))
+            fits = (kind == r["type"]) | ((r["type"] == "number") & (kind == "integer"))
+            return (
+                F.when((kind == "null") & r["required"], F.concat(F.lit("missing:"), r["arg"]))
+                .when((kind != "null") & ~fits, F.concat(F.lit("type:"), r["arg"]))
+                .when((kind != "null") & ((fact["size"] < r["low"]) | (fact["size"] > r["high"])), F.concat(F.lit("range:"), r["arg"]))
+            )
+
+        return let(F.try_element_at("facts", r["arg"]), judged)
 
     known = F.transform("rules", lambda r: r["arg"])
-    extra = F.transform(F.array_except(F.map_keys(given), known), lambda k: F.concat(F.lit("unknown:"), k))
-    faults = F.when(F.col("rules").isNull(), F.array(F.lit("tool"))).when(~is_object, F.array(F.lit("json"))).otherwise(F.array_sort(F.concat(F.array_compact(F.transform("rules", fault)), extra)))
+    extra = F.transform(F.array_except(F.map_keys("facts"), known), lambda k: F.concat(F.lit("unknown:"), k))
+    found = F.array_sort(F.concat(F.array_compact(F.transform("rules", fault)), extra))
+    faults = F.when(F.col("rules").isNull(), F.array(F.lit("tool"))).when(F.col("facts").isNull(), F.array(F.lit("json"))).otherwise(found)
     return joined.select("key", faults.alias("faults"))
 
 
@@ -119,13 +129,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     name without a schema `tool`. level is null for calls on a cycle or below one. No rows give no rows.
     """
     plain = calls.select("conv_id", "call_id", "seq", "name", "parents", F.try_parse_json(F.col("arguments")).alias("args"), "arguments", F.monotonically_increasing_id().alias("key"))
-    plain = saved(plain.drop("args"), "calls").withColumn("args", F.try_parse_json(F.col("arguments")))
+    # arguments are parsed once for their facts and once for the message
+    plain = saved(plain.withColumn("facts", argument_facts(F.col("args"))).drop("args"), "calls")
     found = results.groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
     out = plain.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left").drop("c", "i")
-    out = out.join(argument_faults(plain.select("key", "name", "args"), schemas), "key", "left").join(levels(plain.select("conv_id", "call_id", "key", "parents")).withColumn("level", F.col("level").cast("int")), "key", "left")
+    out = out.join(argument_faults(plain.select("key", "name", "facts"), schemas), "key", "left").join(levels(plain.select("conv_id", "call_id", "key", "parents")).withColumn("level", F.col("level").cast("int")), "key", "left")
     out = out.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("valid", F.size("faults") == 0)
     # the members' names are in order; the arguments' are put in order by their variant
-    message = F.struct(F.col("args").alias("arguments"), F.col("content"), F.col("call_id").alias("id"), F.col("level"), F.col("name"), F.array_sort(F.array_distinct("parents")).alias("parents"))
+    message = F.struct(F.try_parse_json(F.col("arguments")).alias("arguments"), F.col("content"), F.col("call_id").alias("id"), F.col("level"), F.col("name"), F.array_sort(F.array_distinct("parents")).alias("parents"))
     text = F.to_json(message, {"ignoreNullFields": "false"})
     return out.select("conv_id", "call_id", "seq", "name", "level", "linked", "faults", "valid", text.alias("message"))
 

@@ -154,7 +154,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     drops = drops.select(F.col("doc").alias(doc), F.col("drops").alias(lost))
     lines, dropped = lines_of(F.col("text")), F.col(lost)
     kept = F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(dropped, line_hash(x)))
-    out = docs.withColumn(doc, doc_key()).join(drops, doc, "left")
+    # by shuffle at every size: the drops are a table now, which Spark would broadcast while it is small
+    out = docs.withColumn(doc, doc_key()).join(drops.hint("merge"), doc, "left")
     out = out.withColumn(left, F.when(dropped.isNull(), lines).otherwise(kept)).withColumn("n_lines", F.size(lines).cast("long"))
     out = out.withColumn("n_dropped", F.col("n_lines") - F.size(left)).withColumn("text", F.array_join(left, "\n"))
     return out.drop(doc, lost, left)

@@ -79,6 +79,14 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes(df) <= BROADCAST_BYTES else df
 
 
+def hash_share(rows: DataFrame, key: str, n: int, most: int) -> DataFrame:
+    """Rows (n of them) whose key's hash is among the least, a little more than `most` of them: few beyond what a limit
+    takes leave their tasks."""
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * min(1.0, (1.05 * most + 100) / n)))
+
+
 def id_or_default(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, saved, small_batches
+from .common import hash_share, read_table, saved, small_batches
 from .doc_stats import COUNTS, STATS_SCHEMA, counted
 
 #: Most labelled rows that a fit takes, those with the least hashes of doc_id.
@@ -51,7 +51,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     n, width = x.shape
     rate = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
     base, inner = float(np.log(rate / (1 - rate))), 2**DEPTH - 1
-    if n < 2 * LEAST or y.min() == y.max():
+    least = max(1, min(LEAST, n // 8))  # rows of a leaf; fewer where there are few in all
+    if not n or y.min() == y.max():
         return Trees(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(width)]
     binned = np.column_stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)])
@@ -69,7 +70,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
             g, h, c = (s.cumsum(axis=2) for s in sums)
             all_g, all_h, all_c = (s[:, :, -1:] for s in (g, h, c))
             gain = g**2 / (h + RIDGE) + (all_g - g) ** 2 / (all_h - h + RIDGE) - all_g**2 / (all_h + RIDGE)
-            gain[(c < LEAST) | (all_c - c < LEAST)] = -np.inf
+            gain[(c < least) | (all_c - c < least)] = -np.inf
             best = gain.reshape(nodes, -1).argmax(axis=1)
             for k, b in enumerate(best):
                 f, at = divmod(int(b), BINS)
@@ -111,7 +112,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     counts = saved(rows.mapInArrow(counted, f"doc_id long, {STATS_SCHEMA}"), "doc-stats")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
-    sample = counts.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS).limit(max_rows).toPandas()
+    # labels may have no document, and documents more rows than one: the rows that can teach are counted
+    labelled = counts.join(known, "doc_id")
+    few = hash_share(labelled, "doc_id", labelled.count(), max_rows)
+    sample = few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), *COUNTS).limit(max_rows).toPandas()
     trees = fit(features({c: sample[c].to_numpy() for c in COUNTS}), (sample["y"].to_numpy() > 0).astype(np.float64))
     scored = counts.mapInArrow(scorer(spark.sparkContext.broadcast((trees.base, trees.feature, trees.cut, trees.leaf))), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import broadcast_if_small, read_table, small_batches
+from .common import broadcast_if_small, hash_share, read_table, small_batches
 from .words import Piece, mix, pieces
 
 #: Most labelled documents that a fit takes, those with the least hashes of doc_id.
@@ -178,9 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # some labels have no document: twice as many labels as rows are looked up
-    picked = known.orderBy(F.xxhash64("doc_id")).limit(2 * max_rows)
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    picked = hash_share(known, "doc_id", known.count(), 2 * max_rows).orderBy(order).limit(2 * max_rows)
     sample = texts.join(broadcast_if_small(picked, 2 * max_rows), "doc_id").select("doc_id", "y", "text")
-    rows = sample.mapInArrow(distinct_buckets, "doc_id long, y int, words array<int>").orderBy(F.xxhash64("doc_id"), "words").limit(max_rows).toPandas()
+    rows = sample.mapInArrow(distinct_buckets, "doc_id long, y int, words array<int>").orderBy(order, "words").limit(max_rows).toPandas()
     return fit_chain([np.asarray(w, np.int64) for w in rows["words"]], (rows["y"].to_numpy() > 0).astype(np.float64))
 
 
@@ -198,7 +199,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thres
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the chain finds not toxic, all columns kept; the texts are read in place, without a join."""
+    """The rows of docs that the chain finds not toxic, all columns kept; the texts are read in place, without a join.
+
+    Null and empty texts stay unless the chain's intercepts alone say toxic. Rows that repeat are judged one by one, alike
+    if their texts are; rows without a doc_id are judged too, but teach nothing. No rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
     schema = StructType().add("row", docs.schema, False)
     for c in CHAIN:

@@ -299,6 +299,39 @@ def test_quality_model_on_held_out(spark):
     assert quality_model.quality_scores(docs(spark, *EDGE), spark.read.parquet(f"{folder}/labels.parquet").limit(0)).count() == len(EDGE)
 
 
+def test_trees_against_plain_traversal():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 15)).round(2)
+    y = ((x[:, 3] > 0.2) ^ (x[:, 7] < -0.4)).astype(float)
+    trees = quality_model.fit(x, y)
+    scores = trees.score(x)
+    for row, score in zip(x[:60], scores, strict=False):
+        total = trees.base
+        for feature, cut, leaf in zip(trees.feature.tolist(), trees.cut.tolist(), trees.leaf.tolist(), strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += leaf[node - len(feature)]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+    assert ((scores >= 0.5) == (y == 1)).mean() > 0.95
+    few = quality_model.fit(x[:12], y[:12])
+    assert len(few.cut) and len(set(few.score(x[:12]).round(6))) > 1
+
+
+def test_quality_edges_with_a_trained_model(spark):
+    good, bad = "A plain sentence of some words that reads well, with an end. " * 8, "## $$ 12 12 12 ## || "
+    rows = [(k, good + str(k) if k % 2 else bad * (k + 3), "en", "s", None, "") for k in range(120)]
+    extra = [(900 + k, t, None, None, None, "") for k, t in enumerate((*EDGE, bad * 40_000))]
+    data = spark.createDataFrame(rows + 2 * extra + [(None, good, None, None, None, "")], DOCS)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)] + [(None, 1), (1, None), (2, 0)], "doc_id long, quality int")
+    out = quality_model.quality_scores(data, labels).collect()
+    assert len(out) == data.count() and all(0 <= r.score <= 1 for r in out)
+    assert all(r.predicted == r.doc_id % 2 for r in out if r.doc_id is not None and r.doc_id < 120)
+    assert {r.predicted for r in out if r.doc_id == 900 + len(EDGE)} == {0} and [(r.predicted, r.held_out) for r in out if r.doc_id is None] == [(1, False)]
+    assert quality_model.quality_scores(data.limit(0), labels).count() == 0
+    assert quality_model.quality_scores(data, labels, max_rows=30).count() == data.count()
+
+
 def plain_toxicity(chain, text):
     """p_toxic of one text in plain Python, from the chain's marks and weights."""
     words = [w.encode() for w in WORDS.findall((text or "").translate(UPPER))]

@@ -85,12 +85,12 @@ def test_line_dedup_edges(spark, monkeypatch):
     assert [r.n_dropped for r in line_dedup.dedup_lines(very_long).orderBy("doc_id").collect()] == [20_000] * 4 + [0]
 
 
-def brute_links(texts):
+def brute_links(texts, top=4, bottom=5):
     sets = []
     for t in texts:
         w = WORDS.findall((t or "").translate(UPPER))
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    return [[j for j in range(len(sets)) if j != i and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in range(len(sets))], sets
+    return [[j for j in range(len(sets)) if j != i and sets[i] and sets[j] and bottom * len(sets[i] & sets[j]) >= top * len(sets[i] | sets[j])] for i in range(len(sets))], sets
 
 
 def test_near_classes(spark):
@@ -118,6 +118,39 @@ def test_near_classes(spark):
     assert ngram_join.one_of_each(docs(spark, *texts)).count() == len(set(root))
 
 
+def test_near_classes_at_a_low_similarity(spark):
+    rng, texts = np.random.default_rng(8), []
+    for k in range(150):
+        base = [f"w{k}x{x}" for x in range(200)]
+        texts += [" ".join(base), " ".join(base[:124] + [f"y{k}x{x}" for x in rng.integers(0, 10**6, 76)])]
+    links, _ = brute_links(texts, 2, 5)
+    assert all(len(x) == 1 for x in links)
+    out = {r.doc_id: r for r in ngram_join.near_classes(docs(spark, *texts), similarity=(2, 5)).collect()}
+    assert sum(out[2 * k].n_links == out[2 * k + 1].n_links == 1 and out[2 * k + 1].class_id == 2 * k for k in range(150)) == 150
+    assert not any(r.n_links for r in ngram_join.near_classes(docs(spark, *texts)).collect())
+
+
+def test_plan_counts_all_splits():
+    for similarity, recall in ((0.8, 0.99999), (0.8, 0.9), (0.4, 0.999), (0.95, 0.99)):
+        plan = ngram_join.Plan(similarity, recall)
+        for depth in (0, 1, 4):
+            runs = plan.runs(1.0, depth)
+            assert plan.missed(runs, depth) <= (1 - recall) / 2 + 1e-12 and runs < plan.runs(1.0, depth + 2) + 1
+        rng = np.random.default_rng(1)
+        agree = rng.binomial(ngram_join.SKETCH, similarity, 20_000)
+        assert (agree < plan.least).mean() <= 1 - recall and plan.fringe >= plan.meet >= 0
+
+
+def test_near_classes_rows_of_one_id_and_of_none(spark):
+    a, b = ("one text of more than five words in it " * 4, "another text that has quite other words inside " * 4)
+    rows = [(5, a), (3, a), (5, b), (7, b + "more"), (None, a), (None, b), (None, "lonely words without any likeness to others"), (9, None)]
+    data = spark.createDataFrame([(d, t, None, None, None, "") for d, t in rows], DOCS)
+    out = sorted((str(r.doc_id), str(r.class_id), r.n_copies) for r in ngram_join.near_classes(data).collect())
+    assert out == sorted([("5", "3", 3), ("3", "3", 3), ("None", "3", 3), ("5", "5", 2), ("None", "5", 2), ("7", "5", 1), ("None", "None", 1), ("9", "9", 1)])
+    left = sorted((str(r.doc_id), r.text) for r in ngram_join.one_of_each(data).collect())
+    assert [(d, t) for d, t in left if d in ("3", "5")] == [("3", a), ("5", b)] and len(left) == 4
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     out = {r.node: r.root for r in components.components(edges).collect()}
@@ -152,6 +185,27 @@ def test_mixing_keeps_columns_of_its_names(spark):
     assert {r.size for r in out.collect()} == {"mine"}
 
 
+def test_decontamination_edges(spark):
+    item = " ".join(f"b{k}" for k in range(13))
+    bench = spark.createDataFrame([(1, item), (2, f"{item} tail")], "item_id long, text string")
+    texts = (*EDGE, f"{item} gap " * 2_000)
+    out = {r.doc_id: r for r in decontaminate.contamination(docs(spark, *texts), bench).collect()}
+    assert [out[k].n_hit for k in range(len(EDGE))] == [0] * len(EDGE)
+    assert (out[len(EDGE)].n_words, out[len(EDGE)].n_hit, out[len(EDGE)].n_items) == (28_000, 26_000, 2)
+    assert decontaminate.contamination(docs(spark, *EDGE).limit(0), bench).count() == decontaminate.drop_contaminated(docs(spark, *EDGE).limit(0), bench).count() == 0
+    twice = docs(spark, item, "clean").withColumn("doc_id", F.lit(4)).unionByName(docs(spark, item).withColumn("doc_id", F.lit(None).cast("long")))
+    assert [r.text for r in decontaminate.drop_contaminated(twice, bench).collect()] == ["clean"]
+
+
+def test_quality_rules_ties_and_clashes(spark):
+    good = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, good, "en", "s", None, "") for k in range(130)] + [(200, good + " " + " ".join(f"#{k}###" for k in range(30)), "en", "s", None, ""), (201, good, None, None, None, "")]
+    data = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("mine") for c in ("n_words", "kept", "limits", "level", "one", "metric")})
+    out = {r.doc_id: r for r in quality_rules.judge(data).collect()}
+    assert len(out) == 132 and all(out[k].kept for k in range(130)) and out[201].kept
+    assert not out[200].kept and list(out[200].failed) == ["symbols"]
+
+
 def test_mixing(spark):
     rows = [(k, "w " * (5 + k % 90), None, f"s{k % 5}" if k % 7 else None, None, "") for k in range(600)]
     df = spark.createDataFrame(rows, DOCS)
@@ -199,6 +253,50 @@ def test_tool_call_levels_against_plain_python(spark):
     assert {rows[r.key][:2]: r.level for r in out.collect()} == want
 
 
+def test_tool_calls_edges(spark):
+    kind = "conv_id long, call_id string, seq int, name string, arguments string, parents array<string>, facts string, key string"
+    big = '{"q":"' + "long " * 60_000 + '","deep":[[{"a":null}]],"n":1.5}'
+    calls = spark.createDataFrame([(1, "a", 0, "t", big, None, "x", "y"), (1, "a", 1, "t", "[1]", ["a", "a"], "x", "y"), (1, None, 2, "t", "null", [None], "x", "y"), (1, "b", 3, "t", "", [], "x", "y")], kind)
+    results = spark.createDataFrame([(1, "a", None), (1, None, "never")], "conv_id long, call_id string, content string")
+    schemas = spark.sql("SELECT 't' AS tool, 'q' AS arg, 'string' AS type, true AS required, null AS low, 10.0D AS high UNION ALL SELECT 't', 'n', 'number', false, null, null UNION ALL SELECT 't', 'deep', 'array', false, null, null")
+    out = {r.seq: r for r in tool_calls.link_calls(calls, results, schemas).collect()}
+    assert [list(out[k].faults) for k in range(4)] == [["range:q"], ["json"], ["json"], ["json"]] and [out[k].linked for k in range(4)] == [True, True, False, False]
+    assert '"deep":[[{"a":null}]],"n":1.5,"q":"long ' in out[0].message
+    assert tool_calls.link_calls(calls.limit(0), results, schemas).count() == 0
+    assert [r.linked for r in tool_calls.link_calls(calls, results.limit(0), schemas).collect()] == [False] * 4
+
+
+def test_html_frame(spark):
+    text = "A plain paragraph of words. " * 10
+    rows = [(1, "u", f"<article><p>{text}</p></article>", "mine"), (1, "u", f"<article><p>{text}</p></article>", "mine"), (None, None, None, "mine"), (2, "v", "", "mine"), (3, "w", "<div>" + f"<p>{text}</p>" * 3000 + "</div>", "mine"), (4, "x", "no markup at all", "mine"), (5, "y", "<" * 1000, "mine")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    out = sorted(html_text.extract(pages).collect(), key=lambda r: (r.page_id or 0, r.n_chars))
+    one = len(text.strip())
+    assert [r.n_chars for r in out if r.page_id != 5] == [0, one, one, 0, 3000 * (one + 2) - 2, len("no markup at all")]
+    assert html_text.extract(pages).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract(pages.limit(0)).count() == 0
+
+
+def plain_line_blocks(lines):
+    """The lines of a flat page that stay, by the method's rules written out: lines are texts and whether they are links."""
+    plain, links = [0 if a else len(t) for t, a in lines], [len(t) if a else 0 for t, a in lines]
+    windows = [range(i, min(i + 3, len(lines))) for i in range(len(lines))]
+    most = max(sum(plain[j] for j in w) for w in windows)
+    picked = {j for w in windows if 0 < sum(plain[j] for j in w) >= 0.2 * most and sum(plain[j] for j in w) >= sum(links[j] for j in w) for j in w if plain[j]}
+    core = [i for i in picked if plain[i] >= 0.2 * most / 3]
+    kept = sorted(picked | ({i for i in range(len(lines)) if plain[i]} if core else set()))
+    return sorted({*kept, *[k for a, b in zip(kept, kept[1:]) if b - a <= 4 for k in range(a + 1, b)]})
+
+
+def test_html_against_plain_line_blocks():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        lines = [(f"line{k} " + "word " * int(rng.choice([0, 1, 3, 30, 80])) + "end", bool(rng.random() < 0.4)) for k in range(int(rng.integers(2, 25)))]
+        if all(a for _, a in lines):
+            continue
+        page = "<body>" + "".join(f"<p><a href=x>{t}</a></p>" if a else f"<p>{t}</p>" for t, a in lines) + "</body>"
+        assert html_text.main_text(page) == "\n\n".join(lines[k][0] for k in plain_line_blocks(lines)), page
+
+
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a>m</a></nav><div class="cookie-notice">c</div><article><h1>T&eacute;st</h1><p>one<br>two&nbsp; three</p><div class="ad">buy</div><p>four</article><div id="comments"><p>no</p></div><footer>f</footer><p tru'
     assert html_text.main_text(page) == "Tést\n\none two three\n\nfour"
@@ -414,6 +512,69 @@ def test_clashing_columns(spark, form):
         assert out.select(*extra).distinct().collect() == given.select(*extra).limit(1).collect()
 
 
+def plain_pipeline(spark, folder):
+    """The five stages in plain Python over the same trained chain; the mix by its SQL."""
+    data, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    chain = toxicity.train(data, labels)
+    rows = [r.asDict() for r in data.collect() if plain_toxicity(chain, r.text) < 0.5]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(UPPER)
+    holders = {}
+    for r in rows:
+        for line in (r["text"] or "").split("\n"):
+            if len(key(line)) >= 40:
+                holders.setdefault(key(line), set()).add(r["doc_id"])
+    for r in rows:
+        r["text"] = "\n".join(x for x in (r["text"] or "").split("\n") if len(holders.get(key(x), ())) < 5 or max(holders[key(x)]) == r["doc_id"])
+        r["n_chars"] = len(r["text"])
+    links, sets = brute_links([r["text"] for r in rows])
+    root = [r["doc_id"] for r in rows]
+    prints = {}
+    for i, one in enumerate(sets):
+        prints.setdefault(frozenset(one) if one else ("none", i), []).append(i)
+    for _ in rows:
+        new = [min([root[i], *[root[j] for j in links[i]], *[root[j] for j in prints[frozenset(sets[i]) if sets[i] else ("none", i)]]]) for i in range(len(rows))]
+        if new == root:
+            break
+        root = new
+    rows = [r for r, x in zip(rows, root, strict=True) if r["doc_id"] == x]
+    windows = set()
+    for item in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        w = WORDS.findall((item.text or "").translate(UPPER))
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    sizes = {len(w) for w in windows}
+
+    def clean(text):
+        w, hit = WORDS.findall(text.translate(UPPER)), set()
+        for n in sizes:
+            hit |= {p for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for p in range(i, i + n)}
+        return not hit or 20 * len(hit) < len(w)
+
+    rows = [r for r in rows if clean(r["text"])]
+    con = duck()
+    con.register("kept", pa.Table.from_pylist([{"doc_id": r["doc_id"], "text": r["text"], "source": r["source"]} for r in rows]))
+    taken = {r[0]: (r[4], r[5]) for r in con.execute(ORACLES["op6_source_mixing"].replace("FROM documents", "FROM kept")).fetchall()}
+    return {r["doc_id"]: (r["text"], r["n_chars"], *taken[r["doc_id"]]) for r in rows if taken[r["doc_id"]][1]}
+
+
+def test_pipeline_against_plain_python(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: (r.text, r.n_chars, r.taken, ",".join(str(d.shard) for d in r.draws)) for r in out} == plain_pipeline(spark, SF)
+    assert len(out) == len({r.doc_id for r in out})
+
+
+def test_pipeline_stages_keep_columns_on_empty_and_clashing_tables(spark):
+    import corpus_pipeline
+
+    given = docs(spark, *EDGE, *EDGE).withColumns({c: F.lit("mine") for c in ("size", "draws", "set", "class", "row", "words")})
+    for table in (given, given.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, table, SF).columns == given.columns, name
+        assert set(given.columns) < set(corpus_pipeline.STAGES[-1][1](spark, table, SF).columns)
+    assert corpus_pipeline.STAGES[0][1](spark, given.limit(0), SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,4 +1,5 @@
-"""Scalar derivations and predicates as Column functions; all stay inside whole-stage code generation."""
+"""Scalar derivations and predicates as Column functions: Spark's own expressions, no Python (those over arrays with a
+lambda are interpreted, not compiled)."""
 
 from __future__ import annotations
 
@@ -155,6 +156,7 @@ def nearest_of(value: Column, options: tuple[float, ...]) -> Column:
 
 
 def candidate_basis(threshold: Column, special: float = 60) -> Column:
+    # fixed values: labels of the candidates
     return F.when(threshold == special, "required_and_suggested_class1_break").otherwise("required")
 
 

@@ -56,23 +56,30 @@ def source_rollup(chips: DataFrame, size: int) -> DataFrame:
 
 
 def presence_rollup(selection: DataFrame) -> DataFrame:
-    """scope (global, region, source) x class presence, selected and excluded sums; every class is there, 0 if unseen."""
-    rows = selection.withColumn("level", F.explode(F.array(F.lit("global"), F.lit("region"), F.lit("source"))))
-    rows = rows.withColumn("region", F.when(F.col("level") != "global", F.col("region_id"))).withColumn("source", F.when(F.col("level") == "source", F.col("source_tiff_id")))
-    measures = ["chips", "selected_chips", "excluded_chips", *[f"{s}_{c}" for c in PIXELS for s in ("selected", "excluded")]]
+    """scope (global, region, source) x class presence, selected and excluded sums; every class is there, 0 if unseen.
+
+    Sums are taken by source first, so only they, not the chips, are copied for the wider scopes.
+    """
     chosen = F.col("selected_for_training")
     sums = [F.coalesce(F.sum(F.when(chosen if s == "selected" else ~chosen, F.col(c))), F.lit(0)).alias(f"{s}_{c}") for c in PIXELS for s in ("selected", "excluded")]
-    counts = rows.groupBy("level", "region", "source", "class_presence").agg(F.count(F.lit(1)).alias("chips"), F.count_if(chosen).alias("selected_chips"), F.count_if(~chosen).alias("excluded_chips"), *sums)
+    per = selection.groupBy("region_id", "source_tiff_id", "class_presence").agg(F.count(F.lit(1)).alias("chips"), F.count_if(chosen).alias("selected_chips"), F.count_if(~chosen).alias("excluded_chips"), *sums)
+    measures = ["chips", "selected_chips", "excluded_chips", *[f"{s}_{c}" for c in PIXELS for s in ("selected", "excluded")]]
+    rows = per.withColumn("level", F.explode(F.array(F.lit("global"), F.lit("region"), F.lit("source"))))
+    rows = rows.withColumn("region", F.when(F.col("level") != "global", F.col("region_id"))).withColumn("source", F.when(F.col("level") == "source", F.col("source_tiff_id")))
+    counts = rows.groupBy("level", "region", "source", "class_presence").agg(*_sums(tuple(measures)))
     return grid.zero_filled(counts, ["level", "region", "source"], "class_presence", PRESENCE, measures)
 
 
 def filter_rollup(report: DataFrame) -> DataFrame:
-    """Kept and removed chips, retained sums and the largest retained percentage (0 if none) by (), region, source."""
+    """Kept and removed chips, retained sums and the largest retained percentage (0 if none) by (), region, source; by
+    source first, so the grouping sets copy sources and not chips."""
     keep = F.col("action") == "keep"
+    names = [f"retained_{c}" for c in ("total_pixel_count", "class_1_pixel_count", "nodata_pixel_count")]
     aggs = [F.count(F.lit(1)).alias("chips"), F.count_if(keep).alias("kept_chips"), F.count_if(~keep).alias("removed_chips")]
-    aggs += [F.coalesce(F.sum(F.when(keep, F.col(c))), F.lit(0)).alias(f"retained_{c}") for c in ("total_pixel_count", "class_1_pixel_count", "nodata_pixel_count")]
-    aggs.append(F.coalesce(F.max(F.when(keep, F.col("nodata_pct"))), F.lit(0.0)).alias("max_retained_nodata_pct"))
-    grouped = report.groupingSets([[], [F.col("region_id")], [F.col("region_id"), F.col("source_tiff_id")]], F.col("region_id"), F.col("source_tiff_id")).agg(F.grouping_id().alias("g"), *aggs)
+    aggs += [F.coalesce(F.sum(F.when(keep, F.col(n.removeprefix("retained_")))), F.lit(0)).alias(n) for n in names]
+    per = report.groupBy("region_id", "source_tiff_id").agg(*aggs, F.coalesce(F.max(F.when(keep, F.col("nodata_pct"))), F.lit(0.0)).alias("most"))
+    sums = [*_sums(("chips", "kept_chips", "removed_chips", *names)), F.max("most").alias("max_retained_nodata_pct")]
+    grouped = per.groupingSets([[], [F.col("region_id")], [F.col("region_id"), F.col("source_tiff_id")]], F.col("region_id"), F.col("source_tiff_id")).agg(F.grouping_id().alias("g"), *sums)
     return grouped.withColumn("level", F.when(F.col("g") == 3, "global").when(F.col("g") == 1, "region").otherwise("source")).drop("g")
 
 
@@ -86,12 +93,14 @@ def percentile_rows(chips: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def threshold_candidates(chips: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """What each candidate would remove, of all chips and of each region. Two steps: by source, then by scope."""
+    """What each candidate would remove, of all chips and of each region. Three steps: by region and source, by scope and
+    source, by scope."""
     from .sets import with_global
 
     gone = F.col("nodata_pct") > F.col("threshold_pct")
-    by_source = grid.with_thresholds(with_global(chips, "region_id"), thresholds).groupBy("threshold_pct", "scope", "source_tiff_id").agg(
+    per = grid.with_thresholds(chips, thresholds).groupBy("threshold_pct", "region_id", "source_tiff_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("removed"), F.sum("class_1_pixel_count").alias("c1"), F.coalesce(F.sum(F.when(gone, F.col("class_1_pixel_count"))), F.lit(0)).alias("c1_removed"))
+    by_source = with_global(per, "region_id").groupBy("threshold_pct", "scope", "source_tiff_id").agg(*_sums(("n", "removed", "c1", "c1_removed")))
     lost = F.when(F.col("removed") == F.col("n"), F.col("source_tiff_id"))
     out = by_source.groupBy("threshold_pct", "scope").agg(
         F.sum("n").alias("total_chips"), (F.sum("n") - F.sum("removed")).alias("retained_chips"), F.sum("removed").alias("removed_chips"), F.count(F.lit(1)).alias("total_source_tiffs"), F.count_if(F.col("removed") > 0).alias("source_tiffs_affected"),

@@ -97,6 +97,7 @@ def model_pairs(expected: DataFrame, baseline: DataFrame, held_out: DataFrame, r
     out = expected.join(b, keys, "left").join(h, keys, "left")
     both = F.col("b").isNotNull() & F.col("h").isNotNull()
     differ = lambda x, y: both & ~x.eqNullSafe(y)
+    # fixed values: names of the reasons
     rules = [(F.col("b").isNull(), "missing_baseline_metrics"), (F.col("h").isNull(), "missing_loro_metrics"), (differ(F.col("b.acquisition_date"), F.col("h.acquisition_date")), "acquisition_date_mismatch"), (differ(F.col("b.chips"), F.col("h.chips")), "selected_chip_membership_mismatch")]
     rules += [(differ(F.col(f"b.{f}"), F.col(f"h.{f}")), f"{f}_mismatch") for f in COUNT_FIELDS]
     truth = {"background": ("true_negative", "false_positive"), "kelp": ("true_positive", "false_negative")}

@@ -63,6 +63,7 @@ def baseline_fold(chips: DataFrame) -> DataFrame:
     """chips with selected_for_training and source_temporal_split. Training takes selected chips, evaluation the grid's."""
     on, time = X.on_grid(F.col("row_off"), F.col("col_off")), F.col("source_temporal_split")
     train, held = (time == "TRAIN") & F.col("selected_for_training"), time.isin("VAL", "TEST")
+    # fixed values: names of splits and reasons, here and below
     split = F.when(train, "train").when(held & on, F.lower(time)).otherwise("")
     reason = F.when(train | (held & on), "selected").when(time == "TRAIN", "background_policy_exclusion").when(time == "VAL", "validation_overlap_exclusion").when(time == "TEST", "test_overlap_exclusion").otherwise("")
     return _folds(chips, split, reason)

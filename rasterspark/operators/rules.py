@@ -118,6 +118,7 @@ def fold_leakage(folds: DataFrame) -> DataFrame:
     return violations(keyed, "fold_chip", test_outside_region=(split == "test") & ~held, region_in_training=split.isin("train", "val") & held, off_grid=split.isin("val", "test") & ~on, absent_from_test=held & on & (split != "test"))
 
 
+#: Split, selected and reason of the rows that a scope may hold.
 ALLOWED_BASELINE = (("test", True, "selected"), ("", False, "test_overlap_exclusion"))
 ALLOWED_HELD_OUT = (("test", True, "held_out_region_test"), ("", False, "held_out_region_overlap_exclusion"))
 

@@ -1,6 +1,7 @@
 """The given tables read as sources, chips, tiles, pixels, metrics and events.
 
-The views are SQL that Spark and DuckDB both take, so both sides of a comparison start from the same rows.
+The views are SQL that Spark and DuckDB both take, so both sides of a comparison start from the same rows. Lines are dealt
+by order once, which serves their grouping and the join with the orders' sources alike (the hint is a comment to DuckDB).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 VIEWS = {
     "sources": """
-SELECT concat('src_', o_orderkey) AS source_tiff_id, CASE WHEN r_name = 'ASIA' THEN 'bc' ELSE 'ca' END AS dataset, r_name AS region_id, r_name AS region_name,
+SELECT o_orderkey AS source_no, concat('src_', o_orderkey) AS source_tiff_id, CASE WHEN r_name = 'ASIA' THEN 'bc' ELSE 'ca' END AS dataset, r_name AS region_id, r_name AS region_name,
   CAST(date_trunc('month', o_orderdate) AS DATE) AS acquisition_date, 2560 AS source_width, 1536 AS source_height
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "chip_counts": """
@@ -21,7 +22,7 @@ SELECT l_orderkey, l_linenumber, 100 AS total, nodata, ignored, c1, 100 - ignore
     SELECT *, least(100, nodata + t) AS ignored FROM (
       SELECT l_orderkey, l_linenumber, CASE WHEN min(l_returnflag) = 'N' THEN 0 ELSE 2 * CAST(floor(max(l_quantity)) AS INT) END AS nodata,
         CAST(round(100 * max(l_discount)) AS INT) AS d, CAST(round(100 * max(l_tax)) AS INT) AS t
-      FROM lineitem GROUP BY l_orderkey, l_linenumber) a) b) c""",
+      FROM (SELECT /*+ REPARTITION(l_orderkey) */ l_orderkey, l_linenumber, l_returnflag, l_quantity, l_discount, l_tax FROM lineitem) l GROUP BY l_orderkey, l_linenumber) a) b) c""",
     "chips": """
 SELECT concat(source_tiff_id, '__r', row_off, '_c', col_off, '_h1024_w1024') AS chip_id, concat('all/', source_tiff_id, '__r', row_off, '_c', col_off, '_h1024_w1024.npz') AS chip_path,
   source_tiff_id, dataset, region_id, region_name, acquisition_date, source_width, source_height, chip_index, row_off, col_off, 1024 AS chip_width, 1024 AS chip_height,
@@ -29,7 +30,7 @@ SELECT concat(source_tiff_id, '__r', row_off, '_c', col_off, '_h1024_w1024') AS
   CAST(nodata AS BIGINT) AS nodata_pixel_count, CAST(100 * nodata AS DOUBLE) / CAST(total AS DOUBLE) AS nodata_pct,
   CASE WHEN c1 > 0 THEN 'positive' WHEN c0 > 0 AND nodata = 0 THEN 'clean_background_only' WHEN c0 > 0 THEN 'mixed_background_nodata' ELSE 'ignore_only' END AS class_presence
 FROM (SELECT s.*, c.*, c.l_linenumber AS chip_index, 512 * CAST(floor((c.l_linenumber - 1) / 2.0) AS INT) AS row_off, 512 * ((c.l_linenumber - 1) % 2) AS col_off
-  FROM chip_counts c JOIN sources s ON s.source_tiff_id = concat('src_', c.l_orderkey)) x""",
+  FROM chip_counts c JOIN sources s ON s.source_no = c.l_orderkey) x""",
     "source_states": """
 SELECT user_id AS run_key, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id FROM events""",
 }

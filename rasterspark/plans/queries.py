@@ -176,8 +176,9 @@ def chronology_check(t: Tables) -> DataFrame:
 
 
 def _with_roles(t: Tables) -> DataFrame:
-    chips = joins.with_split(policy.training_selection(t["chips"]), ranking.temporal_split(t["sources"]))
-    return chips
+    # the split is made once, over the sources; the chips are many times as many
+    split = scratch.saved(ranking.temporal_split(t["sources"]).select("source_tiff_id", "split"), "split")
+    return joins.with_split(policy.training_selection(t["chips"]), split)
 
 
 _ROLES = _SPLIT + """,

@@ -273,3 +273,10 @@ def test_table_fingerprints(spark):
     rows = [(1, "a"), (2, None), (2, None)]
     hashes = [r[0] for r in spark.createDataFrame(rows, "k int, v string").select(F.xxhash64("k", "v")).collect()]
     assert tuple(hashing.table_fingerprint(spark.createDataFrame(rows, "k int, v string")).first()) == (3, sum(hashes))
+
+
+def test_sources_without_date_or_region_keep_their_row(spark):
+    rows = [(f"s{k}", "r", f"2020-0{1 + k}-01") for k in range(5)] + [("n", "r", None), ("m", None, "2020-01-01")]
+    sources = spark.createDataFrame(rows, "source_tiff_id string, region_id string, d string").withColumn("acquisition_date", F.to_date("d"))
+    out = {r.source_tiff_id: r.split for r in ranking.temporal_split(sources).collect()}
+    assert len(out) == 7 and out["n"] is None and out["m"] is None and out["s0"] == "TRAIN" and out["s4"] == "TEST"

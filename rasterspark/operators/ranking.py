@@ -52,7 +52,7 @@ def best_cuts(groups: DataFrame, fractions: tuple[float, float, float] = (0.7, 0
 def temporal_split(sources: DataFrame, fractions: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
     """sources with split: whole dates stay together. Regions of fewer than three dates, and sources without a region or a
     date, get a null split."""
-    groups = date_groups(sources)
+    groups = date_groups(sources.where("region_id IS NOT NULL AND acquisition_date IS NOT NULL"))
     cuts = groups.join(best_cuts(groups, fractions), "region_id", "left")
     split = F.when(F.col("first_cut").isNull(), None).when(F.col("index") < F.col("first_cut"), "TRAIN").when(F.col("index") < F.col("second_cut"), "VAL").otherwise("TEST")
     return sources.join(cuts.select("region_id", "acquisition_date", split.alias("split")), ["region_id", "acquisition_date"], "left")

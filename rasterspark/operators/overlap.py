@@ -55,23 +55,26 @@ def crop_faults(tiles: DataFrame, padded_height: int, padded_width: int) -> Data
     return tiles.where(~cropped.eqNullSafe(F.col("label"))).select("chip_id")
 
 
-def score_tiles(tiles: DataFrame, predictor: Callable) -> DataFrame:
-    """predictor(image, label) -> probabilities, arrays of shape (h, w, b) and (h, w); it travels with the tasks."""
+def score_tiles(tiles: DataFrame, predictor: Callable, batched: bool = False) -> DataFrame:
+    """predictor(image, label) -> probabilities, arrays of shape (h, w, b) and (h, w); it travels with the tasks. Batched,
+    it takes the tiles of one shape at once: (n, h, w, b) and (n, h, w)."""
     schema = tiles.drop("probability").schema
 
     def score(frames):
         import numpy as np
 
         for frame in frames:
-            found = []
-            for row in frame.itertuples(index=False):
-                image, label = np.asarray(row.image).reshape(row.h, row.w, row.b), np.asarray(row.label).reshape(row.h, row.w)
-                p = np.asarray(predictor(image, label), np.float32)
-                if p.shape != label.shape:
-                    raise ValueError(f"{row.chip_id}: {p.shape} probabilities for {label.shape} pixels")
-                found.append(p.ravel())
-            frame["probability"] = found
-            yield frame
+            found = [None] * len(frame)
+            for (h, w, b), rows in frame.reset_index(drop=True).groupby(["h", "w", "b"]):
+                images = np.stack(rows["image"].to_list()).reshape(len(rows), h, w, b)
+                labels = np.stack(rows["label"].to_list()).reshape(len(rows), h, w)
+                p = predictor(images, labels) if batched else np.stack([predictor(i, x) for i, x in zip(images, labels, strict=True)])
+                p = np.asarray(p, np.float32)
+                if p.shape != labels.shape:
+                    raise ValueError(f"{rows['chip_id'].iloc[0]}: {p.shape} probabilities for {labels.shape} pixels")
+                for i, row in zip(rows.index, p.reshape(len(rows), -1), strict=True):
+                    found[i] = row
+            yield frame.assign(probability=found)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return tiles.drop("probability").mapInPandas(score, f"{fields}, probability array<float>")

@@ -511,7 +511,7 @@ SELECT concat('chip_', vec_id) AS chip_id, round(list_sum(list_transform(v, lamb
 def score_tiles(t: Tables) -> DataFrame:
     """A plain predictor over the tiles: the share of the image's greatest value."""
     tiles = t.tiles().withColumn("image", F.transform("probability", lambda p: (255 * p).cast("int"))).withColumn("b", F.lit(1)).select("chip_id", "h", "w", "b", "image", "label")
-    return overlap.score_tiles(tiles, lambda image, label: image[:, :, 0] / max(int(image.max()), 1)).select("chip_id", F.round(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return overlap.score_tiles(tiles, lambda images, labels: images[..., 0] / images.max(axis=(1, 2, 3), initial=1)[:, None, None], batched=True).select("chip_id", F.round(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query()

@@ -18,8 +18,9 @@ from .common import ascii_lower, broadcast_if_small, id_or_default, read_table,
 from .words import Piece, pieces
 
 WINDOW, SHINGLE = 13, 3
-#: Bits of the filter of shingles that goes to every task: 1 MB whatever the benchmark's size.
-FILTER_BITS = 1 << 23
+#: Least and most bits (powers of two) of the filter of shingles that goes to every task, and bits for each shingle:
+#: 1 MB for half a million shingles, 32 MB for 16 million and more, where it passes more words on for the exact comparison.
+FILTER_BITS, MOST_BITS, BITS_EACH = 1 << 23, 1 << 28, 16
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -49,19 +50,20 @@ def shingles_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.record_batch([wins.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], names=["win", "h", "k", "off", "len"])
 
 
-def bit_filter(spark: SparkSession, hashes: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A bit set of fixed size over the hashes (column h), and the widths k among them."""
-    place = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+def bit_filter(hashes: DataFrame, n: int) -> tuple[np.ndarray, list[int]]:
+    """A bit set over the hashes (column h, n of them), and the widths k among them."""
+    size = min(MOST_BITS, max(FILTER_BITS, 1 << (BITS_EACH * n).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(size - 1))
     bits = hashes.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, b in bits.collect():  # FILTER_BITS / 64 rows at most
+    words = np.zeros(size // 64, np.int64)
+    for w, b in bits.collect():  # MOST_BITS / 64 rows at most
         words[w] = b
     return words, [r.k for r in hashes.select("k").distinct().collect()]
 
 
 def matches(piece: Piece, k: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = piece.shingles(k)
-    place = hashes & np.uint64(FILTER_BITS - 1)
+    place = hashes & np.uint64(64 * len(words) - 1)
     hit = (words.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
     return hashes[hit], at[hit]
 
@@ -115,16 +117,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     items = saved(windows_of(benchmark, window), "windows")
     parts = saved(items.select("win").distinct().mapInArrow(shingles_of_windows, "win string, h long, k int, off int, len int"), "window-shingles")
     shingles = parts.select("h", "k").distinct()
-    counter = shingle_counter(sc.broadcast(bit_filter(spark, shingles)))
+    n_parts = parts.count()
+    counter = shingle_counter(sc.broadcast(bit_filter(shingles, n_parts)))
     counts = docs.select(F.col("text").cast("string")).mapInArrow(counter, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     # a window with a shingle that no document has can't occur: the inner join and the count of shingles leave it out
-    rare = parts.join(broadcast_if_small(parts.select("h").distinct().join(counts, "h", "left").na.fill(0, ["n"]), parts.count()), "h")
+    rare = parts.join(broadcast_if_small(parts.select("h").distinct().join(counts, "h", "left").na.fill(0, ["n"]), n_parts), "h")
     index = rare.groupBy("win", "len").agg(F.min(F.struct("n", "h", "off", "k")).alias("r")).where("r.n > 0")
     index = saved(index.select("win", "len", "r.h", "r.off", "r.k"), "window-index")
-    finder = candidate_finder(sc.broadcast(bit_filter(spark, index)), window)
+    n_index = index.count()
+    finder = candidate_finder(sc.broadcast(bit_filter(index, n_index)), window)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     scanned = saved(rows.mapInArrow(finder, "row long, doc_id long, text_hash long, n_words long, found array<struct<h:long,p:int,first:int,ctx:string>>"), "scanned")
-    n_index, n_items = index.count(), items.count()
+    n_items = items.count()
     found = scanned.where(F.size("found") > 0).select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
     begin = F.col("p") - F.col("off")
     same = F.array_join(F.slice(F.split("ctx", " "), begin - F.col("first") + 1, F.col("len")), " ") == F.col("win")
@@ -146,7 +150,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that contamination() finds clean, all columns kept."""
+    """The rows of docs that contamination() finds clean, all columns kept. Null, empty and wordless texts are clean. Rows
+    that share a doc_id are judged by their own texts, those that repeat both alike, and rows without a doc_id too; no
+    rows give no rows, and an empty benchmark leaves all."""
     bad = contamination(docs, benchmark, **options).where("contaminated")
     doc, text_hash = spare(docs, "doc", "text_hash")
     bad = bad.select(id_or_default().alias(doc), F.col("text_hash").alias(text_hash)).distinct()

@@ -13,14 +13,17 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, small_batches
 
 CUE = r"(?i)licen[sc]|copyright|\(c\) ?[0-9]{4}|redistribut|without warrant|as is|spdx|public domain|all rights reserved"
+#: Whatever CUE finds holds one of these, in lower case.
+CUE_PARTS = ("licen", "copyright", "(c)", "redistribut", "without warrant", "as is", "spdx", "public domain", "all rights reserved")
 #: Wording of public licence notices.
 NOTICES = {
     "Apache-2.0": (
@@ -78,11 +81,24 @@ def anchors(template: list[str]) -> list[int]:
 
 
 def anchor_pattern(notices: dict[str, tuple[str, ...]]) -> str:
-    """For Java and Python: finds every text that has an anchor of a template."""
+    """Finds every text that has an anchor of a template."""
     runs = {r"\W+".join(map(re.escape, words[k : k + ANCHOR])) for texts in notices.values() for words in map(words_of, texts) for k in anchors(words)}
     return "(?i)" + "|".join(sorted(runs))
 
 
+def may_hold(low: Column, notices: dict[str, tuple[str, ...]]) -> Column:
+    """True for every lower-cased text with a cue or an anchor, and for some others: the two longest words of an anchor are
+    looked for, by plain search."""
+    pairs: dict[str, set[str]] = {}
+    for words in (words_of(t) for texts in notices.values() for t in texts):
+        for k in anchors(words):
+            long = sorted(words[k : k + ANCHOR], key=lambda w: (-len(w), w))
+            pairs.setdefault(long[0], set()).add(long[min(1, len(long) - 1)])
+    found = [F.contains(low, F.lit(c)) for c in CUE_PARTS]
+    found += [F.contains(low, F.lit(w)) & reduce(Column.__or__, [F.contains(low, F.lit(v)) for v in sorted(others)]) for w, others in sorted(pairs.items())]
+    return reduce(Column.__or__, found)
+
+
 def cue_spans(text: str) -> list[tuple[int, int]]:
     """Begin and end of each run of lines with a cue."""
     out: list[tuple[int, int]] = []
@@ -240,7 +256,8 @@ def scan_licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None =
     """
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(CUE) | text.rlike(anchor_pattern(notices or NOTICES)), text).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.lower(text).alias("low"))
+    rows = rows.select("doc_id", F.when(may_hold(F.col("low"), notices or NOTICES), F.col("text")).alias("text"))
     kind = "array<struct<line:int,license:string,saved:int,missing:array<string>,added:array<string>>>"
     out = rows.mapInArrow(scan_batches(notices or NOTICES), f"doc_id long, blocks {kind}")
     return out.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(F.transform("blocks", lambda b: b["license"])))))

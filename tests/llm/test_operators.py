@@ -371,6 +371,13 @@ def test_licenses_against_every_window():
         assert len(found) >= runs and (not brute or found), text
 
 
+def test_license_prefilter_loses_nothing(spark):
+    texts = [t.replace(" ", sep).upper() if up else t.replace(" ", sep) for texts in license_scan.NOTICES.values() for t in texts for sep, up in ((" ", False), ("\n * ", True))]
+    texts += ["x (C) 1999 y", "LICENCE", "licensing", "Redistributed", "WITHOUT WARRANTY", "sold As Is", "SPDX-id", "Public Domain", "All Rights Reserved", "COPYRIGHT"]
+    out = docs(spark, *texts, "plain").select("text", license_scan.may_hold(F.lower("text"), license_scan.NOTICES).alias("may")).collect()
+    assert all(r.may for r in out[:-1]) and not out[-1].may
+
+
 def test_license_ties_edges_and_length(spark):
     same = {"B": ("these are the very words of it",), "A": ("these are the very words of it",)}
     text = "x\nthese are the very words of it\ny"

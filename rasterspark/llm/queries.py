@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, license_scan, line_dedup, mixing, ngram_join, periodic_runs, quality_model, quality_rules, tool_calls, toxicity
+from . import decontaminate, hard_negatives, html_text, license_scan, line_dedup, mixing, ngram_join, periodic_runs, quality_model, quality_rules, tool_calls, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_model.query,
     "op9_quality_rules": quality_rules.query,
     "op10_license_scan": license_scan.query,
+    "op11_hard_negatives": hard_negatives.query,
     "op12_periodic_runs": periodic_runs.query,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_tool_call_linking": tool_calls.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }

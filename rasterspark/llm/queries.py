@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hard_negatives, html_text, license_scan, line_dedup, mixing, ngram_join, periodic_runs, quality_model, quality_rules, tool_calls, toxicity
+from . import decontaminate, hard_negatives, html_text, license_scan, line_dedup, minhash_dedup, mixing, ngram_join, periodic_runs, quality_model, quality_rules, tool_calls, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": license_scan.query,
     "op11_hard_negatives": hard_negatives.query,
     "op12_periodic_runs": periodic_runs.query,
+    "op13_minhash_dedup": minhash_dedup.query,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,

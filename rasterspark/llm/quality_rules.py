@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches of each language and source.
 
 A sketch is a table: counts of values cut to three significant digits, so sketches merge by adding counts and each has
-900 rows a decade at most. A source of too few documents uses its language's sketch, a language of too few the whole
-corpus's. Thresholds are fences around the quartiles, joined back to the documents of their group.
+900 rows a decade at most. A threshold lies beyond an upper quantile by a multiple of its distance from a lower one, both
+read from the sketch; there are no fixed cutoffs. A quantile is read from the narrowest sketch (source, language, all)
+with BEYOND documents beyond it; thresholds are joined back to the documents of their group.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, read_table, saved, small_batches
 from .doc_stats import STATS_SCHEMA, counted
 
-#: Name, numerator, denominator (values are thousandths), least upper fence, least quartile range, also a lower fence?
+#: Name, numerator, denominator (values are thousandths), lower and upper quantile (hundredths), reach, also a lower fence?
 METRICS = (
-    ("word_length", "word_chars", "n_words", 0, 400, True),
-    ("symbols", "n_symbols", "n_words", 100, 0, False),
-    ("dup_lines", "n_dup_lines", "n_lines", 300, 0, False),
-    ("repeats", "n_repeat_words", "n_words", 300, 0, False),
+    ("word_length", "word_chars", "n_words", 25, 75, 4, True),
+    ("symbols", "n_symbols", "n_words", 25, 75, 3, False),
+    ("dup_lines", "n_dup_lines", "n_lines", 50, 99, 1, False),
+    ("repeats", "n_repeat_words", "n_words", 50, 99, 1, False),
 )
-FENCE = 3
+#: Documents that a sketch must have beyond an upper quantile.
+BEYOND = 10
 LEVELS = ("source", "lang", "all")
 
 
@@ -40,26 +42,25 @@ def sketches(values: DataFrame) -> DataFrame:
     return merged
 
 
+def metric_value(i: int) -> Column:
+    """What METRICS say of the row's metric."""
+    return F.element_at(F.create_map(*[F.lit(x) for m in METRICS for x in (m[0], m[i])]), F.col("metric"))
+
+
 def fences(merged: DataFrame) -> DataFrame:
-    """The quartiles of each sketch and the fences around them."""
+    """Of each sketch with enough documents (of the widest in any case) both quantiles and the fences beyond them."""
     group = ["level", "lang", "source", "metric"]
     at = Window.partitionBy(*group)
     cut = merged.withColumn("seen", F.sum("n").over(at.orderBy("bin"))).withColumn("docs", F.sum("n").over(at))
-    quartile = lambda k: F.min(F.when(4 * F.col("seen") >= k * F.col("docs"), F.col("bin")))
-    out = cut.groupBy(*group).agg(F.max("docs").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for m in METRICS for x in (m[0], m[i])]), F.col("metric"))
-    width = FENCE * F.greatest(F.col("q3") - F.col("q1"), pick(4))
-    return out.withColumn("high", F.greatest(F.col("q3") + width, pick(3))).withColumn("low", F.when(pick(5), F.col("q1") - width).otherwise(0))
-
+    quantile = lambda i: F.min(F.when(100 * F.col("seen") >= metric_value(i) * F.col("docs"), F.col("bin")))
+    out = cut.groupBy(*group).agg(F.max("docs").alias("docs"), quantile(3).alias("lower"), quantile(4).alias("upper"))
+    out = out.where((F.col("level") == "all") | (F.col("docs") * (100 - metric_value(4)) >= 100 * BEYOND))
+    width = metric_value(5) * (F.col("upper") - F.col("lower"))
+    return out.withColumn("high", F.col("upper") + width).withColumn("low", F.when(metric_value(6), F.col("lower") - width).otherwise(0))
 
-def judge(docs: DataFrame, min_docs: int = 100) -> DataFrame:
-    """One row per row of docs: doc_id, the base counts, base_failed, kept and failed (names of the metrics outside
-    their fences; empty where base_failed).
 
-    A null or empty text has no words and fails. A null lang or source counts as an empty name. A group of fewer than
-    min_docs documents that pass the base rules uses the next wider sketch, the widest whatever its size. No rows give
-    no rows; rows that share a doc_id are judged one by one; other columns are not read.
-    """
+def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """judge() with lang and source, and the fences()."""
     spark = docs.sparkSession
     small_batches(spark)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -69,19 +70,31 @@ def judge(docs: DataFrame, min_docs: int = 100) -> DataFrame:
     rows = saved(rows.withColumn("base_failed", failed), "quality-counts")
     value = lambda m: F.expr(f"1000 * {m[1]} DIV greatest({m[2]}, 1)")
     values = rows.where("NOT base_failed").select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m[0]).alias("metric"), value(m).alias("value")) for m in METRICS])).alias("v")).select("lang", "source", "v.*")
-    limits = fences(sketches(values)).withColumn("limit", F.struct("docs", "low", "high"))
-    wide = limits.groupBy("level", "lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "limit"))).alias("limits"), F.max("docs").alias("docs"))
+    limits = saved(fences(sketches(values)), "quality-fences")
+    wide = limits.groupBy("level", "lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high").alias("limit")))).alias("limits"))
     wide = saved(wide, "quality-limits")
-    out, n = rows, wide.count()
-    for level, keys in zip(LEVELS, (["lang", "source"], ["lang"], []), strict=True):
-        usable = wide.where((F.col("level") == level) & ((F.col("docs") >= min_docs) | F.lit(level == "all"))).select(*keys, F.col("limits").alias(f"l_{level}"))
-        usable = usable.withColumn("one", F.lit(1)) if not keys else usable
-        out = (out.withColumn("one", F.lit(1)) if not keys else out).join(broadcast_if_small(usable, n), keys or ["one"], "left")
-    limit = F.coalesce(*[F.col(f"l_{level}") for level in LEVELS])
-    outside = [F.when(value(m).between(limit[m[0]]["low"], limit[m[0]]["high"]), None).otherwise(F.lit(m[0])) for m in METRICS]
+    out, n = rows.withColumn("one", F.lit(1)), wide.count()
+    for level, keys in (("source", ["lang", "source"]), ("lang", ["lang"])):
+        out = out.join(broadcast_if_small(wide.where(F.col("level") == level).select(*keys, F.col("limits").alias(f"l_{level}")), n), keys, "left")
+    # the widest sketch has one row
+    out = out.join(F.broadcast(wide.where("level = 'all'").select(F.lit(1).alias("one"), F.col("limits").alias("l_all"))), "one", "left")
+    limit = lambda m: F.coalesce(*[F.try_element_at(f"l_{level}", F.lit(m[0])) for level in LEVELS])
+    outside = [F.when(value(m).between(limit(m)["low"], limit(m)["high"]), None).otherwise(F.lit(m[0])) for m in METRICS]
     out = out.withColumn("failed", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*outside))))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"), limits
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, the base counts, base_failed, kept and failed (names of the metrics outside
+    their fences; empty where base_failed).
+
+    A null or empty text has no words and fails; very long texts are counted whole. A null lang or source counts as an
+    empty name. Thresholds follow the documents that pass the base rules: a group with fewer than BEYOND of them beyond
+    a metric's upper quantile uses the next wider sketch for that metric, the widest whatever its size. No rows give no
+    rows; rows that share a doc_id are judged one by one; other columns are not read.
+    """
+    return judged(docs)[0].drop("lang", "source")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,18 +139,18 @@ merged AS (
 cut AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bin) AS seen,
     sum(n) OVER (PARTITION BY level, lang, source, metric) AS docs FROM merged),
-quart AS (
-  SELECT level, lang, source, metric, max(docs) AS docs, min(bin) FILTER (WHERE 4 * seen >= docs) AS q1,
-    min(bin) FILTER (WHERE 4 * seen >= 3 * docs) AS q3 FROM cut GROUP BY ALL),
+quant AS (
+  SELECT level, lang, source, metric, max(docs) AS docs, min(bin) FILTER (WHERE 100 * seen >= {_case(3)} * docs) AS lower,
+    min(bin) FILTER (WHERE 100 * seen >= {_case(4)} * docs) AS upper FROM cut GROUP BY ALL),
 fence AS (
-  SELECT *, greatest(q3 + {FENCE} * greatest(q3 - q1, {_case(4)}), {_case(3)}) AS high,
-    CASE WHEN {_case(5)} = 1 THEN q1 - {FENCE} * greatest(q3 - q1, {_case(4)}) ELSE 0 END AS low FROM quart),
+  SELECT *, upper + {_case(5)} * (upper - lower) AS high, CASE WHEN {_case(6)} = 1 THEN lower - {_case(5)} * (upper - lower) ELSE 0 END AS low
+  FROM quant WHERE level = 'all' OR docs * (100 - {_case(4)}) >= {100 * BEYOND}),
 judged AS (
   SELECT b.doc_id, m.metric, m.value BETWEEN coalesce(s.low, l.low, a.low) AND coalesce(s.high, l.high, a.high) AS fine
   FROM base b
   JOIN LATERAL (SELECT * FROM (VALUES {", ".join(f"('{m[0]}', 1000 * b.{m[1]} // greatest(b.{m[2]}, 1))" for m in METRICS)}) AS v(metric, value)) m ON TRUE
-  LEFT JOIN fence s ON s.level = 'source' AND s.docs >= 100 AND s.lang = b.lang AND s.source = b.source AND s.metric = m.metric
-  LEFT JOIN fence l ON l.level = 'lang' AND l.docs >= 100 AND l.lang = b.lang AND l.metric = m.metric
+  LEFT JOIN fence s ON s.level = 'source' AND s.lang = b.lang AND s.source = b.source AND s.metric = m.metric
+  LEFT JOIN fence l ON l.level = 'lang' AND l.lang = b.lang AND l.metric = m.metric
   LEFT JOIN fence a ON a.level = 'all' AND a.metric = m.metric)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (SELECT bool_and(coalesce(fine, FALSE)) FROM judged j WHERE j.doc_id = base.doc_id) AS kept

@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of words around anchors of the templates (a few words in a row, so many of each template that a
-text with its wording has one of them whole), and lines with a licensing cue. A block is compressed with each template as
-a zstandard raw dictionary. In the order of what they save, templates are compared with the block word by word; the first
-whose wording is there is the block's licence. What lies before and after its words is a block again, so licences side by
-side are all found. A block without a confirmed template is kept, unnamed, where the best one saves a good share of it.
-Templates are a parameter; NOTICES holds public notices, short ones and whole.
+text with its wording has one of them whole), and lines with a licensing cue. A block's words are compressed with each
+template as a zstandard raw dictionary. Templates that save of no stretch of it a good share of what they save of themselves are rejected; a
+block that none is left for is dropped. In the order of what they save, the others are compared with the block word by
+word; the first whose wording is there is the block's licence. What lies before and after its words is a block again, so
+licences side by side are all found. A block without a confirmed template is kept, unnamed, where the best one saves a
+good share of it. Templates are a parameter; NOTICES holds public notices, short ones and whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,10 @@ SLACK = 0.1
 ANCHOR = 3
 #: Least share of a block's compressed size that the best template saves if the block is kept without a licence.
 LIKELY = 0.2
+#: Least share of what a template saves of its own words that it saves of a block it is compared with.
+SAVES = 0.25
+#: Blocks whose ranks are remembered in a task: short notices repeat.
+REMEMBERED = 4096
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -137,25 +142,38 @@ class Scanner:
         self.templates = []
         self.pattern = re.compile(anchor_pattern(notices))
         self.anchors: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-        self.sizes: set[int] = set()
+        self.bounds: list[float] = []
         for name, texts in sorted(notices.items()):
             for text in texts:
-                raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 words = words_of(text)
+                own = " ".join(words)
+                raw = zstandard.ZstdCompressionDict(own.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 for k in anchors(words):
                     self.anchors.setdefault(tuple(words[k : k + ANCHOR]), []).append((len(self.templates), k))
                 self.templates.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=raw)))
+                self.bounds.append(SAVES * self.saving(len(self.templates) - 1, own))
         self.sizes = {len(a) for a in self.anchors}
+        self.rank = lru_cache(REMEMBERED)(self.rank)
 
-    def rank(self, block: str) -> list[tuple[int, int]]:
-        """Bytes saved by each template, most first; ties in the templates' order."""
+    def saving(self, t: int, block: str) -> int:
+        """Bytes that template t saves of a block of words."""
         raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((alone - len(c.compress(raw)), -k) for k, (_, _, c) in enumerate(self.templates)), reverse=True)
+        return len(self.plain.compress(raw)) - len(self.templates[t][2].compress(raw))
+
+    def most_saved(self, t: int, words: list[str]) -> int:
+        """The most that template t saves of a stretch of words; a near wording lies whole in one of the stretches."""
+        n = max(1, len(self.templates[t][1]) + int(SLACK * len(self.templates[t][1])))
+        return max(self.saving(t, " ".join(words[i : i + 2 * n])) for i in range(0, max(1, len(words) - n), n))
+
+    def rank(self, block: str) -> list[tuple[int, int]]:
+        """Templates that save enough of a block of words, as bytes and place, most first; ties in the templates' order."""
+        words = block.split(" ")
+        found = sorted((-self.most_saved(t, words), t) for t in range(len(self.templates)))
+        return [(-lost, t) for lost, t in found if -lost >= self.bounds[t]]
 
     def confirm(self, t: int, words: list[str], first: int, last: int) -> tuple[int, int, list[str], list[str]] | None:
         """The place in words[first:last] with template t's wording, and words missing and added; None if none is near
-        enough. Only windows of the template's length around its anchors are compared."""
+        enough. Places come from its anchors, one of which stands whole wherever its wording is."""
         _, template, _ = self.templates[t]
         slack, best = int(SLACK * len(template)), None
         size = min(ANCHOR, len(template))
@@ -202,29 +220,20 @@ class Scanner:
             a = max(a, done) if first else a  # what the block before has confirmed isn't seen again
             if a >= b:
                 continue
-            held = {tuple(words[i : i + size]) for size in self.sizes for i in range(a, b - size + 1)}
-            near = {t for run in held & self.anchors.keys() for t, _ in self.anchors[run]}
-            block = text[places[a].start() : places[b - 1].end()]
-            lines = text.count("\n", 0, places[a].start()), text.count("\n", 0, places[b - 1].end())
-            cue = re.search(CUE, block)
-            if not near and not cue:
-                continue
+            block = " ".join(words[a:b])
             ranked = self.rank(block)
-            for _, k in ranked:
-                # a template without an anchor here can't be confirmed
-                found = self.confirm(-k, words, a, b) if -k in near else None
+            for _, t in ranked:
+                found = self.confirm(t, words, a, b)
                 if found:
                     i, j, lost, extra = found
-                    raw = text[places[i].start() : places[j - 1].end()]
-                    saved = next(x for x, u in self.rank(raw) if u == k)
-                    out.append((text.count("\n", 0, places[i].start()), text.count("\n", 0, places[j - 1].end()), self.templates[-k][0], saved, lost, extra))
+                    out.append((text.count("\n", 0, places[i].start()), text.count("\n", 0, places[j - 1].end()), self.templates[t][0], self.saving(t, " ".join(words[i:j])), lost, extra))
                     waiting += [(c, d, False) for c, d in ((j, b), (a, i)) if c < d]
                     done = max(done, j)
                     break
             else:
-                saved, k = ranked[0] if ranked else (0, 0)
-                if cue and ranked and saved >= LIKELY * len(self.plain.compress(block.encode())):
-                    out.append((*lines, None, saved, *wording(self.templates[-k][1], words[a:b][: 4 * len(self.templates[-k][1])])))
+                begin, end = places[a].start(), places[b - 1].end()
+                if ranked and ranked[0][0] >= LIKELY * len(self.plain.compress(block.encode())) and re.search(CUE, text[begin:end]):
+                    out.append((text.count("\n", 0, begin), text.count("\n", 0, end), None, ranked[0][0], *wording(self.templates[ranked[0][1]][1], words[a:b])))
         return sorted(out, key=lambda x: (x[0], x[2] or ""))
 
     def confirmed(self, text: str) -> list[tuple[int, int, str, int, list[str], list[str]]]:
@@ -251,8 +260,9 @@ def scan_licenses(docs: DataFrame, notices: dict[str, tuple[str, ...]] | None =
     """One row per row of docs: doc_id, blocks (line, license or null, bytes saved, words missing and added; by line, those
     of a line by name), licenses (the confirmed ones, sorted). Of templates that save the same the first by name wins.
 
-    Null and empty texts, and texts without a cue or a template's wording, have no blocks; rows that repeat are scanned
-    one by one; no rows give no rows. Only texts with a cue or an anchor leave the JVM. Other columns are not read.
+    saved counts bytes of the words joined by a space. Null and empty texts, and texts without a cue or a template's
+    wording, have no blocks; very long texts are scanned whole; rows that repeat are scanned one by one; no rows give no
+    rows. Only texts with a cue or an anchor leave the JVM. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")

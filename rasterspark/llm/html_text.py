@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block; menus, headers, footers, adverts and the like are left out unless they
-hold most of the page's text. A line's weight is its text outside links, several times that in an article. Weights are
-summed over a sliding window of lines; windows that reach a share of the page's largest sum, and are not mostly links,
-pick the text. With them stay the short lines of the same element and the article that they lie in.
+Markup is stripped to lines, one for each block; menus, headers, footers, adverts, comments and the like are left out
+whatever their size. A line's weight is its text outside links, several times that in an article. Weights are summed over
+a sliding window of lines; windows that reach a share of the page's largest sum, and are not mostly links, pick the text.
+With them stay the short lines of the same element and the article that they lie in. All steps are linear in the page.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ WINDOW = 3
 SURGE = 0.2
 #: What text in an article or main element weighs.
 BONUS = 3
-#: Least text of an element that is an aside by its name if it is to outweigh an article elsewhere.
-LEAST_MAIN = 500
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|audio|video|xmp)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|</?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^<>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*+\Z",
@@ -36,6 +34,8 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 SKIPPED = set("head title nav header footer aside form menu dialog button label fieldset".split())
 #: Asides that also wrap whole pages.
 WRAPPERS = {"form", "fieldset"}
+#: Parts of a page that a form or a named element holds only if it wraps the page.
+LANDMARKS = {"nav", "header", "footer", "aside"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = {"p", "li", "dt", "dd", "option"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -46,17 +46,32 @@ NAMES = re.compile(
     re.I,
 )
 
+#: Names that are never those of a page's wrapper, but for what follows a "with" or "has".
+FINAL = re.compile(
+    r"(?:^|\s)(?!(?:has|with|no|show|hide)[_-])(?:[\w-]*[_-])?(?:ad|ads|adv|advert\w*|adbox|adsense|adunit|sponsor\w*|cookies?|consent|gdpr|popup|pop-up|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*"
+    r"|comments?|comment-?list|commentlist|disqus\w*|respond|replies|reply)(?:$|[\s_-])",
+    re.I,
+)
+
 
-def is_aside(tag: str, rest: str) -> bool:
+def aside_kind(tag: str, rest: str) -> str:
+    """final, name or wrapper (asides unless they wrap the page), or nothing."""
     if tag in SKIPPED:
-        return True
+        return "wrapper" if tag in WRAPPERS else "final"
     if not rest or tag in ("body", "html", "main"):
-        return False
+        return ""
+    kind = ""
     for name, *values in ATTRIBUTE.findall(rest):
         value = "".join(values)
-        if value.lower() in ROLES if name.lower() == "role" else NAMES.search(value):
-            return True
-    return False
+        if name.lower() == "role":
+            if value.lower() in ROLES:
+                return "wrapper" if value.lower() == "form" else "final"
+        elif found := NAMES.search(value):
+            if FINAL.search(value):
+                return "final"
+            kind = kind if kind == "name" or found[0].strip(" _-") != value.strip() else "name"
+            kind = kind or "wrapper"
+    return kind
 
 
 def is_hidden(rest: str) -> bool:
@@ -67,51 +82,69 @@ class Line(NamedTuple):
     text: str
     links: int  # code points inside links
     article: int  # number of the outermost article or main element around it, or 0
-    path: tuple[int, ...]  # numbers of the elements around it
+    element: int  # number of the innermost element around it, 0 for the page
+    low: tuple[int, int]  # depth and number of the element around it and the line before
+
+
+class Element(NamedTuple):
+    parent: int
+    first: int  # its lines are first .. last - 1
+    last: int
 
 
-def blocks(page: str, held: frozenset[int] = frozenset()) -> list[Line]:
-    """The page's lines in order, without the text of asides; an element that is one by its name, role or WRAPPERS
-    is none where it holds most of the page's text (LEAST_MAIN at least where an article lies outside it)."""
+def blocks(page: str, held: frozenset[int] | None = None) -> tuple[list[Line], list[Element]]:
+    """The page's lines in order, without the text of asides, and its elements.
+
+    A form, or an element that is an aside by a name of the layout, is none if it wraps the page: if a main element lies
+    in it, or an article (for a form, any landmark) beside landmarks. Where the page has no text otherwise, the outermost
+    forms and elements whose name says more than the aside's own are none. Comments, adverts and such are final.
+    """
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool, int, tuple[int, int]]] = []  # tag, aside, article, unseen, number, text seen before it
+    elements: list[Element] = [Element(0, 0, 0)]
+    stack: list[tuple[str, str, bool, int, tuple[int, int, int], int]] = []  # tag, kind, article, number, seen before it, first line
+    tops: list[int] = []  # places of blocks in the stack
+    open_tags: dict[str, int] = {}
     parts: list[str] = []
-    masses: dict[int, tuple[int, int]] = {}  # of the asides: text outside links, what of it lies in articles
-    links = skipping = link = number = unseen = marked = seen = inside = 0
+    wraps: set[int] = set()
+    outermost: set[int] = set()
+    links = skipping = link = final = marked = outer = mains = articles = landmarks = 0
+    low = (0, 0)
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, low
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Line(text, min(links, len(text)), next((s[4] for s in stack if s[2]), 0), tuple(s[4] for s in stack)))
+            here = stack[-1][3] if stack else 0
+            out.append(Line(text, min(links, len(text)), outer, here, low))
+            low = (len(stack), here)
         parts.clear()
         links = 0
 
-    def weigh(piece: str) -> None:
-        nonlocal seen, inside
-        if not (link or unseen):
-            seen += len(piece.strip()) * (BONUS if marked else 1)
-            inside += len(piece.strip()) * (BONUS if marked else 0)
-
     def close(k: int) -> None:
-        nonlocal skipping, marked, unseen, link
+        nonlocal skipping, marked, final, link, low, outer
         while len(stack) > k:
-            tag, aside, main, hidden, n, before = stack.pop()
-            if aside and not hidden:
-                masses[n] = (seen - before[0], inside - before[1])
-            skipping -= aside
+            tag, kind, main, n, before, first = stack.pop()
+            open_tags[tag] -= 1
+            if tops and tops[-1] == len(stack):
+                tops.pop()
+            elements[n] = Element(elements[n].parent, first, len(out))
+            if kind in ("name", "wrapper"):
+                m, a, marks = mains - before[0], articles - before[1], landmarks - before[2]
+                if m or (marks and (a or tag in WRAPPERS)):
+                    wraps.add(n)
+            skipping -= bool(kind)
+            final -= kind == "final"
             marked -= main
-            unseen -= hidden
+            outer = outer if marked else 0
             link -= tag == "a"
+        if k < low[0]:
+            low = (k, stack[-1][3] if stack else 0)
 
     at = 0
     for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            weigh(piece)
-            if not skipping:
-                parts.append(piece)
-                links += len(piece) if link else 0
+        if m.start() > at and not skipping:
+            parts.append(page[at : m.start()])
+            links += m.start() - at if link else 0
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -123,42 +156,57 @@ def blocks(page: str, held: frozenset[int] = frozenset()) -> list[Line]:
         if tag in BLOCKS:
             flush()
         if page[m.start() + 1] == "/":
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and (tag in BLOCKS or not any(s[0] in BLOCKS for s in stack[k + 1 :])):
-                close(k)
+            if open_tags.get(tag):
+                # an inline end tag ends nothing beyond the innermost block
+                least = -1 if tag in BLOCKS or not tops else tops[-1]
+                k = next((i for i in range(len(stack) - 1, least, -1) if stack[i][0] == tag), None)
+                if k is not None:
+                    close(k)
             continue
         if tag in BLOCKS and stack and stack[-1][0] not in BLOCKS:
-            # a block ends inline elements that were left open
-            k = len(stack)
-            while k and stack[k - 1][0] not in BLOCKS:
-                k -= 1
-            close(k)
+            close(tops[-1] + 1 if tops else 0)  # a block ends inline elements that were left open
         if tag in BLOCKS and stack and stack[-1][0] in CLOSED_BY_BLOCK and (tag == stack[-1][0] or stack[-1][0] == "p"):
             close(len(stack) - 1)
-        if tag == "body":
-            close(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
+        if tag == "body" and open_tags.get("head"):
+            close(next(i for i, s in enumerate(stack) if s[0] == "head"))
         if tag in VOID or m["rest"].endswith("/"):
             continue
-        number += 1
-        main, hidden = tag in ("article", "main"), tag in SKIPPED - WRAPPERS or (tag not in ("body", "html", "main") and is_hidden(m["rest"]))
-        aside = hidden or (number not in held and is_aside(tag, m["rest"]))
-        stack.append((tag, aside, main, hidden, number, (seen, inside)))
-        skipping += aside
+        n, main = len(elements), tag in ("article", "main")
+        kind = "final" if tag not in ("body", "html", "main") and is_hidden(m["rest"]) else aside_kind(tag, m["rest"])
+        if kind in ("name", "wrapper"):
+            if not skipping and (kind == "wrapper" or main):
+                outermost.add(n)
+            kind = "" if held is not None and n in held else kind
+        before = (mains, articles, landmarks)
+        if not final:
+            mains += tag == "main"
+            articles += tag == "article"
+            landmarks += tag in LANDMARKS
+        elements.append(Element(stack[-1][3] if stack else 0, 0, 0))
+        if tag in BLOCKS:
+            tops.append(len(stack))
+        stack.append((tag, kind, main, n, before, len(out)))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        skipping += bool(kind)
+        final += kind == "final"
         marked += main
-        unseen += hidden
+        outer = outer or (n if main else 0)
         link += tag == "a"
-    if at < len(page):
-        weigh(page[at:])
-        if not skipping:
-            parts.append(page[at:])
+    if at < len(page) and not skipping:
+        parts.append(page[at:])
+        links += len(page) - at if link else 0
     flush()
     close(0)
-    most = frozenset(n for n, (mass, own) in masses.items() if 2 * mass > seen and (own or not inside or mass >= LEAST_MAIN)) - held
-    return blocks(page, held | most) if most else out
+    elements[0] = Element(0, 0, len(out))
+    if held is None and wraps:
+        return blocks(page, frozenset(wraps))
+    if not out and outermost - (held or set()):
+        return blocks(page, (held or frozenset()) | outermost)
+    return out, elements
 
 
 def main_text(page: str | None) -> str:
-    lines = blocks(page or "")
+    lines, elements = blocks(page or "")
     plain = [len(line.text) - line.links for line in lines]
     weights = [w * (BONUS if line.article else 1) for line, w in zip(lines, plain, strict=True)]
     # windows end where an article begins or ends
@@ -174,20 +222,20 @@ def main_text(page: str | None) -> str:
             picked |= {j for j in range(i, ends[i]) if plain[j]}
     articles = {lines[i].article for i in picked} - {0} or ({line.article for line in lines} if not picked else set())
     core = [i for i in sorted(picked) if weights[i] >= SURGE * most / WINDOW and not lines[i].article]
-    around = set()
+    around = [0] * (len(lines) + 1)  # 1 where an element that is kept whole begins, -1 behind it
     for i, j in zip(core, [*core[1:], None], strict=False):
         # the element of this long line and the next, or the parent of the only one
         if j is not None and j - i <= 2 * WINDOW:
-            around.add(tuple(a for a, b in zip(lines[i].path, lines[j].path, strict=False) if a == b))
+            whole = min(lines[k].low for k in range(i + 1, j + 1))[1]
         else:
-            around.add(lines[i].path[:-1])
-    kept = [
-        k
-        for k, line in enumerate(lines)
-        if (line.article and line.article in articles)
-        or k in picked
-        or (not line.article and plain[k] > line.links and any(line.path[: len(path)] == path for path in around))
-    ]
+            whole = elements[lines[i].element].parent
+        around[elements[whole].first] += 1
+        around[elements[whole].last] -= 1
+    inside, kept = 0, []
+    for k, line in enumerate(lines):
+        inside += around[k]
+        if (line.article and line.article in articles) or k in picked or (not line.article and plain[k] > line.links and inside):
+            kept.append(k)
     # a few lines of links between lines that stay
     gaps = [k for a, b in zip(kept, kept[1:], strict=False) if b - a <= WINDOW + 1 for k in range(a + 1, b) if lines[k].article == lines[a].article == lines[b].article]
     return "\n\n".join(lines[k].text for k in sorted({*kept, *gaps}))
@@ -202,8 +250,9 @@ def extract_batches(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text (the article's blocks joined by a blank line), n_chars.
 
-    Null and empty pages, and pages without an article, give an empty text. Pages that repeat are extracted one by one;
-    no rows give no rows; other columns are not read.
+    Null and empty pages, and pages without an article, give an empty text. Very long and deeply nested pages are taken
+    whole, in time linear in their length. Pages that repeat are extracted one by one; no rows give no rows; other
+    columns are not read.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

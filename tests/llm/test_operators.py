@@ -622,10 +622,10 @@ def test_license_bound_keeps_every_near_wording():
 
 
 def test_license_unnamed_block_is_compared_whole():
-    template = license_scan.NOTICES["Apache-2.0"][0]
-    text = " ".join(f"licensed under the apache thing{k}, version 2.0." for k in range(60))
-    found = license_scan.Scanner({"A": (template,)}).scan(text)
-    assert found and found[0][2] is None and len(found[0][5]) > 4 * len(license_scan.words_of(template))
+    short, long = license_scan.NOTICES["Apache-2.0"][0], license_scan.NOTICES["MIT"][1]
+    text = "copyright of all\n" * 20 + "Licensed under the Apache Banana, Version 2.0."
+    found = license_scan.Scanner({"A": (short,), "B": (long,)}).scan(text)
+    assert [(x[2], x[4], x[5]) for x in found] == [(None, ["license"], ["banana"])]
 
 
 def test_quality_thresholds_follow_the_sketches(spark, monkeypatch):
@@ -643,3 +643,40 @@ def test_quality_thresholds_follow_the_sketches(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "BEYOND", 10**6)
     wide = {r.doc_id: list(r.failed) for r in quality_rules.judge(data).collect()}
     assert wide != out and wide[1000] == []
+
+
+def test_html_asides_stay_out_whatever_their_size():
+    article = ("A sentence of the article itself, with several words. " * 6).strip()
+    comments = "".join(f"<div class='comment'><p>{'Reader says a lot of things here. ' * 3}{k}</p></div>" for k in range(60))
+    boxes = ("div class=comments", "section id=comments", "div class=sidebar", "div class=comments-area", "aside", "div class='post-comments'", "div class='related-posts'", "div class='ad-slot'", "div class='cookie-notice'", "footer")
+    for tag in ("article", "div"):
+        for box in boxes:
+            parts = [f"<{tag}><p>{article}</p></{tag}>", f"<{box}>{comments}</{box.split()[0]}>"]
+            for order in (parts, parts[::-1]):
+                assert html_text.main_text(f"<html><body>{''.join(order)}</body></html>") == article, (tag, box)
+    inside = f"<article><p>{article}</p><div class='comments'>{comments}</div><div class='sidebar'>{comments}</div></article>"
+    assert html_text.main_text(inside) == article
+    listed = comments.replace("<div class='comment'>", "<article class='comment'>").replace("</div>", "</article>")
+    wrapped = f"<div class='site has-sidebar'><header>h</header><article><p>{article}</p></article><div id='comments'>{listed}</div><footer>f</footer></div><p>(c) me</p>"
+    assert html_text.main_text(wrapped) == article
+    assert html_text.main_text(f"<div class='sidebar'>{comments}</div>") == "" == html_text.main_text(f"<div class='entry comments'>{comments}</div>")
+    assert html_text.main_text(f"<div class='entry has-comments'><p>{article}</p></div>") == article
+
+
+def test_html_windows_decide_inside_an_article():
+    article = ("A sentence of the article itself, with several words. " * 6).strip()
+    links = "".join(f"<p><a href=x>more of link {k}</a></p>" for k in range(12))
+    page = f"<article><p>{article}</p></article><article>{links}</article><div><p>{article} 2</p><p>tiny</p></div>{links}"
+    assert html_text.main_text(page).split("\n\n") == [article, f"{article} 2", "tiny"]
+
+
+def test_html_is_linear_in_nesting():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html_text.main_text("<div>" * n + "<p>some text</p><b>x</i>" * n + "</div></p>" * n)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 40 * max(took(1_000), 0.01)

@@ -8,7 +8,7 @@ A table key can only be shared if both its halves are. Half keys that one set al
 formed, and of tables with the very same sets in a bucket one bucket stays. Sets near one of a large bucket (its pivot)
 follow the pivot and form no keys equal to the pivot's.
 
-Buckets are compared by their min-hashes; what they tie is a class of candidates, verified on full sets: followers with
+Small buckets are compared by their min-hashes, large ones taken whole; what they tie is a class of candidates, verified on full sets: followers with
 their pivot first, then only sets of a class that verified links haven't joined yet. Pairs are never written.
 """
 
@@ -30,10 +30,10 @@ from .words import SPACED, mix, pieces
 SHINGLE = 5
 #: Min-hashes of a half key.
 HALF = 4
-#: Sets in a bucket that is compared at once, and in one whose sets may follow a pivot.
+#: Sets in a bucket that is compared by itself, and in one whose sets may follow a pivot.
 NODE, DENSE = 256, 64
 #: Sets, and bytes of text, in a block of a class; followers that are compared with one copy of their pivot.
-BLOCK_SETS, BLOCK_BYTES, FOLLOWERS = 1536, 8 << 20, 512
+BLOCK_SETS, BLOCK_BYTES, FOLLOWERS = 768, 8 << 20, 512
 
 
 def folded_table() -> np.ndarray:
@@ -114,17 +114,14 @@ def sketch_rows(column: pa.ChunkedArray) -> np.ndarray:
 
 def bucket_ties(plan: Plan) -> Callable:
     def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """bucket, part, set, pivot, sketch sorted by bucket -> u, v that span what each bucket ties together: two sets
-        from `least` equal places on, a set and a pivot from `fringe` on, two pivots from `meet` on. Of a bucket in two
-        parts only pairs across count."""
+        """bucket, set, pivot, sketch sorted by bucket -> u, v that span what each bucket ties together: two sets from
+        `least` equal places on, a set and a pivot from `fringe` on, two pivots from `meet` on."""
         u, v = [], []
         for group in grouped(batches, 1):
-            part, ids, pivot = (np.asarray(group.column(k).combine_chunks()) for k in (1, 2, 3))
-            rows = sketch_rows(group.column(4))
+            ids, pivot = (np.asarray(group.column(k).combine_chunks()) for k in (1, 2))
+            rows = sketch_rows(group.column(3))
             floor = np.where(pivot[:, None] & pivot, plan.meet, np.where(pivot[:, None] | pivot, plan.fringe, plan.least)) if pivot.any() else plan.least
             linked = np.stack([np.count_nonzero(rows == r, axis=1) for r in rows]) >= floor
-            if part.min() != part.max():
-                linked &= part[:, None] != part
             np.fill_diagonal(linked, True)
             roots = roots_of(linked)
             move = roots != np.arange(len(ids))
@@ -251,13 +248,12 @@ def candidate_classes(sets: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame
     held = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y")).where("n > 1")
     held = held.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     live = saved(keys.join(held, "bucket"), "buckets")
-    parts = F.when(F.col("n") <= NODE, 1).otherwise(F.ceil(F.col("n") / (NODE // 2))).cast("int")
-    part = F.pmod(F.xxhash64("set"), parts).cast("int")
-    dealt = live.select("bucket", "set", "pivot", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "part", "set", "pivot")
+    # a large bucket is tied whole: its sets are compared once, as a class, not again in each table
+    large = live.where(F.col("n") > NODE)
+    stars = large.join(large.groupBy("bucket").agg(F.min("set").alias("least")), "bucket").select(F.col("set").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
     count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = dealt.join(sets.select("set", "sketch"), "set").select("bucket", "part", "set", "pivot", "sketch").repartition(count, "bucket").sortWithinPartitions("bucket", "set")
-    ties = Table(compared.mapInArrow(bucket_ties(plan), "u long, v long"), "ties").read()
+    compared = live.where(F.col("n") <= NODE).join(sets.select("set", "sketch"), "set").select("bucket", "set", "pivot", "sketch").repartition(count, "bucket").sortWithinPartitions("bucket", "set")
+    ties = Table(compared.mapInArrow(bucket_ties(plan), "u long, v long").unionByName(stars), "ties").read()
     edges = ties.unionByName(homes.select(F.col("set").alias("u"), F.col("home").alias("v")))
     return saved(components(edges).select(F.col("node").alias("set"), F.col("root").alias("class")), "candidates"), homes
 

@@ -79,6 +79,14 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes(df) <= BROADCAST_BYTES else df
 
 
+def broadcast_measured(df: DataFrame) -> DataFrame:
+    """Marks a saved table for broadcast only where its values, as measured, are within BROADCAST_BYTES."""
+    wide = [f.name for f in df.schema if f.dataType.simpleString() == "string" or f.dataType.typeName() in ("array", "map", "struct")]
+    sizes = [F.octet_length(F.col(c)) if df.schema[c].dataType.typeName() == "string" else F.octet_length(F.to_json(F.struct(c))) for c in wide]
+    total = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(8 * len(df.columns))))).first()[0]
+    return F.broadcast(df) if (total or 0) <= BROADCAST_BYTES else df
+
+
 def hash_share(rows: DataFrame, key: str, n: int, most: int) -> DataFrame:
     """Rows (n of them) whose key's hash is among the least, a little more than `most` of them: few beyond what a limit
     takes leave their tasks."""

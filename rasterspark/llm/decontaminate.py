@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, id_or_default, read_table, saved, small_batches, spare
+from .common import ascii_lower, broadcast_if_small, broadcast_measured, id_or_default, read_table, saved, small_batches, spare
 from .words import Piece, pieces
 
 WINDOW, SHINGLE = 13, 3
@@ -56,8 +56,8 @@ def bit_filter(hashes: DataFrame, n: int) -> tuple[np.ndarray, list[int]]:
     place = F.col("h").bitwiseAND(F.lit(size - 1))
     bits = hashes.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
     words = np.zeros(size // 64, np.int64)
-    for w, b in bits.collect():  # MOST_BITS / 64 rows at most
-        words[w] = b
+    found = bits.toArrow()  # MOST_BITS / 64 pairs of numbers at most, as columns
+    words[np.asarray(found["w"])] = np.asarray(found["b"])
     return words, [r.k for r in hashes.select("k").distinct().collect()]
 
 
@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     items (of windows that occur, sorted as strings), contaminated (n_hit > 0 and at least `percent` of the words).
 
     Null texts have no words; items without a word or an id have no windows; a window shared by items counts for each;
-    rows that repeat a doc_id are judged row by row. An empty table on either side gives clean or no rows. Other columns
+    rows that repeat a doc_id are judged row by row, very long texts whole. An empty table on either side gives clean or no rows. Other columns
     are not read.
     """
     spark = docs.sparkSession
@@ -128,13 +128,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     finder = candidate_finder(sc.broadcast(bit_filter(index, n_index)), window)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     scanned = saved(rows.mapInArrow(finder, "row long, doc_id long, text_hash long, n_words long, found array<struct<h:long,p:int,first:int,ctx:string>>"), "scanned")
-    n_items = items.count()
     found = scanned.where(F.size("found") > 0).select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
     begin = F.col("p") - F.col("off")
     same = F.array_join(F.slice(F.split("ctx", " "), begin - F.col("first") + 1, F.col("len")), " ") == F.col("win")
     fits = (begin >= 0) & (begin + F.col("len") <= F.col("n_words"))
-    hits = found.join(broadcast_if_small(index, n_index), "h").where(F.when(fits, same).otherwise(False))
-    hits = hits.select("row", begin.alias("at"), "len", "win").join(broadcast_if_small(items, n_items), "win")
+    hits = found.join(broadcast_measured(index), "h").where(F.when(fits, same).otherwise(False))
+    hits = hits.select("row", begin.alias("at"), "len", "win").join(broadcast_measured(items), "win")
     spans = F.sort_array(F.collect_set(F.struct("at", "len")))
     per_row = hits.groupBy("row").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, broadcast_if_small, read_table, saved
+from .common import Table, broadcast_measured, read_table, saved
+
 
 def let(value: Column, body) -> Column:
     """body(value), with value computed once: inside lambdas Spark computes an expression each time it is named."""
@@ -37,7 +38,7 @@ def argument_facts(args: Column) -> Column:
 def argument_faults(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """calls: key, name, facts (of argument_facts); schemas: tool, arg, type, required, low, high -> key, faults (sorted texts)."""
     rules = schemas.groupBy(F.col("tool").alias("name")).agg(F.sort_array(F.collect_list(F.struct("arg", "type", "required", "low", "high"))).alias("rules"))
-    joined = calls.join(broadcast_if_small(rules, rules.count()), "name", "left")
+    joined = calls.join(broadcast_measured(saved(rules, "tool-rules")), "name", "left")
 
     def fault(r):
         def judged(fact):
@@ -58,9 +59,14 @@ def argument_faults(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return joined.select("key", faults.alias("faults"))
 
 
+def step(to: Column) -> Column:
+    """What a link counts: 1 to a call, 0 to an id (a negative key)."""
+    return (to >= 0).cast("long")
+
+
 def anchors(calls: DataFrame, links: DataFrame) -> DataFrame:
     """calls: key; links: from, to -> key, anchor, steps, joint: the first call above each (or itself) without exactly one
-    parent, the links up to it, and whether it has several.
+    parent, the links up to it (those to a negative key, an id, don't count), and whether it has several.
 
     Pointers are doubled: after k rounds a call points 2 ** k links up, so rounds grow with the logarithm of the longest
     chain. Calls on or below a cycle of single parents never reach an anchor and are left out.
@@ -69,7 +75,7 @@ def anchors(calls: DataFrame, links: DataFrame) -> DataFrame:
     kind = lambda n: F.when(n.isNull(), "root").when(n > 1, "joint")
     tops = calls.join(parents, "key", "left").where("n IS NULL OR n > 1").select("key", F.col("key").alias("anchor"), F.lit(0).cast("long").alias("steps"), kind(F.col("n")).alias("end"))
     above = parents.select(F.col("key").alias("up"), F.col("n").alias("m"))
-    table = Table(parents.where("n = 1").join(above, "up", "left").select("key", F.col("up").alias("anchor"), F.lit(1).cast("long").alias("steps"), kind(F.col("m")).alias("end")), "call-pointers")
+    table = Table(parents.where("n = 1").join(above, "up", "left").select("key", F.col("up").alias("anchor"), step(F.col("key")).alias("steps"), kind(F.col("m")).alias("end")), "call-pointers")
     for _ in range(table.read().count().bit_length() + 1):
         ended, moving = table.read().where("end IS NOT NULL"), table.read().where("end IS NULL")
         if moving.isEmpty():
@@ -86,21 +92,27 @@ def anchors(calls: DataFrame, links: DataFrame) -> DataFrame:
 def levels(calls: DataFrame) -> DataFrame:
     """calls: conv_id, call_id, key, parents (call ids of the same conversation) -> key, level.
 
-    A call's level is one more than the highest of its parents that exist; calls on a cycle, or below one, get none.
+    A call's level is one more than the highest of its parents that exist; calls on a cycle, or below one, get none. An
+    id that calls repeat is a node of its own between these calls and those that name it, so links grow with the rows.
     Chains of single parents are cut short first (see anchors). Calls with several parents are then placed round by
     round, once all their parents' anchors are placed, so there are as many rounds as such calls follow each other.
     """
-    links = calls.select("key", "conv_id", F.explode(F.array_distinct("parents")).alias("parent"))
-    known = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("parent"), F.col("key").alias("from")).where("parent IS NOT NULL")
+    ids = calls.where("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("i")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"))
+    ids = saved(ids.select("c", "i", "n", F.when(F.col("n") > 1, -1 - F.col("low")).otherwise(F.col("low")).alias("node")), "call-ids")
     same = F.col("conv_id").eqNullSafe(F.col("c"))
-    links = saved(links.alias("l").join(known.alias("k"), same & (F.col("l.parent") == F.col("k.parent"))).select("from", F.col("key").alias("to")), "call-links")
-    found = anchors(calls.select("key"), links)
-    simple = found.where("NOT joint").select("key", F.col("steps").alias("level"))
+    named = calls.select("key", "conv_id", F.explode(F.array_distinct("parents")).alias("parent"))
+    links = named.join(ids, same & (F.col("parent") == F.col("i"))).select(F.col("node").alias("from"), F.col("key").alias("to"))
+    repeated = ids.where("n > 1")
+    links = saved(links.unionByName(calls.join(repeated, same & (F.col("call_id") == F.col("i"))).select(F.col("key").alias("from"), F.col("node").alias("to"))), "call-links")
+    calls = calls.select("key").unionByName(repeated.select(F.col("node").alias("key")))
+    found = anchors(calls, links)
+    simple = found.where("NOT joint AND key >= 0").select("key", F.col("steps").alias("level"))
     waiting = found.where("joint AND steps = 0").select(F.col("key").alias("to"))
     if waiting.isEmpty():
         return simple
-    up = found.select(F.col("key").alias("from"), "anchor", F.when(~F.col("joint"), F.col("steps") + 1).alias("known"), (F.col("steps") + 1).alias("more"))
-    edges = saved(links.join(waiting, "to", "left_semi").join(up, "from", "left").select("to", "anchor", "known", "more"), "joint-links")
+    up = found.select(F.col("key").alias("from"), "anchor", F.when(~F.col("joint"), F.col("steps")).alias("known"), F.col("steps").alias("more"))
+    more = lambda c: (F.col(c) + step(F.col("to"))).alias(c)
+    edges = saved(links.join(waiting, "to", "left_semi").join(up, "from", "left").select("to", "anchor", more("known"), more("more")), "joint-links")
     paths: list[str] = []
     schema = "anchor long, base long"
     while True:
@@ -114,7 +126,7 @@ def levels(calls: DataFrame) -> DataFrame:
             newest.drop()
             break
         paths.append(newest.path)
-    below = found.where("joint").join(placed, "anchor").select("key", (F.col("base") + F.col("steps")).alias("level"))
+    below = found.where("joint AND key >= 0").join(placed, "anchor").select("key", (F.col("base") + F.col("steps")).alias("level"))
     return simple.unionByName(below)
 
 
@@ -126,7 +138,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     number or of a string's length; null: none). A call links to the least content of the results with its conversation
     and id; results without a call are left out, calls without a result or an id have a null content. Calls that repeat
     a conversation and id keep one row each and share a result. A null or malformed `arguments` has the fault `json`, a
-    name without a schema `tool`. level is null for calls on a cycle or below one. No rows give no rows.
+    name without a schema `tool`. level is null for calls on a cycle or below one. Very long arguments and contents are taken
+    whole. No rows give no rows.
     """
     plain = calls.select("conv_id", "call_id", "seq", "name", "parents", F.try_parse_json(F.col("arguments")).alias("args"), "arguments", F.monotonically_increasing_id().alias("key"))
     # arguments are parsed once for their facts and once for the message

@@ -680,3 +680,30 @@ def test_html_is_linear_in_nesting():
 
     took(500)
     assert took(16_000) < 40 * max(took(1_000), 0.01)
+
+
+def test_tool_calls_of_repeated_ids_link_in_linear_size(spark, monkeypatch):
+    n = 5_000
+    calls = [(1, "same", k, []) for k in range(n)] + [(1, "child", n + k, ["same"]) for k in range(n)] + [(1, "last", 2 * n, ["child", "same"]), (1, "loop", 2 * n + 1, ["loop"]), (1, "loop", 2 * n + 2, []), (1, "under", 2 * n + 3, ["loop"])]
+    sizes = {}
+    real = tool_calls.saved
+
+    def seen(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(tool_calls, "saved", seen)
+    rows = spark.createDataFrame(calls, "conv_id long, call_id string, key long, parents array<string>")
+    out = {r.key: r.level for r in tool_calls.levels(rows).collect()}
+    assert out == {k: k // n for k in range(2 * n + 1)} | {2 * n + 2: 0}
+    assert sizes["call-links"] <= 4 * n
+
+
+def test_decontamination_filter_comes_as_columns(spark):
+    hashes = spark.range(200_000).select(F.xxhash64("id").alias("h"), F.lit(3).alias("k"))
+    words, widths = decontaminate.bit_filter(hashes, 200_000)
+    place = np.array([r.h for r in hashes.collect()]).view(np.uint64) & np.uint64(64 * len(words) - 1)
+    want = np.zeros(len(words), np.uint64)
+    np.bitwise_or.at(want, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+    assert (words.view(np.uint64) == want).all() and widths == [3]

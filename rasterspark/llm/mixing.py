@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, id_or_default, read_table, saved, spare
+from .common import broadcast_if_small, read_table, saved, spare
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
 #: Halvings of the output: 2 ** DEPTH shards.
 DEPTH = 3
+#: Standard deviations around the mode within which a draw is weighed.
+REACH = 12
 
 
 def word_count(text: Column) -> Column:
@@ -54,29 +56,43 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
-    """How many of `marked` out of `total` are among `drawn`, by the inverse of the distribution at `uniform`."""
-    total, marked, drawn = (c.cast("double") for c in (total, marked, drawn))
-    low, high = F.greatest(F.lit(0.0), drawn - (total - marked)), F.least(marked, drawn)
+def log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series eight steps up, within 1e-11 of it."""
+    z, product = n + 9.0, n + 1.0
+    for k in range(2, 9):
+        product = product * (n + float(k))
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * z * z * z * z * z * z * z)
+    return (z - 0.5) * F.log(z) - z + series - F.log(product)
+
 
-    def next_weight(logs, k):
-        k = k.cast("double")
-        step = F.log((marked - k) * (drawn - k)) - F.log((k + 1) * (total - marked - drawn + k + 1))
-        return F.concat(logs, F.array(F.element_at(logs, -1) + step))
+def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
+    """How many of `marked` out of `total` are among `drawn`, by the inverse of the distribution at `uniform`.
 
-    steps = F.when(high > low, F.sequence(low.cast("long"), high.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-    none = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("k"))
+    Only values within REACH standard deviations of the mode are weighed, each by itself: work grows with the root of
+    the numbers, and what lies beyond weighs less than the sums are rounded by.
+    """
+    numbers = F.struct(*[c.cast("double").alias(n) for c, n in ((total, "t"), (marked, "m"), (drawn, "d"))], uniform.alias("u"))
 
-    def walk(weights, cut):
-        return F.aggregate(weights, none, lambda a, x: F.when(a["sum"] <= cut, F.struct((a["sum"] + x).alias("sum"), (a["k"] + 1).alias("k"))).otherwise(a))["k"]
+    def draw(x):
+        t, m, d = x["t"], x["m"], x["d"]
+        least, most = F.greatest(F.lit(0.0), d - (t - m)), F.least(m, d)
+        mode = F.floor((m + 1) * (d + 1) / (t + 2)).cast("double")
+        reach = F.ceil(REACH * F.sqrt(F.greatest(F.lit(1.0), d * (m / F.greatest(t, F.lit(1.0))) * (1 - m / F.greatest(t, F.lit(1.0))))) + REACH).cast("double")
+        low, high = F.greatest(least, mode - reach), F.least(most, mode + reach)
+        log = lambda k: -(log_factorial(k) + log_factorial(m - k) + log_factorial(d - k) + log_factorial(t - m - d + k))
+        ks = F.sequence(low.cast("long"), F.greatest(low, high).cast("long"))
+        logs = F.transform(ks, lambda k: let(k.cast("double"), log))
+        return let(F.struct(low.cast("long").alias("low"), logs.alias("logs"), x["u"].alias("u")), pick)
 
-    def pick(weights):
-        return let(uniform * F.aggregate(weights, F.lit(0.0), lambda a, x: a + x), lambda cut: walk(weights, cut))
+    def pick(x):
+        return let(F.array_max(x["logs"]), lambda top: let(F.transform(x["logs"], lambda v: F.exp(v - top)), lambda weights: x["low"] + inverse(weights, x["u"])))
 
-    def scaled(logs):
-        return let(F.array_max(logs), lambda top: let(F.transform(logs, lambda x: F.exp(x - top)), pick))
+    def inverse(weights, u):
+        none = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("k"))
+        walk = lambda cut: F.aggregate(weights, none, lambda a, w: F.when(a["sum"] <= cut, F.struct((a["sum"] + w).alias("sum"), (a["k"] + 1).alias("k"))).otherwise(a))["k"]
+        return let(u * F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), walk)
 
-    return low.cast("long") + let(F.aggregate(steps, F.array(F.lit(0.0)), next_weight), scaled)
+    return let(numbers, draw)
 
 
 def uniform(*parts) -> Column:
@@ -120,6 +136,11 @@ def running(rows: DataFrame, value: Column, order: Column, name: str, n_sources:
     return rows.withColumn(name, (F.col("past") + here).cast("long")).drop("order", "range", "past")
 
 
+def row_key(seed: str) -> Column:
+    """A hash of the document's id, or of its text where it has none."""
+    return md5_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), F.xxhash64(F.col("text").cast("string")).cast("string"))))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, depth: int = DEPTH, seed: str = SEED) -> DataFrame:
     """One row per row of docs: doc_id, source, size (words), source_size, target (its source's words in the mix),
     copies (draws), taken (words of all draws), draws (array of shard, words and order: where each copy goes, what of it
@@ -127,12 +148,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, d
 
     A source of r rows has 16 ** d blocks at most, d the hex digits of r less three, two at least. Of the last document
     that a source's target reaches, the mix takes the first words that the target still lacks, so a source's taken words
-    are its target, rounded. The same rows and seed give the same mix. A null text has no words, a null source is a
-    source, named last; rows that share a doc_id are taken alike unless the target ends between them. No rows give no
-    rows; if no text has a word, targets are 0.
+    are its target, rounded. The same rows and seed give the same mix. A null text has no words, very long ones are
+    counted whole, a null source is a source, named last; rows that share a doc_id, or their text without one, are taken
+    alike unless the target ends between them. No rows give no rows; if no text has a word, targets are 0.
     """
-    key = md5_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
+    return planned(docs, weights, most, depth, seed).drop("key")
+
+
+def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, depth: int = DEPTH, seed: str = SEED) -> DataFrame:
+    """mix() with the key of each row."""
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_key(seed).alias("key"))
     sizes = saved(sizes, "mix-sizes")
     targets = saved(source_targets(sizes, weights, most), "mix-targets")
     n_sources = targets.count()
@@ -163,7 +188,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, d
     draws = F.transform(draws, lambda d: F.struct(d["shard"].alias("shard"), F.when(whole(d), F.col("size")).otherwise(F.col("part")).alias("words"), F.xxhash64(F.lit(seed), d["shard"], d["copy"], F.col("key")).alias("order")))
     out = out.withColumn("part", part).withColumn("draws", draws)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", F.size("draws").cast("long").alias("copies"), taken.alias("taken"), "draws")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.size("draws").cast("long").alias("copies"), taken.alias("taken"), "draws", "key")
 
 
 def shard_rows(mixed: DataFrame) -> DataFrame:
@@ -172,16 +197,36 @@ def shard_rows(mixed: DataFrame) -> DataFrame:
     return rows.repartitionByRange("shard", "shard_order").sortWithinPartitions("shard", "shard_order")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The documents that the mix takes, all columns kept, with size, target, copies, taken and draws (a `_` is added to
     the name of one that docs has already). A row is a plan: a document drawn three times stands once, and one taken in
-    part stands whole; shard_rows() makes the rows of the shards, each with its words."""
-    doc, words, *names = spare(docs, "doc", "words", "size", "target", "copies", "taken", "draws")
-    plan = mix(docs, **options).where("copies > 0").withColumn(doc, id_or_default()).withColumn(words, F.col("size"))
-    plan = plan.select(doc, words, *[F.col(c).alias(n) for c, n in zip(("size", "target", "copies", "taken", "draws"), names, strict=True)])
-    # rows that share an id and size are alike to the mix
-    keyed = docs.withColumn(doc, id_or_default()).withColumn(words, word_count(F.col("text")))
-    return keyed.join(plan.dropDuplicates([doc, words]), [doc, words]).drop(doc, words)
+    part stands whole; mixed_rows() makes the rows of the shards, each with its words."""
+    key, words, *names = spare(docs, "key", "words", "size", "target", "copies", "taken", "draws")
+    plan = planned(docs, seed=seed, **options).where("copies > 0").withColumnsRenamed({"key": key}).withColumn(words, F.col("size"))
+    plan = plan.select(key, words, *[F.col(c).alias(n) for c, n in zip(("size", "target", "copies", "taken", "draws"), names, strict=True)])
+    # rows that share a key and size are alike to the mix
+    keyed = docs.withColumn(key, row_key(seed)).withColumn(words, word_count(F.col("text")))
+    return keyed.join(plan.dropDuplicates([key, words]), [key, words]).drop(key, words)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to its n-th word, its words joined by one space."""
+    return F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), n.cast("int")), " ")
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row for each copy of a document, with the columns of docs and target (its source's words in the
+    mix), taken (words of this copy), shard and shard_order. A copy taken in part has the first of its words as text, joined
+    by one space, and n_chars follows it. Rows are dealt by shard and shuffled within it."""
+    size, copies, draws, taken, shard, order, draw = spare(docs, "size", "copies", "draws", "taken", "shard", "shard_order", "draw")
+    rows = mixed_documents(docs, **options).withColumn(draw, F.explode(draws))
+    part = F.col(draw)["words"] < F.col(size)
+    text = F.when(part, first_words(F.col("text"), F.col(draw)["words"])).otherwise(F.col("text"))
+    out = rows.withColumns({shard: F.col(draw)["shard"], order: F.col(draw)["order"], taken: F.col(draw)["words"], "text": text})
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    out = out.drop(draw, size, copies, draws)
+    return out.repartitionByRange(shard, order).sortWithinPartitions(shard, order)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

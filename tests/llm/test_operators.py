@@ -560,15 +560,24 @@ def plain_pipeline(spark, folder):
     con = duck()
     con.register("kept", pa.Table.from_pylist([{"doc_id": r["doc_id"], "text": r["text"], "source": r["source"]} for r in rows]))
     taken = {r[0]: (r[4], r[5]) for r in con.execute(ORACLES["op6_source_mixing"].replace("FROM documents", "FROM kept")).fetchall()}
-    return {r["doc_id"]: (r["text"], r["n_chars"], *taken[r["doc_id"]]) for r in rows if taken[r["doc_id"]][1]}
+    out = []
+    for r in rows:
+        n, shards = taken[r["doc_id"]]
+        left, size = n, len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+        for shard in filter(None, shards.split(",")):  # whole copies first
+            words = min(left, size)
+            left -= words
+            text = r["text"] if words == size else " ".join(re.findall(r"[^\x20\x09-\x0D]+", r["text"])[:words])
+            out.append((r["doc_id"], text, r["n_chars"] if words == size else len(text), words, int(shard)))
+    return sorted(out)
 
 
 def test_pipeline_against_plain_python(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id: (r.text, r.n_chars, r.taken, ",".join(str(d.shard) for d in r.draws)) for r in out} == plain_pipeline(spark, SF)
-    assert len(out) == len({r.doc_id for r in out})
+    assert sorted((r.doc_id, r.text, r.n_chars, r.taken, r.shard) for r in out) == plain_pipeline(spark, SF)
+    assert len(out) > len({r.doc_id for r in out})  # a document may be drawn several times
 
 
 def test_pipeline_stages_keep_columns_on_empty_and_clashing_tables(spark):
@@ -586,7 +595,7 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, SF)
-    left = [r.text for r in out.collect()]
+    left = list({r.doc_id: r.text for r in sorted(out.collect(), key=lambda r: r.taken)}.values())
     assert left and len({hashlib.sha256(t.encode()).hexdigest() for t in left if t}) == len([t for t in left if t])
 
 
@@ -707,3 +716,28 @@ def test_decontamination_filter_comes_as_columns(spark):
     want = np.zeros(len(words), np.uint64)
     np.bitwise_or.at(want, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
     assert (words.view(np.uint64) == want).all() and widths == [3]
+
+
+def test_mixing_draws_of_many_blocks(spark):
+    import math
+    import time
+
+    def plain(t, m, d, u):
+        ks = range(max(0, d - (t - m)), min(m, d) + 1)
+        logs = [-sum(math.lgamma(x + 1) for x in (k, m - k, d - k, t - m - d + k)) for k in ks]
+        weights = [math.exp(v - max(logs)) for v in logs]
+        cut, total = u * sum(weights), 0.0
+        for k, w in zip(ks, weights, strict=True):
+            total += w
+            if total > cut:
+                return k
+
+    rows = [(t, m, d, u) for t, m, d in ((1, 1, 1), (1, 0, 0), (9, 4, 5), (300, 17, 150), (5000, 4000, 2500), (20_000, 10_000, 10_000)) for u in (1e-9, 0.2, 0.5, 0.77, 1 - 1e-9)]
+    df = spark.createDataFrame(rows, "t long, m long, d long, u double")
+    got = [r.k for r in df.select(mixing.hypergeometric(F.col("t"), F.col("m"), F.col("d"), F.col("u")).alias("k")).collect()]
+    assert got == [plain(*r) for r in rows]
+    began = time.perf_counter()
+    k = spark.createDataFrame([(4_000_000, 1_048_576, 2_000_000)], "t long, m long, d long").select(mixing.hypergeometric(F.col("t"), F.col("m"), F.col("d"), F.lit(0.5)).alias("k")).first().k
+    assert abs(k - 524_288) < 2 and time.perf_counter() - began < 20
+    spread = docs(spark, *[f"text {k}" for k in range(3000)]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert mixing.planned(spread).select("key").distinct().count() == 3000

@@ -35,8 +35,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, target, copies, taken and draws (shards and order of the copies)."""
-    return mixing.mixed_documents(docs)
+    """The mix itself: a row for each copy that the mix takes of a document, cut to the words that it takes, with target,
+    taken, shard and shard_order; rows are dealt by shard and shuffled within it."""
+    return mixing.mixed_rows(docs)
 
 
 STAGES = [

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import IGNORE
-from . import grid
+from . import blocks, grid
 
 
 def tile_faults(tiles: DataFrame) -> DataFrame:
@@ -21,13 +20,13 @@ def tile_faults(tiles: DataFrame) -> DataFrame:
 
 
 def reconstruct(tiles: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("source_tiff_id",)) -> DataFrame:
-    """tiles: keys, row_off, col_off, w, probability, label -> a row for each covered pixel: probability (mean over the
-    tiles), coverage, label (the one that isn't ignored), conflict (two such labels differ), mask."""
-    pixels = grid.explode_pixels(tiles.select(*keys, "row_off", "col_off", "w", "probability", "label"), "probability", "label")
-    known = F.when(F.col("label") != IGNORE, F.col("label"))
-    out = pixels.groupBy(*keys, "row", "col").agg(F.avg("probability").alias("probability"), F.count(F.lit(1)).alias("coverage"), F.max(known).alias("known"), F.min(known).alias("low"))
-    out = out.withColumn("label", F.coalesce("known", F.lit(IGNORE))).withColumn("conflict", F.coalesce(F.col("known") != F.col("low"), F.lit(False)))
-    return out.withColumn("mask", (F.col("probability") >= threshold).cast("int")).drop("known", "low")
+    """tiles: keys, row_off, col_off, h, w, probability, label -> a row for each covered pixel: probability (mean over the
+    tiles), coverage, label (the one that isn't ignored), conflict (two such labels differ), mask.
+
+    Sums are made by blocks (blocks.reconstruct_blocks); pixels are rows only after them.
+    """
+    found = blocks.reconstruct_blocks(tiles, list(keys), threshold)
+    return blocks.block_pixels(found, list(keys), "probability", "coverage", "label", "conflict", "mask")
 
 
 def label_conflicts(pixels: DataFrame) -> DataFrame:

@@ -141,11 +141,9 @@ def extreme_regions(regions: DataFrame, value: str = "removed_pct") -> DataFrame
 
 def slope(cells: DataFrame, cell_size: float = 1.0) -> DataFrame:
     """cells: source_tiff_id, row, col, value -> slope in degrees from the 3 x 3 neighbourhood; null if a neighbour is
-    null or lacks. Each cell is sent to its nine places, and one aggregate gathers them; rows grow ninefold, not more."""
-    moves = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
-    spread = cells.select("source_tiff_id", "value", F.explode(F.array(*[F.struct((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in moves])).alias("m")).select("source_tiff_id", "value", "m.*")
-    x = F.sum(F.when(F.col("dc") != 0, F.col("value") * F.col("dc") * F.when(F.col("dr") == 0, 2).otherwise(1)))
-    y = F.sum(F.when(F.col("dr") != 0, F.col("value") * F.col("dr") * F.when(F.col("dc") == 0, 2).otherwise(1)))
-    out = spread.groupBy("source_tiff_id", "row", "col").agg(F.count("value").alias("n"), x.alias("x"), y.alias("y"), F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), 1)).alias("own"))
-    tilt = F.degrees(F.atan(F.sqrt(F.pow(F.col("x") / (8 * cell_size), 2) + F.pow(F.col("y") / (8 * cell_size), 2))))
-    return out.where("own = 1").select("source_tiff_id", "row", "col", F.when(F.col("n") == 9, tilt).alias("slope"))
+    null or lacks. Cells are gathered to blocks, and blocks exchange their borders (blocks.slope_blocks)."""
+    from . import blocks
+
+    keys = ["source_tiff_id"]
+    found = blocks.slope_blocks(blocks.gathered(cells, keys, ["value"]), keys, "value", cell_size)
+    return blocks.block_pixels(found, keys, "slope")

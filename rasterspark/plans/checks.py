@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.metrics import RATIOS
 from ..operators import aggregates as A
-from ..operators import grid, hashing, joins, overlap, policy, ranking, rules, sets
+from ..operators import blocks, grid, hashing, joins, overlap, policy, ranking, rules, sets
 from .adapters import PIXELS, Tables, duck
 from .base import query, rounded
 from .queries import _CELLS, _METRICS, _RATIO, _ROLES, _SPLIT, C, S, _metrics, _with_roles
@@ -141,9 +141,10 @@ def scope_rows(t: Tables) -> DataFrame:
 @query(f"""WITH {PIXELS}, w AS (SELECT unnest([0, 4]) AS row_off), x AS (SELECT row_off, unnest([0, 4]) AS col_off FROM w)
 SELECT source_tiff_id, row_off, col_off, count(*) AS pixels, sum((row - row_off) * 8 + col - col_off) AS places, count(*) FILTER (label = 1) AS class_1 FROM cov JOIN x ON row >= row_off AND row < row_off + 8 AND col >= col_off AND col < col_off + 8 GROUP BY ALL""")
 def chip_cut(t: Tables) -> DataFrame:
-    pixels = overlap.reconstruct(t.tiles()).select("source_tiff_id", "row", "col", "label", F.lit(12).alias("width"), F.lit(12).alias("height"))
-    cut = grid.cut_pixels(pixels, 8, 4)
-    return cut.groupBy("source_tiff_id", "row_off", "col_off").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("chip_row") * 8 + F.col("chip_col")).alias("places"), F.count_if(F.col("label") == 1).alias("class_1"))
+    source = blocks.reconstruct_blocks(t.tiles(), ["source_tiff_id"], size=5).withColumns({"source_height": F.lit(12), "source_width": F.lit(12)})
+    chips = blocks.cut_windows(source, ["source_tiff_id"], ["label", "coverage"], 8, 4)
+    place = F.transform("coverage", lambda c, i: F.when(c.isNotNull(), i))
+    return chips.select("source_tiff_id", "row_off", "col_off", F.size(F.array_compact("coverage")).cast("long").alias("pixels"), F.aggregate(F.array_compact(place), F.lit(0).cast("long"), lambda a, x: a + x).alias("places"), F.size(F.filter("label", lambda x: x == 1)).cast("long").alias("class_1"))
 
 
 @query("""SELECT concat('chip_', vec_id) AS chip_id, CASE vec_id % 7 WHEN 1 THEN 'bounds' WHEN 2 THEN 'probability' WHEN 3 THEN 'shape' WHEN 4 THEN 'probability' END AS fault FROM embeddings WHERE vec_id % 7 BETWEEN 1 AND 4""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import metrics as M
 from ..operators import aggregates as A
-from ..operators import grid, hashing, joins, overlap, policy, ranking, rules, sets
+from ..operators import blocks, grid, hashing, joins, overlap, policy, ranking, rules, sets
 from ..sources import scratch
 from ..streaming import registry
 from .adapters import PIXELS, Tables, duck
@@ -402,28 +402,32 @@ def percentile_stretch(t: Tables) -> DataFrame:
 a AS (SELECT tg.*, cov.label FROM tg LEFT JOIN cov ON cov.s = tg.s AND cov.row = floor((tg.row + 0.5) * 0.9)::INT AND cov.col = floor((tg.col + 0.5) * 0.9)::INT)
 SELECT source_tiff_id, count(*) AS pixels, count(label) AS covered, count(*) - count(label) AS outside, count(*) FILTER (label = 1) AS class_1, count(*) FILTER (label = 0) AS class_0 FROM a GROUP BY 1""")
 def nearest_align(t: Tables) -> DataFrame:
-    pixels = overlap.reconstruct(t.tiles()).select("source_tiff_id", "row", "col", "label")
-    targets = t.tiles().select("source_tiff_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(224)))).select("source_tiff_id", F.expr("i DIV 15").alias("row"), F.pmod("i", F.lit(15)).alias("col"))
-    targets = targets.withColumn("x", (F.col("col") + 0.5) * 0.9).withColumn("y", (F.col("row") + 0.5) * 0.9)
-    return A.alignment_totals(joins.nearest_align(targets, pixels, (0.0, 0.0), (1.0, 1.0)), "source_tiff_id")
+    keys, tiles = ["source_tiff_id"], t.tiles()
+    grid = {"t_height": 15, "t_width": 15, "x0": 0, "dx": 0.9, "y0": 0, "dy": 0.9, "origin_x": 0, "pixel_x": 1, "origin_y": 0, "pixel_y": 1}
+    rasters = tiles.select(*keys).distinct().withColumns({c: F.lit(v) for c, v in grid.items()})
+    found = blocks.aligned_blocks(blocks.reconstruct_blocks(tiles, keys, size=5), rasters, keys, "label", size=4)
+    pixels = blocks.block_pixels(found, keys, "label").withColumn("covered", F.col("label").isNotNull())
+    return A.alignment_totals(pixels, "source_tiff_id")
 
 
 @query(f"""WITH {PIXELS}, v AS (SELECT s, row, col, probability AS p FROM cov)
 SELECT a.source_tiff_id, a.row, a.col, round((a.probability + b.p + c.p + d.p) / 4, 6) AS value FROM cov a JOIN v b ON a.s = b.s AND a.row = b.row AND a.col + 1 = b.col JOIN v c ON a.s = c.s AND a.row + 1 = c.row AND a.col = c.col JOIN v d ON a.s = d.s AND a.row + 1 = d.row AND a.col + 1 = d.col""")
 def bilinear_align(t: Tables) -> DataFrame:
-    pixels = overlap.reconstruct(t.tiles()).where("row < 12").select("source_tiff_id", "row", "col", "probability")
-    # the sources lie side by side in one grid, 100 columns apart
-    place = F.regexp_extract("source_tiff_id", r"(\d+)$", 1).cast("int") * 100
-    source = pixels.select("row", (F.col("col") + place).cast("int").alias("col"), F.col("probability").alias("value"))
-    targets = pixels.where("row < 11 AND col < 11").select(F.struct("source_tiff_id", "row", "col").alias("key"), (F.col("row") + 0.5).alias("sy"), (F.col("col") + place + 0.5).alias("sx"))
-    return rounded(joins.bilinear_align(targets, source).select("key.*", "value"), "value")
+    # moved by half a pixel, so each value is the mean of four
+    keys, tiles = ["source_tiff_id"], t.tiles()
+    sizes = tiles.groupBy(*keys).agg(F.max(F.col("row_off") + F.col("h") - 1).alias("t_height"), F.max(F.col("col_off") + F.col("w") - 1).alias("t_width"))
+    rasters = sizes.withColumns({c: F.lit(v) for c, v in {"x0": 0.5, "dx": 1, "y0": 0.5, "dy": 1, "origin_x": 0, "pixel_x": 1, "origin_y": 0, "pixel_y": 1}.items()})
+    found = blocks.aligned_blocks(blocks.reconstruct_blocks(tiles, keys, size=5), rasters, keys, "probability", bilinear=True, size=4)
+    return rounded(blocks.block_pixels(found, keys, "probability").withColumnRenamed("probability", "value"), "value")
 
 
 @query(f"""WITH {PIXELS}, n AS (SELECT a.s, a.source_tiff_id, a.row, a.col, b.row - a.row AS dr, b.col - a.col AS dc, b.probability AS p FROM cov a JOIN cov b ON a.s = b.s AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1)
 SELECT source_tiff_id, row, col, round(CASE WHEN count(*) = 9 THEN degrees(atan(sqrt(pow(sum(p * dc * CASE WHEN dr = 0 THEN 2 ELSE 1 END) / 8, 2) + pow(sum(p * dr * CASE WHEN dc = 0 THEN 2 ELSE 1 END) / 8, 2)))) END, 6) AS slope FROM n GROUP BY 1, 2, 3""")
 def slope3x3(t: Tables) -> DataFrame:
-    cells = overlap.reconstruct(t.tiles()).select("source_tiff_id", "row", "col", F.col("probability").alias("value"))
-    return rounded(ranking.slope(cells), "slope")
+    # blocks of 5, so most halos come from neighbours
+    keys = ["source_tiff_id"]
+    found = blocks.slope_blocks(blocks.reconstruct_blocks(t.tiles(), keys, size=5), keys, "probability", size=5)
+    return rounded(blocks.block_pixels(found, keys, "slope"), "slope")
 
 
 @query("SELECT p_type, coalesce(arg_max(p_size % 6, (p_brand, p_partkey)) FILTER (p_size % 6 IN (1, 2, 4)), 0) AS value FROM part GROUP BY 1")

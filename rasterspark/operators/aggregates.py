@@ -84,12 +84,15 @@ def filter_rollup(report: DataFrame) -> DataFrame:
 
 
 def percentile_rows(chips: DataFrame, value: str, group: str) -> DataFrame:
-    """Exact percentiles with linear interpolation, in long form, of all rows and of each group."""
+    """Exact percentiles with linear interpolation, in long form, of all rows and of each group (quantiles.py)."""
+    from .quantiles import counted_quantiles
     from .sets import with_global
 
-    points = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    wide = with_global(chips, group).groupBy("scope").agg(F.percentile(value, points).alias("v"))
-    return wide.select("scope", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in PERCENTILES]).alias("percentile"), F.col("v").alias("value"))).alias("z")).select("scope", F.col("z.percentile").alias("percentile"), F.col("z.value").alias("value"))
+    counts = chips.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = with_global(counts, group).groupBy("scope", value).agg(F.sum("n").alias("n"))
+    found = counted_quantiles(counts, "scope", value, tuple(p / 100 for p in PERCENTILES))
+    numbers = F.element_at(F.create_map(*[F.lit(x) for p in PERCENTILES for x in (p / 100, p)]), F.col("point"))
+    return found.select("scope", numbers.alias("percentile"), F.col(value).alias("value"))
 
 
 def threshold_candidates(chips: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
@@ -161,12 +164,17 @@ def paired_summary(matched: DataFrame) -> DataFrame:
 
 
 def delta_summary(deltas: DataFrame, value: str = "delta") -> DataFrame:
-    """Count, mean, median and quartiles of the known deltas, by region and over all."""
+    """Count, mean, median and quartiles of the known deltas, by region and over all (quantiles.py)."""
+    from .quantiles import counted_quantiles
     from .sets import with_global
 
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = with_global(deltas, "region_id", "all_tiffs").groupBy("scope").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q.alias("q"))
-    return out.select("scope", "n", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
+    counts = with_global(deltas.groupBy("region_id", value).agg(F.count(F.lit(1)).alias("n")), "region_id", "all_tiffs").groupBy("scope", value).agg(F.sum("n").alias("n"))
+    known = F.when(F.col(value).isNotNull(), F.col("n"))
+    sums = counts.groupBy("scope").agg(F.coalesce(F.sum(known), F.lit(0)).alias("n"), F.try_divide(F.sum(F.col(value) * F.col("n")), F.sum(known)).alias("mean"))
+    names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    found = counted_quantiles(counts.where(F.col(value).isNotNull()), "scope", value, tuple(names))
+    wide = found.groupBy("scope").agg(*[F.max(F.when(F.col("point") == p, F.col(value))).alias(c) for p, c in names.items()])
+    return sums.join(wide, "scope", "left").select("scope", "n", "mean", "median", "q1", "q3")
 
 
 def bootstrap_interval(deltas: DataFrame, value: str = "delta", statistic: str = "mean", replicates: int = 10_000, seed: int = 20260810) -> DataFrame:

@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TILE = "path string, h int, w int, b int, image array<int>, label array<int>"
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """file and header (its first line, null if blank) of each file: the line at the start of the file's first split."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), "value")
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "k").alias("value"))
+    text = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
+    return first.select("file", F.when(text != "", text).alias("header"))
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    if not first or not first[0].value.strip():
-        raise ValueError(f"{path} has no header")
-    return [c.strip().strip('"') for c in first[0].value.lstrip("﻿").split(",")]
+    """The columns that all files of path name in their first lines; an error if one has none or other ones."""
+    found = headers(spark, path).groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file")).orderBy(F.desc("n"), "file").limit(2).collect()
+    if not found or any(r.header is None for r in found):
+        raise ValueError(f"{found[0].file if found and found[0].header is None else path} has no header")
+    if len(found) > 1:
+        raise ValueError(f"{found[1].file} has another header than {found[0].file}")
+    return [c.strip().strip('"') for c in found[0].header.split(",")]
 
 
 def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -26,7 +37,8 @@ def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ()
 
 
 def read_strict(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Also fails on no header, on repeated column names, and on rows of another width when the rows are read."""
+    """Also fails on no header, on files with other headers, on repeated column names, and on rows of another width when
+    the rows are read."""
     names = header(spark, path)
     if twice := sorted({n for n in names if names.count(n) > 1}):
         raise ValueError(f"{path} repeats the columns {twice}")
@@ -138,15 +150,27 @@ def read_window(spark: SparkSession, path: str, bands: list[int], window: tuple[
     return parts.select(*[c for c in parts.columns if c != "part"], "part.*")
 
 
-def event_faults(spark: SparkSession, path: str, schema: str, statuses: tuple[str, ...] = ()) -> DataFrame:
-    """file, line (from 1) and fault (json, status) of the lines that read_events would fail on. A log is read whole, file
-    by file, for its line numbers; ask for them once the reader has failed."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.col("value"), "\n")).alias("line", "text"))
-    parsed = lines.where(F.trim("text") != "").withColumn("e", F.from_json("text", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+def numbered_lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """file, line (from 1) and value of each line; across: numbers go on through the files in the order of their names.
+
+    Files are read in splits of bytes. Lines of a split are counted where it is read, and a prefix sum over the splits
+    (a row each) tells how many lines come before it, so a file of any size is many tasks' work and no line is shuffled.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    before = Window.partitionBy(*([] if across else ["file"])).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("k") - F.col("first") + 1).alias("line"), "value")
+
+
+def event_faults(spark: SparkSession, path: str, schema: str, statuses: tuple[str, ...] = (), across: bool = False) -> DataFrame:
+    """file, line (see numbered_lines) and fault (json, status) of the lines that read_events would fail on; blank lines
+    are none."""
+    parsed = numbered_lines(spark, path, across).where(F.trim("value") != "").withColumn("e", F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     fault = F.when(F.col("e").isNull() | F.col("e._corrupt_record").isNotNull(), "json")
     if statuses:
         fault = fault.when(~F.coalesce(F.col("e.status").isin(*statuses), F.lit(False)), "status")
-    return parsed.select("file", (F.col("line") + 1).alias("line"), fault.alias("fault")).where("fault IS NOT NULL")
+    return parsed.select("file", "line", fault.alias("fault")).where("fault IS NOT NULL")
 
 
 def read_events(spark: SparkSession, path: str, schema: str, statuses: tuple[str, ...] = ()) -> DataFrame:
@@ -178,17 +202,71 @@ def write_csv(df: DataFrame, path: str, columns: list[str], keys: list[str], all
     df.select(*columns).orderBy(*keys).write.option("header", True).csv(path)
 
 
+#: File that a published table has; without it a table isn't there.
+MARKER = "_PUBLISHED"
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def mark(spark: SparkSession, path: str, text: str) -> None:
+    """Writes the marker, which must not be there; its making is what publishes a table."""
+    where, fs = _place(spark, f"{path}/{MARKER}")
+    out = fs.create(where, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def is_published(spark: SparkSession, path: str) -> bool:
+    where, fs = _place(spark, f"{path}/{MARKER}")
+    return fs.exists(where)
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """A published table; an error for what a failed publish has left."""
+    if not is_published(spark, path):
+        raise FileNotFoundError(f"{path} is not published")
+    return spark.read.parquet(path)
+
+
 def publish(df: DataFrame, path: str) -> bool:
-    """Writes a table once: False if the same content is there, an error if other content is."""
+    """Writes a table whole or not at all: False if the same content is published, an error if other content is.
+
+    The table is written beside its place, held against df, renamed, and marked last. What fails before the mark is
+    cleared, by this call or by the next one, so a failed publish can be tried again.
+    """
+    import uuid
+
     from ..operators.hashing import table_fingerprint
 
     spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        if table_fingerprint(spark.read.parquet(path).select(*df.columns)).first() != table_fingerprint(df).first():
+    final, fs = _place(spark, path)
+    print_of = lambda rows: tuple(table_fingerprint(rows.select(*df.columns)).first())
+    if is_published(spark, path):
+        if print_of(spark.read.parquet(path)) != print_of(df):
             raise FileExistsError(f"{path} has other content")
         return False
-    df.write.mode("errorifexists").parquet(path)
+    stage = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    beside, _ = _place(spark, stage)
+    try:
+        df.write.mode("errorifexists").parquet(stage)
+        found = print_of(spark.read.schema(df.schema).parquet(stage))
+        if found != print_of(df):
+            raise OSError(f"{stage} differs from what was to be written")
+        if fs.exists(final):  # renamed but never marked
+            fs.delete(final, True)
+        if not fs.rename(beside, final):
+            raise OSError(f"{stage} can't be renamed to {path}")
+        mark(spark, path, f'{{"rows":{found[0]},"digest":"{found[1]}"}}')
+    except BaseException:
+        fs.delete(beside, True)
+        if fs.exists(final) and not is_published(spark, path):
+            fs.delete(final, True)
+        raise
     return True
 
 

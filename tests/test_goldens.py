@@ -201,7 +201,7 @@ def test_registry_stream(spark, tmp_path):
     found = registry.run_available(stream(), ["version", "run_key"], str(tmp_path / "t1"), str(tmp_path / "c1"))
     assert {(r.run_key, r.status) for r in found.collect()} == {("a", "completed"), ("b", "started")}
     registry.upsert_states(stream(), ["version", "run_key"], str(tmp_path / "t"), str(tmp_path / "c2"))
-    assert {(r.run_key, r.status) for r in registry.read_states(spark, str(tmp_path / "t")).collect()} == {("a", "completed"), ("b", "started")}
+    assert {(r.run_key, r.status) for r in registry.read_states(spark, str(tmp_path / "t"), ["version", "run_key"]).collect()} == {("a", "completed"), ("b", "started")}
     events = tables.read_events(spark, str(tmp_path / "log"), schema, ("started", "completed"))
     assert registry.transition_faults(events, ["run_key"], "completed", ("failed",)).count() == 1
     assert registry.process_new(events, lambda: events.where("run_key = 'a'"), ["run_key"], lambda df: None) == 1

@@ -199,38 +199,52 @@ def bootstrap_interval(deltas: DataFrame, value: str = "delta", statistic: str =
     return rows.groupBy("scope").applyInPandas(resample, "scope string, n long, low double, high double")
 
 
-def bootstrap_interval_by_sums(deltas: DataFrame, key: str, value: str = "delta", replicates: int = 10_000, seed: int = 20260810, chunk: int = 250) -> DataFrame:
-    """95% percentile interval of the mean, by region and over all, for groups of any size: a row weighs Poisson(1) in
-    each replicate by a seed from its key, so a replicate is two sums. Each task adds its rows up by scope and chunk of
-    replicates; partial sums are shuffled by scope and replicate."""
+def bootstrap_interval_by_bins(deltas: DataFrame, value: str = "delta", replicates: int = 10_000, seed: int = 20260810, digits: int = 4, drawn: int = 4_000_000) -> DataFrame:
+    """scope, statistic (mean, median), n, low, high: 95% percentile intervals by region and over all, for groups of any
+    size.
+
+    Rows are counted in bins of `digits` significant digits, and a bin of n rows weighs Poisson(n) in a replicate, which
+    is what n rows of weight Poisson(1) sum to. A replicate's mean and median follow from its bins' weights, so no task
+    sees a group's rows: bins (9 * 10 ** (digits - 1) a decade at most) are copied to chunks of replicates that draw
+    `drawn` numbers each. A bin stands for its rows by their mean: a mean is exact but for the spread within bins, a median
+    is within a bin's width, 10 ** (1 - digits) of its value.
+    """
+    from ..sources.scratch import saved
     from .sets import with_global
 
-    def weigh(batches):
+    known = deltas.where(F.col(value).isNotNull()).select("region_id", F.col(value).cast("double").alias("v"))
+    size = F.pow(F.lit(10.0), F.floor(F.log10(F.abs("v"))) - digits + 1)
+    known = known.withColumn("bin", F.when(F.col("v") == 0, 0.0).otherwise(F.round(F.col("v") / size) * size))
+    bins = known.groupBy("region_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    bins = saved(with_global(bins, "region_id", "all_tiffs").groupBy("scope", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "value-bins")
+    chunks = bins.groupBy("scope").agg(F.count(F.lit(1)).alias("bins"), F.sum("n").alias("rows"))
+    step = F.greatest(F.lit(1), F.least(F.lit(replicates), F.floor(F.lit(drawn) / F.col("bins")).cast("int")))
+    chunks = chunks.withColumn("step", step).withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(replicates) / F.col("step")) - 1).cast("int"))))
+
+    def replicate(key, frame):
+        import zlib
+
         import numpy as np
-        import pyarrow as pa
-
-        sums, counts = {}, {}
-        for batch in batches:
-            scopes, seeds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for scope, start, v in zip(scopes, seeds, batch.column(2).to_pylist(), strict=True):
-                drawn = np.random.default_rng(start % (1 << 64)).poisson(1, replicates)
-                if scope not in sums:
-                    sums[scope], counts[scope] = np.zeros((2, replicates)), 0
-                sums[scope] += drawn * np.array([[v], [1.0]])
-                counts[scope] += 1
-        for scope, (total, weight) in sums.items():
-            for k in range(0, replicates, chunk):
-                r = np.arange(k, min(k + chunk, replicates))
-                n = np.where(r == 0, counts[scope], 0)
-                yield pa.record_batch([pa.array([scope] * len(r), pa.string()), pa.array(r, pa.int32()), pa.array(total[r]), pa.array(weight[r]), pa.array(n, pa.int64())], names=["scope", "r", "s", "w", "n"])
-
-    rows = with_global(deltas, "region_id", "all_tiffs").where(F.col(value).isNotNull())
-    rows = rows.select(F.col("scope").cast("string").alias("scope"), F.xxhash64(F.lit(seed), F.col(key)).alias("start"), F.col(value).cast("double").alias("v"))
-    sums = rows.mapInArrow(weigh, "scope string, r int, s double, w double, n long").groupBy("scope", "r").agg(*[F.sum(c).alias(c) for c in ("s", "w", "n")])
-    # few rows draw a replicate without any of them now and then: it has no mean
-    q = F.percentile(F.try_divide("s", "w"), F.array(F.lit(0.025), F.lit(0.975)))
-    out = sums.groupBy("scope").agg(F.sum("n").alias("n"), q.alias("q"))
-    return out.select("scope", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+        import pandas as pd
+
+        frame = frame.sort_values("bin")
+        n, at = frame["n"].to_numpy(), (frame["s"] / frame["n"]).to_numpy()
+        step = min(int(frame["step"].iloc[0]), replicates - int(key[1]) * int(frame["step"].iloc[0]))
+        rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), int(key[1])])
+        weights = rng.poisson(n, (step, len(n)))
+        upto = weights.cumsum(axis=1)
+        total = upto[:, -1]
+        some = total > 0  # few rows draw a replicate without any of them now and then: it has no mean
+        rank = lambda r: at[(upto[some] <= r[:, None]).sum(axis=1)]
+        mean = (weights[some] @ at) / total[some]
+        median = (rank((total[some] - 1) // 2) + rank(total[some] // 2)) / 2
+        return pd.DataFrame({"scope": key[0], "rows": int(frame["rows"].iloc[0]), "mean": mean, "median": median})
+
+    dealt = bins.join(chunks, "scope").groupBy("scope", "chunk").applyInPandas(replicate, "scope string, rows long, mean double, median double")
+    q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))  # noqa: E731  of `replicates` numbers
+    out = dealt.groupBy("scope").agg(F.max("rows").alias("n"), *[q(c).alias(c) for c in ("mean", "median")])
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).alias("q")) for c in ("mean", "median")])).alias("b")
+    return out.select("scope", "n", both).select("scope", "b.statistic", "n", F.col("b.q")[0].alias("low"), F.col("b.q")[1].alias("high"))
 
 
 def multiclass_metrics(rows: DataFrame, truth: str, predicted: str, classes: list[int]) -> DataFrame:

@@ -97,22 +97,60 @@ def region_envelopes(rasters: DataFrame) -> DataFrame:
     return rasters.groupBy("region_id", "dataset", "region_name").agg(F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.max("top").alias("top"), F.count_distinct("source_tiff_id").alias("source_count"))
 
 
-def footprint_parts(boxes: DataFrame) -> DataFrame:
-    """boxes: region_id, left, bottom, right, top -> region_id, x, x2, from, to: disjoint rectangles of the same union.
-
-    The plane is cut at all ends in x; within a slab the union in y is a walk over sorted intervals. Slabs are keyed by
-    their left end, so a box meets only the slabs that it spans.
-    """
+#: Boxes of a region that a strip is cut for.
+STRIP = 2_000
+
+
+def strips(boxes: DataFrame, per_strip: int = STRIP) -> DataFrame:
+    """boxes and strip, from_x, to_x: each box once for each strip of its region that it touches. A region of n boxes has
+    n / per_strip strips between quantiles of the boxes' left ends, so boxes that span many strips are what copies."""
+    n = boxes.groupBy("region_id").agg(F.ceil(F.count(F.lit(1)) / per_strip).cast("int").alias("k"), F.percentile_approx("left", F.array(*[F.lit(i / 1000) for i in range(1, 1000)]), 10_000).alias("q"), F.min("left").alias("low"), F.max("right").alias("high"))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.col("k") - 1, F.lit(1))), lambda i: F.get("q", F.floor(i * 999 / F.col("k")).cast("int")))
+    inner = F.filter(F.array_distinct(F.when(F.col("k") > 1, at).otherwise(F.array().cast("array<double>"))), lambda x: (x > F.col("low")) & (x < F.col("high")))
+    cuts = n.select("region_id", F.array_sort(F.concat(F.array("low"), inner, F.array("high"))).alias("cuts"))
+    out = boxes.join(cuts, "region_id").where("right > left AND top > bottom")
+    touched = F.filter(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: (F.get("cuts", i - 1) < F.col("right")) & (F.get("cuts", i) > F.col("left")))
+    out = out.withColumn("strip", F.explode(touched))
+    return out.select("region_id", "strip", F.greatest("left", F.get("cuts", F.col("strip") - 1)).alias("left"), F.least("right", F.get("cuts", "strip")).alias("right"), "bottom", "top")
+
+
+def sweep(key, frame):
+    """One strip's boxes -> the rectangles of their union: each covered stretch in y that is as long as can be, for as
+    long as it stays so in x. Counts of how many boxes cover each step in y are kept while x moves over the ends."""
+    import numpy as np
+    import pandas as pd
+
+    left, right = frame["left"].to_numpy(float), frame["right"].to_numpy(float)
+    ys, at = np.unique(np.concatenate([frame["bottom"], frame["top"]]).astype(float), return_inverse=True)
+    low, high = at[: len(frame)], at[len(frame) :]
+    count, found, since = np.zeros(len(ys) + 1, np.int32), [], {}
+    for x in np.unique(np.concatenate([left, right])):
+        for i in np.flatnonzero(right == x):
+            count[low[i] : high[i]] -= 1
+        for i in np.flatnonzero(left == x):
+            count[low[i] : high[i]] += 1
+        edge = np.diff(np.concatenate([[0], (count > 0).astype(np.int8)]))
+        now = set(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+        for span in since.keys() - now:
+            found.append((key[0], since.pop(span), x, ys[span[0]], ys[span[1]]))
+        for span in now - since.keys():
+            since[span] = x
+    return pd.DataFrame(found, columns=["region_id", "x", "x2", "from", "to"])
+
+
+def footprint_parts(boxes: DataFrame, per_strip: int = STRIP) -> DataFrame:
+    """boxes: region_id, left, bottom, right, top -> region_id, x, x2, from, to: disjoint rectangles of the same union, the
+    same however the boxes are dealt. Strips of a region are swept by tasks of their own (see sweep); rectangles that go
+    on beyond a strip are joined. Empty boxes and those with a null end cover nothing."""
     from pyspark.sql import Window
 
-    ends = boxes.select("region_id", F.explode(F.array("left", "right")).alias("x")).distinct()
-    slabs = ends.withColumn("x2", F.lead("x").over(Window.partitionBy("region_id").orderBy("x"))).where("x2 IS NOT NULL")
-    b, s = boxes.alias("b"), slabs.alias("s")
-    inside = b.join(s, (F.col("b.region_id") == F.col("s.region_id")) & (F.col("left") <= F.col("x")) & (F.col("right") >= F.col("x2")))
-    order = Window.partitionBy("b.region_id", "x").orderBy("bottom", "top")
-    reach = F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = inside.withColumn("from", F.greatest("bottom", F.coalesce(reach, F.col("bottom")))).where("top > from")
-    return spans.select("b.region_id", "x", "x2", "from", F.col("top").alias("to"))
+    kind = boxes.schema["region_id"].dataType.simpleString()
+    found = strips(boxes, per_strip).groupBy("region_id", "strip").applyInPandas(sweep, f"region_id {kind}, x double, x2 double, `from` double, `to` double")
+    order = Window.partitionBy("region_id", "from", "to").orderBy("x")
+    goes_on = F.coalesce((F.lag("x2").over(order) == F.col("x")).cast("int"), F.lit(0))
+    run = F.sum(1 - F.col("goes_on")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("goes_on", goes_on).withColumn("run", run)
+    return found.groupBy("region_id", "from", "to", "run").agg(F.min("x").alias("x"), F.max("x2").alias("x2")).select("region_id", "x", "x2", "from", "to")
 
 
 def footprints(boxes: DataFrame) -> DataFrame:

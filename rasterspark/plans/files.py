@@ -144,18 +144,42 @@ def prediction_rasters(t: Tables) -> DataFrame:
     return rounded(rows.groupBy("source_tiff_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("probability").isNull()).alias("uncovered"), F.sum("mask").alias("masks"), F.sum("probability").alias("total")), "total", digits=5)
 
 
-@query("""WITH b AS (SELECT concat('r', l_suppkey % 5) AS region_id, l_linenumber AS l, l_linenumber + l_quantity::INT % 4 + 1 AS r, l_partkey % 9 AS b, l_partkey % 9 + l_linenumber % 3 + 1 AS t FROM lineitem),
-u AS (SELECT DISTINCT region_id, x, y FROM (SELECT region_id, x, unnest(range(b, t)) AS y FROM (SELECT *, unnest(range(l, r)) AS x FROM b))), f AS (SELECT region_id, avg(x + 0.5) AS cx, avg(y + 0.5) AS cy FROM u GROUP BY 1)
+_BOXES = """WITH b AS (SELECT concat('r', l_suppkey % 5) AS region_id, (l_partkey % 40 + l_linenumber)::INT AS l, (l_partkey % 40 + l_linenumber + l_quantity::INT % 4 + 1)::INT AS r, (l_orderkey % 31)::INT AS b, (l_orderkey % 31 + l_linenumber % 3 + 1)::INT AS t FROM lineitem WHERE l_orderkey % 7 = l_partkey % 11),
+u AS (SELECT DISTINCT region_id, x, y FROM (SELECT region_id, x, unnest(range(b, t)) AS y FROM (SELECT *, unnest(range(l, r)) AS x FROM b)))"""
+
+
+def _boxes(t: Tables) -> DataFrame:
+    line, part, order = F.col("l_linenumber"), F.pmod("l_partkey", F.lit(40)), F.pmod("l_orderkey", F.lit(31))
+    rows = t["lineitem"].where(F.pmod("l_orderkey", F.lit(7)) == F.pmod("l_partkey", F.lit(11)))
+    ends = {"left": part + line, "right": part + line + F.pmod(F.col("l_quantity").cast("int"), F.lit(4)) + 1, "bottom": order, "top": order + F.pmod(line, F.lit(3)) + 1}
+    return rows.select(F.concat(F.lit("r"), F.pmod("l_suppkey", F.lit(5))).alias("region_id"), *[c.cast("double").alias(n) for n, c in ends.items()])
+
+
+def _features(t: Tables, kind: str, shape: str) -> DataFrame:
+    """Features of one kind from the collection that the GeoJSON sink makes, their coordinates parsed."""
+    boxes = _boxes(t)
+    regions = boxes.groupBy("region_id").agg(F.count(F.lit(1)).alias("source_count"))
+    schema = "array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<region_id:string,source_count:bigint>>>"
+    found = tables.features(regions, boxes).select(F.explode(F.from_json("json", f"features {schema}")["features"]).alias("f")).where(F.col("f.geometry.type") == kind)
+    return found.select("f.properties.region_id", F.from_json("f.geometry.coordinates", shape).alias("at"), F.col("f.properties.source_count").alias("sources"))
+
+
+@query(_BOXES + """, f AS (SELECT region_id, avg(x + 0.5) AS cx, avg(y + 0.5) AS cy FROM u GROUP BY 1)
 SELECT region_id, round(cx, 6) AS x, round(cy, 6) AS y, (SELECT count(*) FROM b WHERE b.region_id = f.region_id) AS sources FROM f""")
 def region_features(t: Tables) -> DataFrame:
-    """The point features of the collection that the GeoJSON sink makes."""
-    line, part = F.col("l_linenumber"), F.col("l_partkey")
-    boxes = t["lineitem"].select(F.concat(F.lit("r"), F.pmod("l_suppkey", F.lit(5))).alias("region_id"), line.cast("double").alias("left"), (line + F.pmod(F.col("l_quantity").cast("int"), F.lit(4)) + 1).cast("double").alias("right"), F.pmod(part, F.lit(9)).cast("double").alias("bottom"), (F.pmod(part, F.lit(9)) + F.pmod(line, F.lit(3)) + 1).cast("double").alias("top"))
-    regions = boxes.groupBy("region_id").agg(F.count(F.lit(1)).alias("source_count"))
-    kind = "array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<region_id:string,source_count:bigint>>>"
-    found = tables.features(regions, boxes.distinct()).select(F.explode(F.from_json("json", f"features {kind}")["features"]).alias("f")).where("f.geometry.type = 'Point'")
-    place = F.from_json("f.geometry.coordinates", "array<double>")
-    return rounded(found.select("f.properties.region_id", place[0].alias("x"), place[1].alias("y"), F.col("f.properties.source_count").alias("sources")), "x", "y")
+    """The point features: area centroids of dissolved footprints."""
+    found = _features(t, "Point", "array<double>")
+    return rounded(found.select("region_id", F.col("at")[0].alias("x"), F.col("at")[1].alias("y"), "sources"), "x", "y")
+
+
+@query(_BOXES + """, v AS (SELECT region_id, x, min(y) AS low, max(y) + 1 AS high FROM (SELECT *, y - row_number() OVER (PARTITION BY region_id, x ORDER BY y) AS run FROM u) GROUP BY region_id, x, run),
+h AS (SELECT *, x - row_number() OVER (PARTITION BY region_id, low, high ORDER BY x) AS run FROM v)
+SELECT region_id, min(x)::DOUBLE AS x, max(x)::DOUBLE + 1 AS x2, low::DOUBLE AS low, high::DOUBLE AS high, 5 AS points FROM h GROUP BY region_id, low, high, run""")
+def region_rings(t: Tables) -> DataFrame:
+    """The rings of the dissolved MultiPolygons: covered stretches in y, joined in x while they stay the same."""
+    rings = _features(t, "MultiPolygon", "array<array<array<array<double>>>>").select("region_id", F.explode("at").alias("polygon")).select("region_id", F.col("polygon")[0].alias("ring"))
+    xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    return rings.select("region_id", F.array_min(xs).alias("x"), F.array_max(xs).alias("x2"), F.array_min(ys).alias("low"), F.array_max(ys).alias("high"), F.size("ring").alias("points"))
 
 
 @query(duck(*C) + f", n AS (SELECT DISTINCT {_K} AS k FROM chips) SELECT k % 4 = 1 AS done_before, count(*) AS sources FROM n GROUP BY 1")

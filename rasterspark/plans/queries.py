@@ -351,7 +351,7 @@ def extreme_deltas(t: Tables) -> DataFrame:
 
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return A.bootstrap_interval_by_sums(_deltas(t), "source_tiff_id")
+    return A.bootstrap_interval_by_bins(_deltas(t))
 
 
 @query(_PAIR + """, long AS (SELECT region_id, 'b' AS model, tn, fp, fn, tp FROM b WHERE s IN (SELECT s FROM j WHERE reasons = '') UNION ALL SELECT region_id, 'h', tn, fp, fn, tp FROM h WHERE s IN (SELECT s FROM j WHERE reasons = '')),

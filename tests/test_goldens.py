@@ -223,16 +223,21 @@ def test_pairs_and_hashes(spark):
     assert hashing.table_fingerprint(one_row).first() != hashing.table_fingerprint(twice).first()
 
 
-def test_bootstrap_by_sums(spark):
+def test_bootstrap_by_bins(spark):
     rows = spark.range(0, 400, 1, 5).select("id", F.concat(F.lit("r"), F.pmod("id", F.lit(2))).alias("region_id"), (F.sin("id") / 10).alias("delta"))
-    plain = {r.scope: r for r in A.bootstrap_interval(rows, replicates=2_000).collect()}
-    sums = {r.scope: r for r in A.bootstrap_interval_by_sums(rows, "id", replicates=2_000).collect()}
-    dealt = {r.scope: r for r in A.bootstrap_interval_by_sums(rows.repartition(3), "id", replicates=2_000).collect()}
-    assert set(plain) == set(sums) == {"all_tiffs", "r0", "r1"}
-    for scope, want in plain.items():
-        width = want.high - want.low
-        assert sums[scope].n == want.n and abs(sums[scope].low - want.low) < 0.1 * width and abs(sums[scope].high - want.high) < 0.1 * width
-        assert abs(sums[scope].low - dealt[scope].low) < 1e-12 and abs(sums[scope].high - dealt[scope].high) < 1e-12
+    binned = {(r.scope, r.statistic): r for r in A.bootstrap_interval_by_bins(rows, replicates=4_000).collect()}
+    dealt = {(r.scope, r.statistic): r for r in A.bootstrap_interval_by_bins(rows.repartition(3), replicates=4_000).collect()}
+    chunked = {(r.scope, r.statistic): r for r in A.bootstrap_interval_by_bins(rows, replicates=4_000, drawn=100_000).collect()}
+    assert set(binned) == {(s, k) for s in ("all_tiffs", "r0", "r1") for k in ("mean", "median")}
+    for statistic in ("mean", "median"):
+        for want in A.bootstrap_interval(rows, statistic=statistic, replicates=4_000).collect():
+            width = want.high - want.low
+            for found in (binned, chunked):
+                got = found[want.scope, statistic]
+                assert got.n == want.n and abs(got.low - want.low) < 0.1 * width and abs(got.high - want.high) < 0.1 * width
+            assert abs(binned[want.scope, statistic].low - dealt[want.scope, statistic].low) < 1e-12
+    nothing = A.bootstrap_interval_by_bins(rows.limit(0))
+    assert nothing.count() == 0
 
 
 def test_registered_queries_stay_off_one_task_and_the_driver(spark, monkeypatch):

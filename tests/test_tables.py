@@ -118,3 +118,25 @@ def test_a_batch_writes_only_what_changes(spark, tmp_path):
     registry.compact(spark, ["run_key"], str(table), 3)
     assert registry._numbers(spark, f"{table}/base", "upto") == [2, 3] and registry._numbers(spark, f"{table}/changes", "batch") == [3]
     assert {r.run_key: (r.seq, r.status) for r in registry.read_states(spark, str(table)).collect()} == latest
+
+
+def test_footprints_of_many_boxes_in_one_region(spark):
+    from rasterspark.operators import grid
+
+    rng = np.random.default_rng(12)
+    n = 100_000
+    left, bottom = rng.integers(0, 20_000, n).astype(float), rng.integers(0, 300, n).astype(float)
+    boxes = spark.createDataFrame(list(zip(["r"] * n, left.tolist(), bottom.tolist(), (left + rng.integers(1, 9, n)).tolist(), (bottom + rng.integers(1, 9, n)).tolist(), strict=True)), "region_id string, left double, bottom double, right double, top double")
+    dealt = grid.strips(boxes)
+    assert dealt.count() < 1.1 * n and dealt.groupBy("strip").count().agg(F.max("count")).first()[0] < 3 * grid.STRIP
+    cells = np.zeros((20_010, 310), bool)
+    for x, y, x2, y2 in boxes.select("left", "bottom", "right", "top").toPandas().astype(int).itertuples(index=False):
+        cells[x:x2, y:y2] = True
+    parts = grid.footprint_parts(boxes).toPandas()
+    assert ((parts["x2"] - parts["x"]) * (parts["to"] - parts["from"])).sum() == cells.sum()
+    found = grid.footprints(boxes).first()
+    assert found.area == cells.sum() and found.centroid_x == pytest.approx((np.nonzero(cells)[0] + 0.5).mean()) and found.centroid_y == pytest.approx((np.nonzero(cells)[1] + 0.5).mean())
+    few = boxes.limit(3_000)
+    key = ["region_id", "x", "x2", "from", "to"]
+    one, many = (sorted(map(tuple, grid.footprint_parts(few, k).select(key).collect())) for k in (10**6, 100))
+    assert one == many

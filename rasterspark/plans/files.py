@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import grid, overlap, policy
-from ..sources import scratch, tables
+from ..sources import rasters, scratch, tables
 from ..streaming import registry
 from .adapters import PIXELS, Tables, duck
 from .base import query, rounded
@@ -50,7 +50,9 @@ def fragment_union(t: Tables) -> DataFrame:
 SELECT concat('chip_', vec_id) AS path, 8 AS h, 8 AS w, 1 AS b, CAST(list_sum(v) AS BIGINT) AS total, v[1] AS first, v[64] AS last FROM t""")
 def chip_archives(t: Tables) -> DataFrame:
     tiles = t.tiles().select(F.col("chip_id").alias("path"), "h", "w", F.lit(1).alias("b"), F.transform("probability", lambda p: F.floor(10 * p).cast("int")).alias("image"), "label")
-    back = tables.decode_tiles(tables.encode_tiles(tiles))
+    path = scratch.path(t.spark, "chip-files")
+    rasters.write_files(tiles, "rasterchips", path)
+    back = rasters.read_chip_files(t.spark, path, ("path", "h", "w", "b", "image"))
     return back.select("path", "h", "w", "b", F.aggregate("image", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("image")[0].alias("first"), F.col("image")[63].alias("last"))
 
 
@@ -65,12 +67,12 @@ def image_dataset_scan(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT vec_id // 4 AS s, 1 + vec_id % 2 AS band, 4 * ((vec_id % 4) // 2) + i // 8 AS r, 8 * (vec_id % 2) + i % 8 AS c, x FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings))
 SELECT s, band, count(*) AS pixels, round(sum(x::DOUBLE), 6) AS total FROM p WHERE band <= 2 AND r >= 3 AND r < 10 AND c >= 5 AND c < 12 GROUP BY 1, 2""")
 def windowed_blocks(t: Tables) -> DataFrame:
-    path, k = scratch.path(t.spark, "blocks"), F.pmod("vec_id", F.lit(4))
-    blocks = t["embeddings"].select(F.expr("vec_id DIV 4").alias("s"), (1 + F.pmod("vec_id", F.lit(2))).cast("int").alias("band"), (4 * F.floor(k / 2)).cast("int").alias("row_off"), (8 * F.pmod(k, F.lit(2))).cast("int").alias("col_off"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("values"))
-    blocks.write.parquet(path)
-    parts = tables.read_window(t.spark, path, [1, 2], (3, 5, 7, 7))
-    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return rounded(parts.groupBy("s", "band").agg(F.sum(F.size("values")).alias("pixels"), F.sum(total).alias("total")), "total")
+    path, k = scratch.path(t.spark, "block-files"), F.pmod("vec_id", F.lit(4))
+    blocks = t["embeddings"].select(F.expr("CAST(vec_id DIV 4 AS STRING)").alias("source"), (1 + F.pmod("vec_id", F.lit(2))).alias("band"), (4 * F.floor(k / 2)).alias("row_off"), (8 * F.pmod(k, F.lit(2))).alias("col_off"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("values"))
+    rasters.write_files(blocks, "rasterblocks", path)
+    parts = rasters.read_block_files(t.spark, path, window=(3, 5, 7, 7)).where(F.col("band").isin(1, 2))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return rounded(parts.groupBy(F.col("source").cast("long").alias("s"), "band").agg(F.sum(F.size("values")).alias("pixels"), F.sum(total).alias("total")), "total")
 
 
 @query("""SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1""")

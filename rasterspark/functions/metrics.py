@@ -46,10 +46,57 @@ def plain_accuracy(truth: Column, mask: Column) -> Column:
     return F.try_divide(F.count_if((truth == mask) & (truth != IGNORE)), F.count_if(truth != IGNORE))
 
 
-#: Losses and metrics by name: each takes (prediction, truth, **options) and returns an aggregate.
+def log_softmax(logits: Column) -> Column:
+    """Log probabilities of an array of logits, its greatest taken off first."""
+    def shifted(z):
+        total = F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x)))
+        return F.element_at(F.transform(F.array(total), lambda t: F.transform(z, lambda x: x - t)), 1)
+
+    off = F.transform(F.array(F.array_max(logits)), lambda m: F.transform(logits, lambda x: x.cast("double") - m))
+    return F.element_at(F.transform(off, shifted), 1)
+
+
+def focal(logit: Column, truth: Column, gamma: float = 2.0, ignore: int = IGNORE) -> Column:
+    """Mean binary focal loss: cross-entropy weighed by the power gamma of what the right class lacks."""
+    loss = F.greatest(logit, F.lit(0.0)) - logit * truth + F.log1p(F.exp(-F.abs(logit)))
+    return F.avg(F.when(truth != ignore, F.pow(1 - F.exp(-loss), F.lit(gamma)) * loss))
+
+
+def overlap_loss(logit: Column, truth: Column, false_positive: float, false_negative: float, ignore: int = IGNORE) -> Column:
+    """1 - I / (I + a * false positives + b * false negatives) of soft counts, 0 where no pixel is true."""
+    p = F.when(truth != ignore, 1 / (1 + F.exp(-logit)))
+    hit, given, true = F.sum(p * truth), F.sum(p), F.sum(F.when(truth != ignore, truth))
+    below = hit + false_positive * (given - hit) + false_negative * (true - hit)
+    return F.when(true > 0, 1 - F.try_divide(hit, F.greatest(below, F.lit(1e-7)))).otherwise(0.0)
+
+
+def lovasz_hinge(rows, keys: list[str], logit: str, truth: str, ignore: int = IGNORE):
+    """keys and loss: the Lovasz hinge of each group of rows (an image): errors in falling order, each weighed by what it
+    takes off the Jaccard index of the truth."""
+    from pyspark.sql import Window
+
+    sign = 2.0 * F.col(truth) - 1.0
+    known = rows.where(F.col(truth) != ignore).withColumn("_e", 1.0 - F.col(logit) * sign)
+    order = Window.partitionBy(*keys).orderBy(F.desc("_e"), F.desc(truth))
+    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+    known = known.withColumns({"_hit": F.sum(truth).over(upto), "_k": F.row_number().over(order), "_true": F.sum(truth).over(whole)})
+    # of the k largest errors `hit` are true: intersection true - hit, union true + k - hit
+    jaccard = 1.0 - (F.col("_true") - F.col("_hit")) / (F.col("_true") + F.col("_k") - F.col("_hit"))
+    known = known.withColumn("_j", jaccard)
+    step = F.col("_j") - F.coalesce(F.lag("_j").over(order), F.lit(0.0))
+    return known.withColumn("_l", F.greatest(F.col("_e"), F.lit(0.0)) * step).groupBy(*keys).agg(F.sum("_l").alias("loss"))
+
+
+#: Losses and metrics by name: each takes (prediction, truth, **options) and returns an aggregate. Predictions are logits:
+#: a number, or an array of one for each class for cross_entropy.
 REGISTRY = {
     "bce": lambda p, t, smoothing=0.0: smoothed_bce(p, t, smoothing),
-    "cross_entropy": lambda p, t, smoothing=0.0: smoothed_nll(p, t, smoothing),
+    "cross_entropy": lambda p, t, smoothing=0.0: smoothed_nll(log_softmax(p), t, smoothing),
+    "focal": lambda p, t, gamma=2.0: focal(p, t, gamma),
+    "dice": lambda p, t: overlap_loss(p, t, 0.5, 0.5),
+    "jaccard": lambda p, t: overlap_loss(p, t, 1.0, 1.0),
+    "tversky": lambda p, t, alpha=0.5, beta=0.5: overlap_loss(p, t, alpha, beta),
+    "focal_dice": lambda p, t, gamma=2.0: focal(p, t, gamma) + overlap_loss(p, t, 0.5, 0.5),
     "accuracy": lambda p, t: plain_accuracy(t, p),
 }
 

@@ -133,11 +133,13 @@ def scope_rows(folds: DataFrame, scope: str, held_out: bool = False) -> tuple[Da
     return rows.where(fine), rows.where(~F.coalesce(fine, F.lit(False)))
 
 
-def summary_faults(summary: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Both of one row: names of stored counts that differ from the recomputed ones."""
-    names = [c for c in summary.columns if c in fresh.columns]
-    both = summary.select(*[F.col(n).alias(f"a_{n}") for n in names]).crossJoin(fresh.select(*[F.col(n).alias(f"b_{n}") for n in names]))
-    return both.select(F.explode(F.array_compact(F.array(*[F.when(~F.col(f"a_{n}").eqNullSafe(F.col(f"b_{n}")), F.lit(n)) for n in names]))).alias("field"))
+def summary_faults(summary: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and field: names of stored counts that differ from the recomputed ones, or that one side lacks. Without keys
+    both have one row."""
+    names = [c for c in summary.columns if c in fresh.columns and c not in keys]
+    stored, found = summary.select(*keys, *[F.col(n).alias(f"a_{n}") for n in names]), fresh.select(*keys, *[F.col(n).alias(f"b_{n}") for n in names])
+    both = stored.join(found, list(keys), "full_outer") if keys else stored.crossJoin(F.broadcast(found))
+    return both.select(*keys, F.explode(F.array_compact(F.array(*[F.when(~F.col(f"a_{n}").eqNullSafe(F.col(f"b_{n}")), F.lit(n)) for n in names]))).alias("field"))
 
 
 def scope_stability(current: DataFrame, historical: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -164,11 +166,42 @@ def package_status(packages: DataFrame, conditions: dict[str, Column]) -> DataFr
     return packages.withColumn("failed_conditions", failed).withColumn("status", F.when(F.size("failed_conditions") == 0, "verified").otherwise("pending"))
 
 
-def suite_faults(runs: DataFrame, regions: list[str]) -> DataFrame:
-    """One baseline, one run for each region, unique run keys."""
-    facts = runs.agg(F.count_if(F.col("run_type") == "baseline").alias("baselines"), F.count(F.lit(1)).alias("n"), F.count_distinct("run_key").alias("keys"), F.array_sort(F.collect_set(F.when(F.col("run_type") != "baseline", F.col("held_out_region")))).alias("regions"), F.count_if(F.col("run_type") != "baseline").alias("held"))
+#: Evaluation scopes and the schema versions of their packages, and the tables that a package has.
+SCHEMA_VERSIONS = {"selected_nonoverlap": 2, "all_retained_test_chips": 3}
+PACKAGE_TABLES = ("chip_diagnostics.csv", "tiff_metrics.csv", "region_metrics.csv")
+
+
+def package_conditions(versions: dict[str, int] = SCHEMA_VERSIONS, threshold: float = 0.5) -> dict[str, Column]:
+    """What a completed package must meet, by name.
+
+    Columns: checkpoint_sha256, fold_manifest_sha256, evaluation_scope and the expected counts (test_chip_count,
+    test_tiff_count, selected_nonoverlap_chip_count, overlap_chip_count) of the run; metadata and summary (structs of what
+    the package's documents say, null where a document lacks); probabilities, masks, completions (numbers of files) and
+    tables (names of the tables there). A document without a scope has the first one of versions.
+    """
+    first = next(iter(versions))
+    version = F.element_at(F.create_map(*[F.lit(x) for kv in versions.items() for x in kv]), F.col("evaluation_scope"))
+    said = lambda doc, c: F.col(doc)[c]
+    same = lambda doc, c: said(doc, c) == F.col(c)
+    scope = lambda doc: F.col(doc).isNotNull() & (F.coalesce(said(doc, "evaluation_scope"), F.lit(first)) == F.col("evaluation_scope"))
+    wide = F.col("evaluation_scope") != first  # only then are the two kinds of chips told apart
+    files = (F.col("probabilities") == F.col("test_tiff_count")) & (F.col("masks") == F.col("test_tiff_count")) & (F.col("completions") == F.col("test_tiff_count"))
+    return {
+        "metadata": F.col("metadata").isNotNull(), "summary": F.col("summary").isNotNull(),
+        "metadata_checkpoint": same("metadata", "checkpoint_sha256"), "schema_version": said("metadata", "schema_version") == version, "metadata_folds": same("metadata", "fold_manifest_sha256"), "metadata_threshold": said("metadata", "threshold") == threshold,
+        "summary_checkpoint": same("summary", "checkpoint_sha256"), "summary_folds": same("summary", "fold_manifest_sha256"), "summary_threshold": said("summary", "threshold") == threshold,
+        "test_chips": same("summary", "test_chip_count"), "test_tiffs": same("summary", "test_tiff_count"), "metadata_scope": scope("metadata"), "summary_scope": scope("summary"),
+        "selected_chips": ~wide | same("summary", "selected_nonoverlap_chip_count"), "overlap_chips": ~wide | same("summary", "overlap_chip_count"),
+        "rasters": files, "tables": F.size(F.array_except(F.array(*map(F.lit, PACKAGE_TABLES)), F.col("tables"))) == 0,
+    }
+
+
+def suite_faults(runs: DataFrame, regions: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One baseline, one run for each region, unique run keys, in each suite (keys; one suite without)."""
+    suite = F.concat_ws("/", *keys) if keys else F.lit("suite")
+    facts = runs.groupBy(suite.alias("suite")).agg(F.count_if(F.col("run_type") == "baseline").alias("baselines"), F.count(F.lit(1)).alias("n"), F.count_distinct("run_key").alias("keys"), F.array_sort(F.collect_set(F.when(F.col("run_type") != "baseline", F.col("held_out_region")))).alias("regions"), F.count_if(F.col("run_type") != "baseline").alias("held"))
     wanted = F.array(*map(F.lit, sorted(regions)))
-    return violations(facts.withColumn("suite", F.lit("suite")), "suite", baseline_count=F.col("baselines") != 1, repeated_run_key=F.col("n") != F.col("keys"), regions=F.col("regions") != wanted, region_runs=F.col("held") != len(regions))
+    return violations(facts, "suite", baseline_count=F.col("baselines") != 1, repeated_run_key=F.col("n") != F.col("keys"), regions=F.col("regions") != wanted, region_runs=F.col("held") != len(regions))
 
 
 def selection_consistency(selection: DataFrame) -> DataFrame:

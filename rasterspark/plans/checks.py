@@ -311,10 +311,14 @@ def metric_recheck(t: Tables) -> DataFrame:
     return count_issues(rules.metric_recheck(_metrics(t).withColumns({c: F.col(c) + by for c, by in planted.items()})))
 
 
-@query(duck(*C) + """, n AS (SELECT count(*) AS chips, sum(class_1_pixel_count) AS kelp, sum(nodata_pixel_count) AS nodata FROM chips) SELECT unnest(list_filter(['chips', CASE WHEN nodata > 0 THEN 'nodata' END], lambda x: x IS NOT NULL)) AS field FROM n""")
+@query(duck(*C) + """, n AS (SELECT region_id, acquisition_date, count(*) AS chips, sum(class_1_pixel_count) AS kelp, sum(nodata_pixel_count) AS nodata, count(*) FILTER (chip_index <= 6) AS old_chips, coalesce(sum(class_1_pixel_count) FILTER (chip_index <= 6), 0) AS old_kelp, coalesce(sum(nodata_pixel_count) FILTER (chip_index <= 6), 0) AS old_nodata FROM chips GROUP BY 1, 2)
+SELECT region_id, acquisition_date, unnest(list_filter([CASE WHEN old_chips <> chips THEN 'chips' END, CASE WHEN old_kelp <> kelp THEN 'kelp' END, CASE WHEN old_nodata <> nodata THEN 'nodata' END], lambda x: x IS NOT NULL)) AS field FROM n""")
 def summary_match(t: Tables) -> DataFrame:
-    fresh = t["chips"].agg(F.count(F.lit(1)).alias("chips"), F.sum("class_1_pixel_count").alias("kelp"), F.sum("nodata_pixel_count").alias("nodata"))
-    return rules.summary_faults(fresh.select((F.col("chips") + 1).alias("chips"), "kelp", (F.col("nodata") * 2).alias("nodata"), F.lit(1).alias("other")), fresh)
+    """Summaries by region and date that were made before the chips of index 7 came, against the chips."""
+    keys = ("region_id", "acquisition_date")
+    counts = lambda some: [F.count_if(some).alias("chips"), *[F.coalesce(F.sum(F.when(some, F.col(c))), F.lit(0)).alias(n) for n, c in (("kelp", "class_1_pixel_count"), ("nodata", "nodata_pixel_count"))]]
+    both = t["chips"].groupBy(*keys)
+    return rules.summary_faults(both.agg(*counts(F.col("chip_index") <= 6), F.lit(1).alias("other")), both.agg(*counts(F.lit(True))), keys)
 
 
 @query(f"WITH {PIXELS}{_METRICS}, x AS (SELECT source_tiff_id, CAST(substr(source_tiff_id, 5) AS BIGINT) AS k FROM m) " + sql_issues("x", "source_tiff_id", scored_pixel_count_changed="k % 3 = 1 OR k % 7 = 3", ignored_pixel_count_changed="k % 7 = 3", background_changed="k % 5 = 2 OR k % 7 = 3", foreground_changed="k % 7 = 3"))
@@ -341,17 +345,14 @@ def run_identity(t: Tables) -> DataFrame:
     return count_issues(rules.identity_columns(rows, runs))
 
 
-_SUITE = """, r AS (SELECT 'run_' || r_name AS run_key, 'held_out' AS run_type, r_name AS held_out_region FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT 'base', 'baseline', NULL UNION ALL SELECT 'base', 'baseline', NULL)"""
-
-
-@query("SELECT unnest(['baseline_count', 'regions', 'region_runs', 'repeated_run_key']) AS issue_type, 'suite' AS candidate_id FROM (SELECT count(*) FROM region)")
+@query("""WITH r AS (SELECT s_suppkey % 40 AS suite, s_nationkey % 5 = 0 AS base, concat('run_', s_nationkey) AS run_key, concat('r', s_nationkey % 4) AS region FROM supplier),
+f AS (SELECT suite, count(*) FILTER (base) AS baselines, count(*) AS n, count(DISTINCT run_key) AS keys, coalesce(list_sort(list(DISTINCT region) FILTER (NOT base)), []) AS regions, count(*) FILTER (NOT base) AS held FROM r GROUP BY 1)
+SELECT CAST(suite AS VARCHAR) AS candidate_id, unnest(list_filter([CASE WHEN baselines <> 1 THEN 'baseline_count' END, CASE WHEN n <> keys THEN 'repeated_run_key' END, CASE WHEN regions <> ['r0', 'r1', 'r2', 'r3'] THEN 'regions' END, CASE WHEN held <> 4 THEN 'region_runs' END], lambda x: x IS NOT NULL)) AS issue_type FROM f""")
 def suite_check(t: Tables) -> DataFrame:
-    """A suite without one region and with its baseline twice."""
-    region = t["region"]
-    held = region.where("r_name <> 'ASIA'").select(F.concat(F.lit("run_"), "r_name").alias("run_key"), F.lit("held_out").alias("run_type"), F.col("r_name").alias("held_out_region"))
-    base = region.where("r_name = 'ASIA'").select(F.lit("base").alias("run_key"), F.lit("baseline").alias("run_type"), F.lit(None).cast("string").alias("held_out_region"))
-    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    return rules.suite_faults(held.unionByName(base).unionByName(base), names).select("issue_type", "candidate_id")
+    """Suppliers as runs of forty suites: those of every fifth nation are baselines, the others hold a region out."""
+    nation = F.col("s_nationkey")
+    runs = t["supplier"].select(F.pmod("s_suppkey", F.lit(40)).alias("suite"), F.concat(F.lit("run_"), nation).alias("run_key"), F.when(F.pmod(nation, F.lit(5)) == 0, "baseline").otherwise("held_out").alias("run_type"), F.concat(F.lit("r"), F.pmod(nation, F.lit(4))).alias("held_out_region"))
+    return rules.suite_faults(runs, [f"r{k}" for k in range(4)], ("suite",)).select("issue_type", "candidate_id")
 
 
 @query(duck(*C) + f""", x AS (SELECT chip_id, {_K} + chip_index AS k, class_presence AS p FROM chips) """ + sql_issues("x", "chip_id", class_presence="k % 7 = 1 AND p <> 'ignore_only'", selected="k % 11 = 2"))
@@ -510,15 +511,50 @@ def label_repair(t: Tables) -> DataFrame:
     return A.mask_audit(both, ["family", "source_tiff_id"]).join(kelp, ["family", "source_tiff_id"])
 
 
-@query(duck("source_states") + """, l AS (SELECT run_key AS u, arg_max(status, seq) AS status, arg_max(event_id, seq) AS event_id FROM source_states GROUP BY 1), c AS (SELECT u, event_id, u % 5 = 0 AS base FROM l WHERE status = (SELECT max(event_type) FROM events))
-SELECT 'run' || u AS run_key, row_number() OVER (ORDER BY NOT base, CASE WHEN base THEN '' ELSE 'r' || u % 7 END, 'run' || u) AS position, CASE WHEN event_id % 2 = 0 AND event_id % 3 > 0 THEN 'verified' ELSE 'pending' END AS status,
-  concat_ws(',', CASE WHEN event_id % 2 <> 0 THEN 'even' END, CASE WHEN event_id % 3 = 0 THEN 'third' END) AS failed FROM c""")
+#: Each condition of a package, and the events that break it: those with this remainder by this number.
+_BROKEN = {
+    "metadata": (29, 1), "summary": (31, 2), "metadata_checkpoint": (3, 1), "schema_version": (5, 2), "metadata_folds": (7, 3), "metadata_threshold": (11, 4), "summary_checkpoint": (4, 1), "summary_folds": (13, 6), "summary_threshold": (17, 7),
+    "test_chips": (6, 5), "test_tiffs": (19, 9), "metadata_scope": (9, 2), "summary_scope": (10, 3), "selected_chips": (8, 3), "overlap_chips": (14, 5), "rasters": (15, 4), "tables": (16, 7),
+}
+
+
+def _broken_sql(name: str) -> str:
+    """A condition fails if it is broken, if its document lacks, or if what it compares has changed with another one."""
+    n, k = _BROKEN[name]
+    own = f"event_id % {n} = {k}"
+    document = "metadata" if name.startswith("metadata_") or name == "schema_version" else "summary" if name.startswith("summary_") or name in ("test_chips", "test_tiffs") else ""
+    if name in ("selected_chips", "overlap_chips"):  # of the wider scope only
+        own, document = f"wide AND ({own} OR event_id % {_BROKEN['summary'][0]} = {_BROKEN['summary'][1]})", ""
+    return f"CASE WHEN {own}" + (f" OR event_id % {_BROKEN[document][0]} = {_BROKEN[document][1]}" if document else "") + f" THEN '{name}' END"
+
+
+@query(duck("source_states") + """, l AS (SELECT run_key AS u, arg_max(status, seq) AS status, arg_max(event_id, seq) AS event_id FROM source_states GROUP BY 1), c AS (SELECT u, event_id, u % 5 = 0 AS base, u % 3 > 0 AS wide FROM l WHERE status = (SELECT max(event_type) FROM events)),
+f AS (SELECT *, concat_ws(',', """ + ", ".join(_broken_sql(n) for n in _BROKEN) + """) AS failed FROM c)
+SELECT 'run' || u AS run_key, row_number() OVER (ORDER BY NOT base, CASE WHEN base THEN '' ELSE 'r' || u % 7 END, 'run' || u) AS position, CASE WHEN failed = '' THEN 'verified' ELSE 'pending' END AS status, failed FROM f""")
 def prediction_plan(t: Tables) -> DataFrame:
+    """Runs of two scopes whose packages break each condition in turn."""
     top = t["events"].agg(F.max("event_type").alias("top"))  # one row
-    u = F.col("run_key")
+    u, e = F.col("run_key"), F.col("event_id")
     last = ranking.latest_state(t["source_states"], ["run_key"]).crossJoin(F.broadcast(top))
-    states = last.select(F.when(F.col("status") == F.col("top"), "completed").alias("state"), "event_id", F.concat(F.lit("run"), u).alias("run_key"), F.when(u % 5 == 0, "baseline").otherwise("held_out").alias("run_type"), F.when(u % 5 == 0, "").otherwise(F.concat(F.lit("r"), u % 7)).alias("held_out_region"))
-    plan = policy.prediction_plan(states, {"even": F.col("event_id") % 2 == 0, "third": F.col("event_id") % 3 > 0})
+    scope = F.when(u % 3 > 0, "all_retained_test_chips").otherwise("selected_nonoverlap")
+    states = last.select(F.when(F.col("status") == F.col("top"), "completed").alias("state"), e, F.concat(F.lit("run"), u).alias("run_key"), F.when(u % 5 == 0, "baseline").otherwise("held_out").alias("run_type"), F.when(u % 5 == 0, "").otherwise(F.concat(F.lit("r"), u % 7)).alias("held_out_region"),
+                         scope.alias("evaluation_scope"), F.sha1(u.cast("string").cast("binary")).alias("checkpoint_sha256"), F.lit("folds").alias("fold_manifest_sha256"), (u % 50).alias("test_chip_count"), (u % 9).alias("test_tiff_count"), (u % 40).alias("selected_nonoverlap_chip_count"), (u % 10).alias("overlap_chip_count"))
+    scope = F.col("evaluation_scope")
+    breaks = lambda name: F.pmod(e, F.lit(_BROKEN[name][0])) == _BROKEN[name][1]
+    but = lambda name, c, wrong: F.when(breaks(name), wrong).otherwise(F.col(c))
+    more = lambda name, c: F.when(breaks(name), F.col(c) + 1).otherwise(F.col(c))
+    other = F.when(scope == "selected_nonoverlap", "all_retained_test_chips")  # and none, which stands for the first
+    version = F.when(breaks("schema_version"), 1).when(scope == "selected_nonoverlap", 2).otherwise(3)
+    told = F.when(scope != "selected_nonoverlap", scope)
+    metadata = F.struct(but("metadata_checkpoint", "checkpoint_sha256", "x").alias("checkpoint_sha256"), version.alias("schema_version"), but("metadata_folds", "fold_manifest_sha256", "x").alias("fold_manifest_sha256"), F.when(breaks("metadata_threshold"), 0.4).otherwise(0.5).alias("threshold"), F.when(breaks("metadata_scope"), other).otherwise(told).alias("evaluation_scope"))
+    summary = F.struct(but("summary_checkpoint", "checkpoint_sha256", "x").alias("checkpoint_sha256"), but("summary_folds", "fold_manifest_sha256", "x").alias("fold_manifest_sha256"), F.when(~breaks("summary_threshold"), 0.5).alias("threshold"), more("test_chips", "test_chip_count").alias("test_chip_count"), more("test_tiffs", "test_tiff_count").alias("test_tiff_count"),
+                       F.when(breaks("summary_scope"), other).otherwise(told).alias("evaluation_scope"), more("selected_chips", "selected_nonoverlap_chip_count").alias("selected_nonoverlap_chip_count"), more("overlap_chips", "overlap_chip_count").alias("overlap_chip_count"))
+    tables = F.array(*map(F.lit, rules.PACKAGE_TABLES))
+    packages = states.withColumns({
+        "metadata": F.when(~breaks("metadata"), metadata), "summary": F.when(~breaks("summary"), summary), "probabilities": F.col("test_tiff_count"), "masks": more("rasters", "test_tiff_count"), "completions": F.col("test_tiff_count"),
+        "tables": F.when(breaks("tables"), F.slice(tables, 1, 2)).otherwise(tables),
+    })
+    plan = policy.prediction_plan(packages, rules.package_conditions())
     return plan.select("run_key", "position", "status", F.array_join("failed_conditions", ",").alias("failed"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators import grid, overlap, policy
+from ..operators import blocks, grid, policy
 from ..sources import rasters, scratch, tables
 from ..streaming import registry
 from .adapters import PIXELS, Tables, duck
@@ -135,15 +135,16 @@ def split_views(t: Tables) -> DataFrame:
 
 @query(f"""WITH {PIXELS} SELECT source_tiff_id, 182 AS pixels, 182 - count(*) AS uncovered, sum(mask) + 255 * (182 - count(*)) AS masks, round(sum(probability), 5) AS total FROM cov GROUP BY 1""")
 def prediction_rasters(t: Tables) -> DataFrame:
-    """Sources of 14 rows and 13 columns, larger than what their tiles cover."""
-    path = scratch.path(t.spark, "predictions")
-    tiles = t.tiles()
+    """Sources of 14 rows and 13 columns, larger than what their tiles cover, as raster files of probabilities and masks."""
+    path, tiles = scratch.path(t.spark, "predictions"), t.tiles()
     sources = tiles.select("source_tiff_id", F.lit(14).alias("source_height"), F.lit(13).alias("source_width")).distinct()
-    dense = tables.dense_pixels(overlap.reconstruct(tiles), sources)
-    # one file for a few sources each: a folder for each of the test's tiny sources would be files only
-    dense.write.parquet(path)
-    rows = t.spark.read.parquet(path)
-    return rounded(rows.groupBy("source_tiff_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("probability").isNull()).alias("uncovered"), F.sum("mask").alias("masks"), F.sum("probability").alias("total")), "total", digits=5)
+    tables.write_predictions(blocks.reconstruct_blocks(tiles, ["source_tiff_id"]), sources, path)
+    files = rasters.read_block_files(t.spark, path)
+    known = F.filter("values", lambda x: ~F.isnan(x))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    first, second = F.col("band") == 1, F.col("band") == 2
+    out = files.groupBy(F.col("source").alias("source_tiff_id")).agg(F.sum(F.when(first, F.size("values"))).alias("pixels"), F.sum(F.when(first, F.size("values") - F.size(known))).alias("uncovered"), F.sum(F.when(second, total(F.col("values")))).cast("long").alias("masks"), F.sum(F.when(first, total(known))).alias("total"))
+    return rounded(out, "total", digits=5)
 
 
 _BOXES = """WITH b AS (SELECT concat('r', l_suppkey % 5) AS region_id, (l_partkey % 40 + l_linenumber)::INT AS l, (l_partkey % 40 + l_linenumber + l_quantity::INT % 4 + 1)::INT AS r, (l_orderkey % 31)::INT AS b, (l_orderkey % 31 + l_linenumber % 3 + 1)::INT AS t FROM lineitem WHERE l_orderkey % 7 = l_partkey % 11),

@@ -308,6 +308,39 @@ def smoothed_bce(t: Tables) -> DataFrame:
     return rounded(pixels.groupBy("label").agg(M.by_name("bce")(F.col("x").cast("double"), y, 0.1).alias("loss")), "loss")
 
 
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: 5 * x::DOUBLE) AS z FROM embeddings),
+l AS (SELECT vec_id % 5 AS batch, CASE WHEN vec_id % 7 = 0 THEN -100 ELSE label END AS y, list_transform(z, lambda x: x - list_max(z) - ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z)))))) AS p FROM e)
+SELECT batch, round(avg(CASE WHEN y <> -100 THEN -0.9 * p[y + 1] - 0.1 * list_avg(p) END), 6) AS loss, round(avg(CASE WHEN y <> -100 THEN -p[y + 1] END), 6) AS plain_loss FROM l GROUP BY 1""")
+def multiclass_loss(t: Tables) -> DataFrame:
+    """Cross-entropy over ten classes, with and without smoothed labels."""
+    z = F.transform(F.slice("embedding", 1, 10), lambda x: 5 * x.cast("double"))
+    y = F.when(F.pmod("vec_id", F.lit(7)) == 0, -100).otherwise(F.col("label"))
+    loss = M.by_name("cross_entropy")
+    return rounded(t["embeddings"].groupBy(F.pmod("vec_id", F.lit(5)).alias("batch")).agg(loss(z, y, 0.1).alias("loss"), loss(z, y).alias("plain_loss")), "loss", "plain_loss")
+
+
+_IMAGE = """WITH q AS (SELECT vec_id, label, 4 * unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings), v AS (SELECT vec_id, label, i, x, CASE WHEN (i + label) % 9 = 0 THEN -100 ELSE ((i + label) % 3 = 1)::INT END AS y FROM q), k AS (SELECT *, 1 / (1 + exp(-x)) AS p, greatest(x, 0) - x * y + ln(1 + exp(-abs(x))) AS e FROM v WHERE y <> -100)"""
+
+
+def _logits(t: Tables) -> DataFrame:
+    pixels = t["embeddings"].select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    at = F.col("i") + F.col("label")
+    return pixels.select("vec_id", "label", "i", (4 * F.col("x").cast("double")).alias("x"), F.when(F.pmod(at, F.lit(9)) == 0, -100).otherwise((F.pmod(at, F.lit(3)) == 1).cast("int")).alias("y"))
+
+
+@query(_IMAGE + """, s AS (SELECT label, sum(p * y) AS h, sum(p) AS g, sum(y) AS n, avg(pow(1 - exp(-e), 2) * e) AS focal FROM k GROUP BY 1)
+SELECT label, round(focal, 6) AS focal, round(1 - 2 * h / (g + n), 6) AS dice, round(1 - h / (g + n - h), 6) AS jaccard, round(1 - h / (h + 0.3 * (g - h) + 0.7 * (n - h)), 6) AS tversky, round(focal + 1 - 2 * h / (g + n), 6) AS focal_dice FROM s""")
+def losses_by_name(t: Tables) -> DataFrame:
+    losses = {"focal": {}, "dice": {}, "jaccard": {}, "tversky": {"alpha": 0.3, "beta": 0.7}, "focal_dice": {}}
+    return rounded(_logits(t).groupBy("label").agg(*[M.by_name(n)(F.col("x"), F.col("y"), **o).alias(n) for n, o in losses.items()]), *losses)
+
+
+@query(_IMAGE + """, o AS (SELECT vec_id, y, 1 - x * (2 * y - 1) AS e, row_number() OVER w AS k, sum(y) OVER w AS h, sum(y) OVER (PARTITION BY vec_id) AS n FROM k WINDOW w AS (PARTITION BY vec_id ORDER BY 1 - x * (2 * y - 1) DESC, y DESC ROWS UNBOUNDED PRECEDING)),
+j AS (SELECT vec_id, k, e, 1 - (n - h) / (n + k - h) AS j FROM o) SELECT vec_id, round(sum(greatest(e, 0) * d), 6) AS loss FROM (SELECT vec_id, e, j - coalesce(lag(j) OVER (PARTITION BY vec_id ORDER BY k), 0) AS d FROM j) GROUP BY 1""")
+def lovasz_loss(t: Tables) -> DataFrame:
+    return rounded(M.lovasz_hinge(_logits(t), ["vec_id"], "x", "y"), "loss")
+
+
 def _pairs(t: Tables) -> DataFrame:
     base, held = _metrics(t), _metrics(t, 0.55)
     k = F.regexp_extract("source_tiff_id", r"(\d+)$", 1).cast("int")
@@ -518,14 +551,20 @@ def score_tiles(t: Tables) -> DataFrame:
     return overlap.score_tiles(tiles, lambda images, labels: images[..., 0] / images.max(axis=(1, 2, 3), initial=1)[:, None, None], batched=True).select("chip_id", F.round(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query()
+@query("""SELECT name, n AS n_rows, same FROM (SELECT count(*) AS n, count(*) FILTER (p_partkey % 50 = 1 AND p_size <> -1) = 0 AS held FROM part) x, LATERAL (VALUES ('part', TRUE, n), ('shuffled', TRUE, n), ('changed', held, n), ('repeated', n = 0, 2 * n), ('swapped', n < 2, n)) v(name, same, m), LATERAL (SELECT m) y(k)""".replace("n AS n_rows", "m AS n_rows"))
 def table_fingerprint(t: Tables) -> DataFrame:
-    """Fingerprints of a table, of its rows in another order, and of one with a changed row."""
-    part = t["part"]
-    changed = part.withColumn("p_size", F.when(F.col("p_partkey") == 1, -1).otherwise(F.col("p_size")))
-    tables = {"part": part, "shuffled": part.repartition(7, "p_name"), "changed": changed}
-    found = [hashing.table_fingerprint(df).withColumn("name", F.lit(name)) for name, df in tables.items()]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    """Whether fingerprints tell a table from its rows in another order, changed in some rows, twice, or with two swapped values."""
+    part = t["part"].select("p_partkey", "p_name", "p_size")
+    changed = part.withColumn("p_size", F.when(F.pmod("p_partkey", F.lit(50)) == 1, -1).otherwise(F.col("p_size")))
+    first, last = part.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    swapped = part.withColumn("p_partkey", F.when(F.col("p_partkey") == first, last).when(F.col("p_partkey") == last, first).otherwise(F.col("p_partkey")))
+    tables = {"part": part, "shuffled": part.repartition(7, "p_name"), "changed": changed, "repeated": part.unionByName(part), "swapped": swapped}
+    own = F.broadcast(hashing.table_fingerprint(part).select(F.struct("n_rows", "digest").alias("own")))  # one row
+    rows = None
+    for name, df in tables.items():
+        found = hashing.table_fingerprint(df).crossJoin(own).select(F.lit(name).alias("name"), "n_rows", F.struct("n_rows", "digest").eqNullSafe(F.col("own")).alias("same"))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
 
 
 from . import checks, files  # noqa: E402, F401

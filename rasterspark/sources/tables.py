@@ -289,18 +289,27 @@ def verify_views(spark: SparkSession, folds: DataFrame, path: str) -> DataFrame:
     return symmetric_difference(folds.where("selected"), spark.read.parquet(path), keys)
 
 
-def dense_pixels(pixels: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every pixel of each source (source_width, source_height): probability null and mask 255 where none is covered."""
-    place = F.explode(F.sequence(F.lit(0).cast("long"), F.col("source_height").cast("long") * F.col("source_width") - 1))
-    grid = sources.select("source_tiff_id", "source_width", place.alias("i"))
-    grid = grid.select("source_tiff_id", F.expr("CAST(i DIV source_width AS INT)").alias("row"), F.pmod("i", "source_width").cast("int").alias("col"))
-    out = grid.join(pixels.select("source_tiff_id", "row", "col", "probability", "mask"), ["source_tiff_id", "row", "col"], "left")
-    return out.withColumn("mask", F.coalesce("mask", F.lit(255)))
-
-
-def write_predictions(pixels: DataFrame, sources: DataFrame, path: str) -> None:
-    """Probability (null where uncovered) and mask (255 where uncovered) of all pixels, by source."""
-    dense_pixels(pixels, sources).repartition("source_tiff_id").write.partitionBy("source_tiff_id").parquet(path)
+def dense_blocks(blocks: DataFrame, sources: DataFrame, size: int | None = None) -> DataFrame:
+    """Blocks of every pixel of each source (source_width, source_height), as rows of raster files: band 1 the probability
+    (NaN where no tile lies), band 2 the mask (255 there). Sources without a block are there, too."""
+    from ..operators import blocks as B
+
+    keys, size = ["source_tiff_id"], size or B.BLOCK
+    whole = {"t_height": F.col("source_height"), "t_width": F.col("source_width"), **{c: F.lit(0 if c.startswith(("x0", "y0", "origin")) else 1) for c in B.GRID[2:]}}
+    grids = sources.select(*keys, *[c.alias(n) for n, c in whole.items()])
+    known_or = lambda gone: lambda x: F.coalesce(x.cast("double"), F.lit(gone))
+    bands = []
+    for band, layer, gone in ((1, "probability", float("nan")), (2, "mask", 255.0)):
+        found = B.aligned_blocks(blocks, grids, keys, layer, size=size)
+        bands.append(found.select(F.col("source_tiff_id").alias("source"), F.lit(band).alias("band"), "row_off", "col_off", "h", "w", F.transform(layer, known_or(gone)).alias("values")))
+    return bands[0].unionByName(bands[1])
+
+
+def write_predictions(blocks: DataFrame, sources: DataFrame, path: str, size: int | None = None) -> None:
+    """Raster files of the dense probabilities and masks of all sources."""
+    from . import rasters
+
+    rasters.write_files(dense_blocks(blocks, sources, size), "rasterblocks", path)
 
 
 def features(regions: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -19,12 +19,29 @@ def class_columns(remap: tuple[int, ...], ignore: int = X.IGNORE) -> list[int]:
 
 
 def tile_counts(tiles: DataFrame, classes: list[int], nodata: float = 0, ignore: int = X.IGNORE) -> DataFrame:
-    """Pixel counts of each tile from its arrays, without exploding or moving a pixel."""
-    n = lambda v: F.size(F.filter("label", lambda x: x == v)).cast("long")
-    pixels = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.slice("image", i * F.col("b") + 1, F.col("b")))
-    empty = F.size(F.filter(pixels, lambda p: X.is_nodata(p, nodata))).cast("long")
-    out = tiles.withColumn("total_pixel_count", (F.col("h") * F.col("w")).cast("long"))
-    out = out.withColumns({f"class_{v}_pixel_count": n(v) for v in classes}).withColumn("ignore_pixel_count", n(ignore)).withColumn("nodata_pixel_count", empty)
+    """Pixel counts of each tile beside its other columns; the arrays (image, label) are counted where they are read and
+    aren't moved on. A pixel is nodata if all its bands are."""
+    names = ["total_pixel_count", *[f"class_{v}_pixel_count" for v in classes], "ignore_pixel_count", "nodata_pixel_count"]
+    kept = [c for c in tiles.columns if c not in ("image", "label")]
+    schema = ", ".join([*[f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in kept], *[f"{n} long" for n in names]])
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            sizes = zip(*[cols[c].to_pylist() for c in ("h", "w", "b")], strict=True)
+            rows = []
+            for k, (h, w, b) in enumerate(sizes):
+                label, image = (cols[c][k].values.to_numpy(zero_copy_only=False) for c in ("label", "image"))
+                whole = min(h * w, len(image) // b) if b else 0  # an array that is too short has fewer pixels
+                empty = (image[: whole * b].reshape(whole, b) == nodata).all(axis=1)
+                rows.append([h * w, *[np.count_nonzero(label == v) for v in (*classes, ignore)], np.count_nonzero(empty)])
+            found = np.array(rows, np.int64).reshape(len(rows), len(names))
+            yield pa.record_batch([*[cols[c] for c in kept], *[pa.array(found[:, i]) for i in range(len(names))]], names=[*kept, *names])
+
+    out = tiles.select(*kept, "image", "label").mapInArrow(count, schema)
     return out.withColumn("nodata_pct", X.percentage(F.col("nodata_pixel_count"), F.col("total_pixel_count")))
 
 
@@ -271,6 +288,17 @@ def fold_summary(folds: DataFrame, *keys: str) -> DataFrame:
     return folds.where("selected").groupBy(*keys, "experiment_split").agg(F.count(F.lit(1)).alias("chips"), F.count_distinct("source_tiff_id").alias("sources"), F.count_distinct("region_id").alias("regions"), F.array_join(F.array_sort(F.collect_set("region_id")), ";").alias("region_ids"), F.min("acquisition_date").alias("first_date"), F.max("acquisition_date").alias("last_date"))
 
 
+def held_out_summary(chips: DataFrame, regions: list[str]) -> DataFrame:
+    """fold_summary() of all leave-one-region-out folds: chips are counted by source and role first, and these few rows
+    are what is copied for each held-out region."""
+    from .policy import held_out_folds
+
+    grid_place = F.when(X.on_grid(F.col("row_off"), F.col("col_off")), 0).otherwise(1)
+    roles = chips.groupBy("source_tiff_id", "region_id", "acquisition_date", "source_temporal_split", "selected_for_training", grid_place.alias("row_off")).agg(F.count(F.lit(1)).alias("n"))
+    folds = held_out_folds(roles.withColumns({"col_off": F.lit(0), "chip_id": F.lit("")}), regions)
+    return folds.where("selected").groupBy("fold_id", "experiment_split").agg(F.sum("n").alias("chips"), F.count_distinct("source_tiff_id").alias("sources"), F.count_distinct("region_id").alias("regions"), F.array_join(F.array_sort(F.collect_set("region_id")), ";").alias("region_ids"), F.min("acquisition_date").alias("first_date"), F.max("acquisition_date").alias("last_date"))
+
+
 def exclusion_counts(folds: DataFrame, *keys: str) -> DataFrame:
     return folds.groupBy(*keys, "selection_reason").agg(F.count(F.lit(1)).alias("chips"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks, grid
+from . import blocks
 
 
 def tile_faults(tiles: DataFrame) -> DataFrame:
@@ -34,12 +34,30 @@ def label_conflicts(pixels: DataFrame) -> DataFrame:
 
 
 def tile_diagnostics(tiles: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Metrics of each tile alone; they don't add up over overlaps."""
-    from ..functions.metrics import confusion, ratios
+    """Metrics of each tile alone, counted from its arrays without a shuffle; they don't add up over overlaps. Pixels
+    without a probability have no mask."""
+    from ..functions.exprs import IGNORE
+    from ..functions.metrics import COUNTS, ratios
 
-    pixels = grid.explode_pixels(tiles.select("chip_id", "row_off", "col_off", "w", "probability", "label"), "probability", "label")
-    pixels = pixels.withColumn("mask", (F.col("probability") >= threshold).cast("int"))
-    return pixels.groupBy("chip_id").agg(*confusion(F.col("label"), F.col("mask"))).select("*", *ratios()).withColumn("additive", F.lit(False))
+    kind = tiles.schema["chip_id"].dataType.simpleString()
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                p, label = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (1, 2))
+                known, mask = ~np.isnan(p.astype(float)), p.astype(float) >= threshold
+                cells = [np.count_nonzero((label == t) & (mask == m) & known) for t, m in ((0, False), (0, True), (1, False), (1, True))]
+                ignored = np.count_nonzero(label == IGNORE)
+                rows.append([*cells, np.count_nonzero(~np.isnan(label.astype(float))) - ignored, ignored, len(label)])
+            found = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
+            yield pa.record_batch([batch.column(0), *[pa.array(found[:, i]) for i in range(len(COUNTS))]], names=["chip_id", *COUNTS])
+
+    counted = tiles.select("chip_id", "probability", "label").mapInArrow(count, f"chip_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return counted.select("*", *ratios()).withColumn("additive", F.lit(False))
 
 
 def centre_crop(values: Column, padded_height: int, padded_width: int, height: Column, width: Column) -> Column:

@@ -66,7 +66,8 @@ def tile_content(tiles: DataFrame, chips: DataFrame, classes: list[int], dtype:
     from .aggregates import tile_counts
 
     counts = [*[f"class_{v}_pixel_count" for v in classes], "ignore_pixel_count", "nodata_pixel_count"]
-    t = tile_counts(tiles, classes, nodata).select("chip_id", "h", "w", (F.size("image") == F.col("h") * F.col("w") * F.col("b")).alias("whole"), X.in_dtype(F.col("image"), dtype).alias("fits"), *[F.col(c).alias(f"t_{c}") for c in counts])
+    whole, fits = F.size("image") == F.col("h") * F.col("w") * F.col("b"), X.in_dtype(F.col("image"), dtype)
+    t = tile_counts(tiles.select("chip_id", "h", "w", "b", whole.alias("whole"), fits.alias("fits"), "image", "label"), classes, nodata).select("chip_id", "h", "w", "whole", "fits", *[F.col(c).alias(f"t_{c}") for c in counts])
     out = chips.join(t, "chip_id", "left")
     return violations(out, "chip_id", missing_tile=F.col("h").isNull(), shape=(F.col("h") != F.col("chip_height")) | (F.col("w") != F.col("chip_width")) | ~F.col("whole"), dtype=~F.col("fits"), **{c: F.col(c) != F.col(f"t_{c}") for c in counts})
 

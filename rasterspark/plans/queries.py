@@ -215,7 +215,7 @@ def fold_leakage(t: Tables) -> DataFrame:
 SELECT fold_id, experiment_split, count(*) AS chips, count(DISTINCT source_tiff_id) AS sources, count(DISTINCT region_id) AS regions, string_agg(DISTINCT region_id, ';' ORDER BY region_id) AS region_ids, min(acquisition_date) AS first_date, max(acquisition_date) AS last_date
 FROM loro WHERE experiment_split <> '' GROUP BY 1, 2""")
 def fold_summary(t: Tables) -> DataFrame:
-    return A.fold_summary(policy.held_out_folds(_with_roles(t), REGIONS), "fold_id")
+    return A.held_out_summary(_with_roles(t), REGIONS)
 
 
 @query(duck(*C) + _ROLES + """,

@@ -168,7 +168,7 @@ def package_status(packages: DataFrame, conditions: dict[str, Column]) -> DataFr
 
 
 #: Evaluation scopes and the schema versions of their packages, and the tables that a package has.
-SCHEMA_VERSIONS = {"selected_nonoverlap": 2, "all_retained_test_chips": 3}
+SCHEMA_VERSIONS = {"selected_nonoverlap": 1, "all_retained_test_chips": 3}
 PACKAGE_TABLES = ("chip_diagnostics.csv", "tiff_metrics.csv", "region_metrics.csv")
 
 

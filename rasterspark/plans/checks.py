@@ -544,7 +544,7 @@ def prediction_plan(t: Tables) -> DataFrame:
     but = lambda name, c, wrong: F.when(breaks(name), wrong).otherwise(F.col(c))
     more = lambda name, c: F.when(breaks(name), F.col(c) + 1).otherwise(F.col(c))
     other = F.when(scope == "selected_nonoverlap", "all_retained_test_chips")  # and none, which stands for the first
-    version = F.when(breaks("schema_version"), 1).when(scope == "selected_nonoverlap", 2).otherwise(3)
+    version = F.when(breaks("schema_version"), 2).when(scope == "selected_nonoverlap", 1).otherwise(3)
     told = F.when(scope != "selected_nonoverlap", scope)
     metadata = F.struct(but("metadata_checkpoint", "checkpoint_sha256", "x").alias("checkpoint_sha256"), version.alias("schema_version"), but("metadata_folds", "fold_manifest_sha256", "x").alias("fold_manifest_sha256"), F.when(breaks("metadata_threshold"), 0.4).otherwise(0.5).alias("threshold"), F.when(breaks("metadata_scope"), other).otherwise(told).alias("evaluation_scope"))
     summary = F.struct(but("summary_checkpoint", "checkpoint_sha256", "x").alias("checkpoint_sha256"), but("summary_folds", "fold_manifest_sha256", "x").alias("fold_manifest_sha256"), F.when(~breaks("summary_threshold"), 0.5).alias("threshold"), more("test_chips", "test_chip_count").alias("test_chip_count"), more("test_tiffs", "test_tiff_count").alias("test_tiff_count"),

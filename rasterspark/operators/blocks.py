@@ -147,11 +147,21 @@ def reconstruct_blocks(tiles: DataFrame, keys: list[str], threshold: float = 0.5
     source = tiles.select(*keys, "row_off", "col_off", "h", "w", F.col("probability").cast("array<double>").alias("probability"), F.col("label").cast("array<int>").alias("label"))
 
     def add_up(row: int, col: int, pieces: Iterator[Piece]) -> dict:
-        total, count = np.zeros((size, size)), np.zeros((size, size), np.int32)
-        low, high, known, height, width = np.full((size, size), np.inf), np.full((size, size), -np.inf), np.zeros((size, size), np.int32), 0, 0
+        # sums, numbers of probabilities and of tiles, least and greatest label; they grow with what the pieces cover
+        fills = (0.0, 0, 0, np.inf, -np.inf)
+        held = [np.full((0, 0), fill) for fill in fills]
+        height = width = 0
         for piece in pieces:
             p, label = piece.layers
             h, w = p.shape
+            rows, cols = held[0].shape
+            if piece.row + h > rows or piece.col + w > cols:
+                rows, cols = (n if least <= n else min(size, max(least, 2 * n)) for n, least in ((rows, piece.row + h), (cols, piece.col + w)))
+                for k, fill in enumerate(fills):
+                    wider = np.full((rows, cols), fill, held[k].dtype)
+                    wider[: held[k].shape[0], : held[k].shape[1]] = held[k]
+                    held[k] = wider
+            total, known, count, low, high = held
             at = np.s_[piece.row : piece.row + h, piece.col : piece.col + w]
             some = ~np.isnan(p)
             total[at] += np.where(some, p, 0)
@@ -160,6 +170,7 @@ def reconstruct_blocks(tiles: DataFrame, keys: list[str], threshold: float = 0.5
             real = (label != IGNORE) & ~np.isnan(label)
             low[at], high[at] = np.minimum(low[at], np.where(real, label, np.inf)), np.maximum(high[at], np.where(real, label, -np.inf))
             height, width = max(height, piece.row + h), max(width, piece.col + w)
+        total, known, count, low, high = held
         here = np.s_[:height, :width]
         mean = np.where(known[here] > 0, total[here] / np.maximum(known[here], 1), np.nan)
         labelled = np.isfinite(high[here])

@@ -67,6 +67,13 @@ def explode_pixels(tiles: DataFrame, *arrays: str) -> DataFrame:
     return out.select("*", *[F.col(f"__p.{a}").alias(a) for a in arrays]).drop("__i", "__p")
 
 
+def raster_pixels(rasters: DataFrame, keys: list[str]) -> DataFrame:
+    """rasters: keys, source_height, source_width -> keys, row and col of every pixel of each raster, covered or not."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    some = rasters.select(*keys, "source_height", "source_width").distinct().where("source_height > 0 AND source_width > 0")
+    return some.withColumn("row", every("source_height")).withColumn("col", every("source_width")).select(*keys, "row", "col")
+
+
 def with_thresholds(groups: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """Every candidate for every row, without a join: the candidates are literals."""
     return groups.withColumn("threshold_pct", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))

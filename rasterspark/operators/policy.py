@@ -93,8 +93,9 @@ def recount(tiles: DataFrame, chips: DataFrame, nodata: float, classes: list[int
 
 def repair_labels(pixels: DataFrame, family: str, nodata: float = 0) -> DataFrame:
     """pixels: bands, label (family masked: set class 3 at nodata pixels; family aligned: 0 outside the source's label,
-    other values to 0/1, class 3 at nodata pixels)."""
+    other values to 0/1, class 3 at nodata pixels; a pixel whose bands are unknown is not nodata)."""
     empty = X.is_nodata(F.col("bands"), nodata)
+    empty = F.coalesce(empty, F.lit(False)) if family == "aligned" else empty
     other = F.col("label") if family == "masked" else F.when(F.col("label") == 1, 1).otherwise(0)
     return pixels.withColumn("is_nodata", empty).withColumn("label", F.when(empty, 3).otherwise(other))
 

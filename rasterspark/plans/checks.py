@@ -504,7 +504,8 @@ def label_repair(t: Tables) -> DataFrame:
     """Both families: class 3 at nodata pixels only, and a label whose grid lies two rows and a column off the image's."""
     pixels = overlap.reconstruct(t.tiles()).select("source_tiff_id", "row", "col", "label", F.array(F.floor(10 * F.col("probability")).cast("double")).alias("bands"))
     masked = policy.repair_labels(pixels, "masked", 5.0).withColumn("family", F.lit("masked"))
-    image = pixels.select("source_tiff_id", "row", "col", "bands", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
+    whole = grid.raster_pixels(t.tiles(), ["source_tiff_id"])  # a source that its tiles don't cover has all of its pixels, too
+    image = whole.join(pixels.drop("label"), ["source_tiff_id", "row", "col"], "left").select("*", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
     aligned = policy.rebuild_labels(image, pixels.drop("bands"), (-1.0, -2.0), (1.0, 1.0), 5.0).withColumn("family", F.lit("aligned"))
     both = masked.select("family", "source_tiff_id", "label", "is_nodata").unionByName(aligned.select("family", "source_tiff_id", "label", "is_nodata"))
     kelp = both.groupBy("family", "source_tiff_id").agg(F.count_if(F.col("label") == 1).alias("kelp"))

@@ -1,7 +1,8 @@
 """The given tables read as sources, chips, tiles, pixels, metrics and events.
 
-The views are SQL that Spark and DuckDB both take, so both sides of a comparison start from the same rows. Lines are dealt
-by order once, which serves their grouping and the join with the orders' sources alike (the hint is a comment to DuckDB).
+The views are SQL that Spark and DuckDB both take, so both sides of a comparison start from the same rows. In Spark lines
+are dealt by their source's name once (DEALT), to as many tasks as their number asks for. That serves their grouping, the
+join with the orders' sources and all later groupings of chips by source alike, and no task's share grows with the table.
 """
 
 from __future__ import annotations
@@ -35,6 +36,15 @@ FROM (SELECT s.*, c.*, c.l_linenumber AS chip_index, 512 * CAST(floor((c.l_linen
 SELECT user_id AS run_key, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id FROM events""",
 }
 
+#: What Spark reads instead in a view's text: the same rows, with the name of a line's source (line_source) as first key.
+DEALT = {
+    "chip_counts": [("SELECT l_orderkey, l_linenumber, 100 AS total", "SELECT line_source, l_orderkey, l_linenumber, 100 AS total"), ("SELECT l_orderkey, l_linenumber, CASE", "SELECT line_source, l_orderkey, l_linenumber, CASE"),
+                    ("/*+ REPARTITION(l_orderkey) */ l_orderkey", "line_source, l_orderkey"), ("FROM lineitem)", "FROM {dealt_lines})"), ("GROUP BY l_orderkey", "GROUP BY line_source, l_orderkey")],
+    "chips": [("ON s.source_no = c.l_orderkey", "ON s.source_tiff_id = c.line_source")],
+}
+#: Lines of a task at most, and at least where there are fewer tasks than shuffle partitions.
+LINES = (200_000, 20_000)
+
 
 class Tables:
     """The tables of a folder, and the views over them, as DataFrames."""
@@ -46,12 +56,20 @@ class Tables:
         if name not in self._seen:
             if name in TABLES:
                 self._seen[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif name == "dealt_lines":
+                lines = self["lineitem"].select(F.concat(F.lit("src_"), "l_orderkey").alias("line_source"), "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+                n, (most, least) = lines.count(), LINES  # from the files' footers
+                parts = max(1, -(-n // most), min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // least)))
+                self._seen[name] = lines.repartition(parts, "line_source")
             else:
                 text = VIEWS[name]
+                for old, new in DEALT.get(name, ()):
+                    assert old in text, old  # the view has changed
+                    text = text.replace(old, new)
                 for other in [*VIEWS, *TABLES]:
                     if other != name:
                         text = _named(text, other)
-                used = {o: self[o] for o in [*VIEWS, *TABLES] if f"{{{o}}}" in text}
+                used = {o: self[o] for o in ["dealt_lines", *VIEWS, *TABLES] if f"{{{o}}}" in text}
                 self._seen[name] = self.spark.sql(text, **used)
         return self._seen[name]
 

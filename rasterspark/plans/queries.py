@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import metrics as M
 from ..operators import aggregates as A
-from ..operators import blocks, grid, hashing, joins, overlap, policy, ranking, rules, sets
+from ..operators import blocks, grid, hashing, joins, overlap, policy, quantiles, ranking, rules, sets
 from ..sources import scratch
 from ..streaming import registry
 from .adapters import PIXELS, Tables, duck
@@ -426,9 +426,10 @@ def minmax_stretch(t: Tables) -> DataFrame:
 SELECT l_returnflag, count(*) AS n, round(avg(CASE WHEN l_discount <= 0 OR hi <= lo THEN 0 ELSE least(1.0, greatest(0.0, (l_extendedprice - lo) / (hi - lo))) END), 6) AS mean FROM lineitem JOIN q USING (l_returnflag) GROUP BY 1""")
 def percentile_stretch(t: Tables) -> DataFrame:
     rows = t["lineitem"]
-    ends = rows.where("l_discount > 0").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
-    value = X.clip_stretch(F.col("l_extendedprice"), F.col("q")[0], F.col("q")[1], F.col("l_discount") > 0)
-    return rounded(rows.join(ends, "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")), "mean")
+    found = quantiles.exact_quantiles(rows.where("l_discount > 0"), "l_returnflag", "l_extendedprice", (0.02, 0.98))
+    ends = found.groupBy("l_returnflag").agg(*[F.max(F.when(F.col("point") == p, F.col("l_extendedprice"))).alias(c) for c, p in (("lo", 0.02), ("hi", 0.98))])
+    value = X.clip_stretch(F.col("l_extendedprice"), F.col("lo"), F.col("hi"), F.col("l_discount") > 0)
+    return rounded(rows.join(F.broadcast(ends), "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")), "mean")
 
 
 @query(f"""WITH {PIXELS}, tg AS (SELECT DISTINCT source_tiff_id, s, i // 15 AS row, i % 15 AS col FROM cov, (SELECT unnest(range(225)) AS i) t),

@@ -6,23 +6,30 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import SF
-from rasterspark.operators import sets
 from rasterspark.plans import adapters
 from rasterspark.plans.queries import QUERIES
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Small tables are joined as large ones are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_chips_of_a_task_are_bounded(spark, monkeypatch):
+def test_chips_of_a_task_are_bounded(spark, monkeypatch, no_broadcast):
     """Many more tasks than shuffle partitions where there are more lines; adaptive execution doesn't put them together."""
     monkeypatch.setattr(adapters, "LINES", (200, 100))
     found = adapters.Tables(spark, SF)["chips"].groupBy(F.spark_partition_id().alias("p")).count().agg(F.count(F.lit(1)).alias("tasks"), F.max("count").alias("most")).first()
     assert found.tasks > 20 and found.most < 400
 
 
-def test_chips_stay_where_their_source_is(spark):
+def test_chips_stay_where_their_source_is(spark, no_broadcast):
     """Grouping chips by source needs no shuffle beyond those of the lines and of the sources."""
     chips = adapters.Tables(spark, SF)["chips"]
     assert plan(chips.groupBy("source_tiff_id").count()).count("Exchange hash") == plan(chips.select("source_tiff_id")).count("Exchange hash")

@@ -7,13 +7,26 @@ from pyspark.sql import functions as F
 
 
 def partition_faults(before: DataFrame, active: DataFrame, removed: DataFrame, key: str) -> DataFrame:
-    """Rows that break `active + removed = before`: in both parts, lost, added or changed."""
-    cols = before.columns
-    parts = active.select(*cols).unionByName(removed.select(*cols))
-    both = active.join(removed.select(key), key, "left_semi").select(F.lit("in_both").alias("fault"), F.col(key).cast("string").alias("key"))
-    lost = before.exceptAll(parts).select(F.lit("lost_or_changed").alias("fault"), F.col(key).cast("string").alias("key"))
-    new = parts.exceptAll(before).select(F.lit("added_or_changed").alias("fault"), F.col(key).cast("string").alias("key"))
-    return both.unionByName(lost).unionByName(new)
+    """Rows that break `active + removed = before`: in both parts (by key), lost, added or changed; as many as there are
+    copies. The copies of equal rows are counted on all sides at once, then the keys; rows that are dealt by one of their
+    columns already stay where they are for the first count."""
+    cols, sides = before.columns, (before, active, removed)
+    counted = [df.select(*cols, *[F.lit(int(k == i)).alias(f"__{k}") for k in range(3)]) for i, df in enumerate(sides)]
+    n, a, r = (F.col(f"__{k}") for k in range(3))
+    rows = counted[0].unionByName(counted[1]).unionByName(counted[2]).groupBy(*cols).agg(*[F.sum(f"__{k}").alias(f"__{k}") for k in range(3)])
+    more = lambda x, y: F.sum(F.greatest(x - y, F.lit(0)))
+    found = dealt(rows.select(F.col(key).alias("__key"), "__0", "__1", "__2"), "__key").groupBy("__key").agg(more(n, a + r).alias("lost"), more(a + r, n).alias("new"), F.sum(a).alias("a"), F.sum(r).alias("r"))
+    both = F.when((F.col("r") > 0) & F.col("__key").isNotNull(), F.col("a")).otherwise(0)
+    found = found.select("__key", both.alias("both"), "lost", "new").where("both > 0 OR lost > 0 OR new > 0")
+    copies = lambda name, c: F.array_repeat(F.lit(name), F.col(c).cast("int"))
+    faults = F.concat(copies("in_both", "both"), copies("lost_or_changed", "lost"), copies("added_or_changed", "new"))
+    return found.select(F.explode(faults).alias("fault"), F.col("__key").cast("string").alias("key"))
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the keys to all shuffle partitions: sorted names compress so well that small ones would be put
+    together to tasks of tens of millions of rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def added_rows(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
@@ -34,8 +47,11 @@ def set_difference(left: DataFrame, right: DataFrame, key: str, samples: int = 5
 
 
 def symmetric_difference(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    a, b = expected.select(*keys), found.select(*keys)
-    return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("unexpected")))
+    """Rows of one side without a like one on the other, as many as there are copies; both sides are counted at once."""
+    sides = expected.select(*keys, F.lit(1).alias("__n")).unionByName(found.select(*keys, F.lit(-1).alias("__n")))
+    differ = sides.groupBy(*keys).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    side = F.when(F.col("__n") > 0, "missing").otherwise("unexpected")
+    return differ.select(*keys, F.explode(F.array_repeat(side, F.abs("__n").cast("int"))).alias("side"))
 
 
 def with_global(rows: DataFrame, group: str, name: str = "global") -> DataFrame:

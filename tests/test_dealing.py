@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import SF
+from rasterspark.operators import sets
 from rasterspark.plans import adapters
 from rasterspark.plans.queries import QUERIES
 
@@ -37,3 +38,16 @@ def test_chips_stay_where_their_source_is(spark, no_broadcast):
 
 def test_percentiles_are_not_gathered_by_group(spark):
     assert "percentile(" not in plan(QUERIES["percentile_stretch"](spark, SF))
+
+
+def test_sides_are_counted_at_once(spark):
+    """As many faults as there are copies, from one pass over each side (and not one for each kind of fault)."""
+    before = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (None, "n")], "k long, v string")
+    active = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (4, "d")], "k long, v string")
+    removed = spark.createDataFrame([(2, "x"), (3, "c"), (None, "n")], "k long, v string")
+    found = sets.partition_faults(before, active, removed, "k")
+    assert plan(found).count("Scan") == 3
+    assert sorted(map(tuple, found.collect())) == sorted([("lost_or_changed", "1"), ("in_both", "2"), ("in_both", "2"), ("added_or_changed", "2"), ("added_or_changed", "2"), ("added_or_changed", "4")])
+    found = sets.symmetric_difference(before, active, ["k", "v"])
+    assert plan(found).count("Scan") == 2
+    assert {(r.k, r.side) for r in found.collect()} == {(1, "missing"), (2, "unexpected"), (3, "missing"), (4, "unexpected"), (None, "missing")} and found.count() == 5

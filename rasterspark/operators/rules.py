@@ -211,9 +211,9 @@ def selection_consistency(selection: DataFrame) -> DataFrame:
 
 
 def replay_faults(report: DataFrame, chips: DataFrame, threshold: str) -> DataFrame:
-    """The filter run again on the snapshot against the stored report."""
+    """The filter run again on the snapshot against the stored report; the source counts too where the report has it."""
     from .policy import filter_report
     from .sets import symmetric_difference
 
-    cols = ["chip_id", "action", "reason"]
+    cols = [*[c for c in ("source_tiff_id",) if c in report.columns], "chip_id", "action", "reason"]
     return symmetric_difference(filter_report(chips, threshold), report, cols)

@@ -370,7 +370,7 @@ def report_replay(t: Tables) -> DataFrame:
     report = policy.filter_report(t["chips"], "50")
     flip = {"remove": ("keep", "nodata_pct_at_or_below_threshold"), "keep": ("remove", "nodata_pct_above_threshold")}
     off = lambda i, c: F.when(F.pmod(k, F.lit(13)) == 1, F.when(F.col("action") == "remove", flip["remove"][i]).otherwise(flip["keep"][i])).otherwise(F.col(c))
-    stored = report.select("chip_id", off(0, "action").alias("action"), off(1, "reason").alias("reason"))
+    stored = report.select("source_tiff_id", "chip_id", off(0, "action").alias("action"), off(1, "reason").alias("reason"))
     return rules.replay_faults(stored, t["chips"], "50").select("chip_id", (F.col("action") == "remove").alias("removed"), "side")
 
 

@@ -12,6 +12,7 @@ from ..functions import exprs as X
 from ..functions.metrics import RATIOS
 from ..operators import aggregates as A
 from ..operators import blocks, grid, hashing, joins, overlap, policy, ranking, rules, sets
+from ..sources import scratch
 from .adapters import PIXELS, Tables, duck
 from .base import query, rounded
 from .queries import _CELLS, _METRICS, _RATIO, _ROLES, _SPLIT, C, S, _metrics, _with_roles
@@ -456,7 +457,7 @@ def manifest_pages(t: Tables) -> DataFrame:
 @query(duck(*C) + f""", k AS (SELECT DISTINCT {_K} AS k FROM chips)
 SELECT 'added' AS what, CAST(k AS VARCHAR) AS key FROM k WHERE k % 6 = 1 UNION ALL SELECT 'missing', CAST(k AS VARCHAR) FROM k WHERE k % 6 = 2 UNION ALL SELECT 'unexpected', CAST(-k AS VARCHAR) FROM k WHERE k % 6 = 3 UNION ALL SELECT 'outside', CAST(-k AS VARCHAR) FROM k WHERE k % 6 = 3""")
 def key_algebra(t: Tables) -> DataFrame:
-    k = t["chips"].select(number().alias("k")).distinct()
+    k = scratch.saved(t["chips"].select("source_tiff_id").distinct().select(number().alias("k")), "numbers")  # a name has one number
     m = F.pmod("k", F.lit(6))
     found = k.where(m != 2).unionByName(k.where(m == 3).select((-F.col("k")).alias("k")))
     parts = [sets.added_rows(k, k.where(m != 1), "k").select(F.lit("added").alias("what"), "k"), sets.symmetric_difference(k, found, ["k"]).select(F.col("side").alias("what"), "k"), sets.not_subset(found, k, "k").select(F.lit("outside").alias("what"), "k")]

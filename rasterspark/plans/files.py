@@ -189,7 +189,7 @@ def region_rings(t: Tables) -> DataFrame:
 def incremental_sources(t: Tables) -> DataFrame:
     """Sources without a completion are processed, once: the second call finds nothing to do."""
     path = scratch.path(t.spark, "completions")
-    work = t["chips"].select(number().alias("k")).distinct()
+    work = scratch.saved(t["chips"].select("source_tiff_id").distinct().select(number().alias("k")), "work")  # a name has one number
     work.where(F.pmod("k", F.lit(4)) == 1).withColumn("before", F.lit(True)).write.parquet(path)
     done = lambda: t.spark.read.schema("k long, before boolean").parquet(path)
     for _ in range(2):

@@ -304,11 +304,14 @@ def exclusion_counts(folds: DataFrame, *keys: str) -> DataFrame:
 
 
 def selected_inventory(folds: DataFrame, files: DataFrame) -> DataFrame:
-    """Chips, sources and bytes by split, and by split with region, source, date or class."""
-    rows = folds.where("selected").join(files.select("chip_id", "byte_size"), "chip_id", "left")
+    """Chips, sources and bytes by split, and by split with region, source, date or class. Chips are summed by all of
+    these first, so only sums are copied for each grouping."""
+    of = ("experiment_split", "source_tiff_id", "region_id", "acquisition_date", "class_presence")
+    rows = folds.where("selected").select("chip_id", *of).join(files.select("chip_id", "byte_size"), "chip_id", "left")
+    rows = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.sum("byte_size").alias("byte_size"))
     groups = {"split": F.lit(""), "region": F.col("region_id"), "source": F.col("source_tiff_id"), "date": F.col("acquisition_date").cast("string"), "class": F.col("class_presence")}
     rows = rows.withColumn("g", F.explode(F.array(*[F.struct(F.lit(k).alias("grouping"), v.alias("value")) for k, v in groups.items()])))
-    return rows.groupBy("experiment_split", F.col("g.grouping").alias("grouping"), F.col("g.value").alias("value")).agg(F.count(F.lit(1)).alias("chips"), F.count_distinct("source_tiff_id").alias("sources"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
+    return rows.groupBy("experiment_split", F.col("g.grouping").alias("grouping"), F.col("g.value").alias("value")).agg(F.sum("n").alias("chips"), F.count_distinct("source_tiff_id").alias("sources"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
 
 
 def coverage_summary(pairs: DataFrame) -> DataFrame:

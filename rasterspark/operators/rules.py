@@ -41,24 +41,36 @@ def unique_key(rows: DataFrame, key: str, exact: bool = False) -> DataFrame:
 
 def count_algebra(chips: DataFrame, strict: bool = True) -> DataFrame:
     """strict: nodata within ignored pixels (selection); else within all (filter)."""
+    return violations(chips, "chip_id", **count_rules(strict))
+
+
+def count_rules(strict: bool = True) -> dict[str, Column]:
     total, ign, nd = F.col("total_pixel_count"), F.col("ignore_pixel_count"), F.col("nodata_pixel_count")
     classes = F.col("class_0_pixel_count") + F.col("class_1_pixel_count")
     negative = (F.least("class_0_pixel_count", "class_1_pixel_count", "ignore_pixel_count", "nodata_pixel_count") < 0)
-    return violations(chips, "chip_id", no_pixels=total <= 0, negative_count=negative, class_sum=classes + ign != total, nodata_over=nd > (ign if strict else total))
+    return {"no_pixels": total <= 0, "negative_count": negative, "class_sum": classes + ign != total, "nodata_over": nd > (ign if strict else total)}
 
 
 def stored_percentage(chips: DataFrame, rel: float = 1e-12, absolute: float = 1e-10) -> DataFrame:
+    return violations(chips, "chip_id", **percentage_rules(rel, absolute))
+
+
+def percentage_rules(rel: float = 1e-12, absolute: float = 1e-10) -> dict[str, Column]:
     fresh = X.percentage(F.col("nodata_pixel_count"), F.col("total_pixel_count"))
-    return violations(chips, "chip_id", nodata_pct=~X.close(F.col("nodata_pct"), fresh, rel, absolute))
+    return {"nodata_pct": ~X.close(F.col("nodata_pct"), fresh, rel, absolute)}
 
 
 def window_validity(chips: DataFrame, size: int, stride: int) -> DataFrame:
+    return violations(chips, "chip_id", **window_rules(size, stride))
+
+
+def window_rules(size: int, stride: int) -> dict[str, Column]:
     def bad(off, dim, out):
         small = F.col(dim) < size
         return F.when(small, (F.col(out) != F.col(dim)) | (F.col(off) != 0)).otherwise((F.col(out) != size) | (F.pmod(off, F.lit(stride)) != 0))
 
     inside = (F.col("row_off") >= 0) & (F.col("col_off") >= 0) & (F.col("row_off") + F.col("chip_height") <= F.col("source_height")) & (F.col("col_off") + F.col("chip_width") <= F.col("source_width"))
-    return violations(chips, "chip_id", outside=~inside, row_window=bad("row_off", "source_height", "chip_height"), col_window=bad("col_off", "source_width", "chip_width"), total=F.col("total_pixel_count") != F.col("chip_width").cast("long") * F.col("chip_height"))
+    return {"outside": ~inside, "row_window": bad("row_off", "source_height", "chip_height"), "col_window": bad("col_off", "source_width", "chip_width"), "total": F.col("total_pixel_count") != F.col("chip_width").cast("long") * F.col("chip_height")}
 
 
 def tile_content(tiles: DataFrame, chips: DataFrame, classes: list[int], dtype: str = "uint16", nodata: float = 0) -> DataFrame:

@@ -51,3 +51,8 @@ def test_sides_are_counted_at_once(spark):
     found = sets.symmetric_difference(before, active, ["k", "v"])
     assert plan(found).count("Scan") == 2
     assert {(r.k, r.side) for r in found.collect()} == {(1, "missing"), (2, "unexpected"), (3, "missing"), (4, "unexpected"), (None, "missing")} and found.count() == 5
+
+
+def test_rules_read_chips_once(spark):
+    """All rules of a table are held against a row at once."""
+    assert plan(QUERIES["chip_violations"](spark, SF)).count("lineitem") == 1

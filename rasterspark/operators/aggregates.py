@@ -75,16 +75,18 @@ def source_rollup(chips: DataFrame, size: int) -> DataFrame:
 def presence_rollup(selection: DataFrame) -> DataFrame:
     """scope (global, region, source) x class presence, selected and excluded sums; every class is there, 0 if unseen.
 
-    Sums are taken by source first, so only they, not the chips, are copied for the wider scopes.
+    Sums are taken by source first. Chips that are dealt by source are not moved for them, nor for their zeros; only sums
+    of regions are copied for the wider scopes.
     """
     chosen = F.col("selected_for_training")
     sums = [F.coalesce(F.sum(F.when(chosen if s == "selected" else ~chosen, F.col(c))), F.lit(0)).alias(f"{s}_{c}") for c in PIXELS for s in ("selected", "excluded")]
     per = selection.groupBy("region_id", "source_tiff_id", "class_presence").agg(F.count(F.lit(1)).alias("chips"), F.count_if(chosen).alias("selected_chips"), F.count_if(~chosen).alias("excluded_chips"), *sums)
     measures = ["chips", "selected_chips", "excluded_chips", *[f"{s}_{c}" for c in PIXELS for s in ("selected", "excluded")]]
-    rows = per.withColumn("level", F.explode(F.array(F.lit("global"), F.lit("region"), F.lit("source"))))
-    rows = rows.withColumn("region", F.when(F.col("level") != "global", F.col("region_id"))).withColumn("source", F.when(F.col("level") == "source", F.col("source_tiff_id")))
-    counts = rows.groupBy("level", "region", "source", "class_presence").agg(*_sums(tuple(measures)))
-    return grid.zero_filled(counts, ["level", "region", "source"], "class_presence", PRESENCE, measures)
+    by_source = grid.zero_filled(per, ["region_id", "source_tiff_id"], "class_presence", PRESENCE, measures)
+    by_region = per.groupBy("region_id", "class_presence").agg(*_sums(tuple(measures))).withColumn("level", F.explode(F.array(F.lit("global"), F.lit("region"))))
+    wider = by_region.groupBy("level", F.when(F.col("level") == "region", F.col("region_id")).alias("region"), "class_presence").agg(*_sums(tuple(measures)))
+    wider = grid.zero_filled(wider, ["level", "region"], "class_presence", PRESENCE, measures).withColumn("source", F.lit(None).cast("string"))
+    return by_source.withColumnsRenamed({"region_id": "region", "source_tiff_id": "source"}).withColumn("level", F.lit("source")).unionByName(wider).select("level", "region", "source", "class_presence", *measures)
 
 
 def filter_rollup(report: DataFrame) -> DataFrame:

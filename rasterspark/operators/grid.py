@@ -80,14 +80,11 @@ def with_thresholds(groups: DataFrame, thresholds: tuple[float, ...]) -> DataFra
 
 
 def zero_filled(counts: DataFrame, keys: list[str], category: str, values: tuple[str, ...], measures: list[str]) -> DataFrame:
-    """Every category for each key that there is, with 0 where nothing was counted."""
-    grid = counts.select(*keys).distinct().withColumn(category, F.explode(F.array(*map(F.lit, values))))
-    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, category)]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    joined = grid.alias("g").join(counts.alias("c"), on, "left")
-    return joined.select(*[F.col(f"g.{k}") for k in (*keys, category)], *[F.coalesce(f"c.{m}", F.lit(0)).alias(m) for m in measures])
+    """Every category for each key that there is, with 0 where nothing was counted. The categories of a key come together
+    in a row, so zeros need no join, and counts that are dealt by a key stay where they are."""
+    of = lambda v, m: F.coalesce(F.sum(F.when(F.col(category) == v, F.col(m))), F.lit(0)).alias(m)
+    rows = F.array(*[F.struct(F.lit(v).alias(category), *[of(v, m) for m in measures]) for v in values])
+    return counts.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, F.inline("__rows"))
 
 
 def per_held_out(rows: DataFrame, regions: list[str]) -> DataFrame:

@@ -56,3 +56,10 @@ def test_sides_are_counted_at_once(spark):
 def test_rules_read_chips_once(spark):
     """All rules of a table are held against a row at once."""
     assert plan(QUERIES["chip_violations"](spark, SF)).count("lineitem") == 1
+
+
+def test_sums_of_sources_are_not_moved(spark, no_broadcast):
+    """Sums by source and their zeros stay where the chips are; only sums of regions are shuffled."""
+    made = plan(QUERIES["class_presence_rollup"](spark, SF))
+    chips = plan(adapters.Tables(spark, SF)["chips"].select("source_tiff_id"))
+    assert made.count("Exchange hash") <= 2 * chips.count("Exchange hash") + 3

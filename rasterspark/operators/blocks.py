@@ -20,6 +20,8 @@ from .grid import explode_pixels
 
 #: Rows and columns of a block.
 BLOCK = 256
+#: Elements of arrays that a batch of rows goes on with: what a task's Python holds doesn't grow with its rows.
+CHUNK = 1 << 16
 #: Columns that place a block, and those that place a piece in its target.
 PLACE = ("block_row", "block_col", "row_off", "col_off", "h", "w")
 PIECE = ("target_row", "target_col", "at_row", "at_col", "h", "w")
@@ -65,7 +67,14 @@ def cut(df: DataFrame, keys: list[str], layers: list[str], pieces_of: Callable[[
     def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
-            rows, places, found = [], [], [[] for _ in layers]
+            rows, places, found, elements = [], [], [[] for _ in layers], 0
+
+            def cut_out():
+                picked = pa.array(rows, pa.int64())
+                cols = [col[c].take(picked) for c in keys] + [pa.array(c, pa.int32()) for c in (zip(*places, strict=True) if places else [()] * len(PIECE))]
+                cols += [col[c].take(picked) for c in carried]
+                return pa.record_batch([*cols, *map(listed, found, kinds)], names=[*keys, *PIECE, *carried, *layers])
+
             for k, values in enumerate(zip(*[col[c].to_pylist() for c in numbers], strict=True)):
                 row, own = dict(zip(numbers, values, strict=True)), None
                 for target_row, target_col, top, left, height, width, at_row, at_col in pieces_of(row):
@@ -74,10 +83,11 @@ def cut(df: DataFrame, keys: list[str], layers: list[str], pieces_of: Callable[[
                     places.append((target_row, target_col, at_row, at_col, height, width))
                     for out, array in zip(found, own, strict=True):
                         out.append(array[top : top + height, left : left + width])
-            picked = pa.array(rows, pa.int64())
-            cols = [col[c].take(picked) for c in keys] + [pa.array(c, pa.int32()) for c in (zip(*places, strict=True) if places else [()] * len(PIECE))]
-            cols += [col[c].take(picked) for c in carried]
-            yield pa.record_batch([*cols, *map(listed, found, kinds)], names=[*keys, *PIECE, *carried, *layers])
+                    elements += height * width
+                    if elements >= CHUNK:
+                        yield cut_out()
+                        rows, places, found, elements = [], [], [[] for _ in layers], 0
+            yield cut_out()
 
     return given.mapInArrow(cutter, schema)
 
@@ -94,7 +104,8 @@ def pasted(pieces: DataFrame, keys: list[str], layers: list[str], out: dict[str,
     def paste(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((batch, k) for batch in batches for k in range(batch.num_rows))
         name = lambda b, k: tuple(b.column(i)[k].as_py() for i in range(n + 2))
-        held = next(rows, None)
+        held, done, elements = next(rows, None), [], 0
+        joined = lambda: pa.record_batch([pa.concat_arrays(c) for c in zip(*done, strict=True)], names=[*keys, *out])
         while held:
             first, here = held, name(*held)
 
@@ -113,7 +124,13 @@ def pasted(pieces: DataFrame, keys: list[str], layers: list[str], out: dict[str,
             if got is not None:
                 cols = [first[0].column(i).slice(first[1], 1) for i in range(n)]
                 cols += [listed([got[c]], kinds[c]) if t.startswith("array") else pa.array([got[c]], kinds[c]) for c, t in out.items()]
-                yield pa.record_batch(cols, names=[*keys, *out])
+                done.append(cols)
+                elements += max(np.size(v) for v in got.values())
+                if elements >= CHUNK:
+                    yield joined()
+                    done, elements = [], 0
+        if done:
+            yield joined()
 
     return dealt.mapInArrow(paste, schema)
 

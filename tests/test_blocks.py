@@ -110,3 +110,25 @@ def test_windows_cut_from_blocks(spark, window, stride):
     chips = blocks.cut_windows(source, KEYS, ["label", "coverage"], window, stride).collect()
     got = [(r.source_tiff_id, r.row_off, r.col_off, i // r.w, i % r.w, v) for r in chips for i, (v, there) in enumerate(zip(r.label, r.coverage, strict=True)) if there]
     assert sorted(got) == want and all((r.h, r.w) == (min(window, 37), min(window, 41)) for r in chips)
+
+
+def test_batches_of_python_are_bounded(spark, monkeypatch):
+    """However many rows a batch brings, CHUNK elements and those of one more piece (or target) at most go on at once."""
+    monkeypatch.setattr(blocks, "CHUNK", 200)
+    tiles = tiles_of(spark, np.random.default_rng(5))
+    taken = []
+    with monkeypatch.context() as m:
+        m.setattr(type(tiles), "mapInArrow", lambda df, f, schema: taken.append((df, f)) or df)
+        blocks.cut(tiles, KEYS, ["probability"], blocks.to_blocks(7))
+    given, cutter = taken[0]
+    whole = given.toArrow().combine_chunks().to_batches()
+    sizes = [len(b.column("probability").flatten()) for b in cutter(whole)]
+    assert len(whole) == 1 and len(sizes) > 5 and max(sizes) < 200 + 7 * 7
+    assert sum(sizes) == sum(r.h * r.w for r in tiles.select("h", "w").collect())
+    pieces = spark.createDataFrame([("s", 0, c, 0, 0, 2, 3, [1.0] * 6) for c in range(300)], "source_tiff_id string, target_row int, target_col int, at_row int, at_col int, h int, w int, v array<double>")
+    with monkeypatch.context() as m:
+        m.setattr(type(tiles), "mapInArrow", lambda df, f, schema: taken.append((df, f)) or df)
+        blocks.pasted(pieces, KEYS, ["v"], {"v": "array<double>"}, lambda row, col, found: {"v": np.concatenate([p.layers[0] for p in found])})
+    dealt, paste = taken[1]
+    rows = [b.num_rows for b in paste(dealt.toArrow().combine_chunks().to_batches())]
+    assert sum(rows) == 300 and max(rows) == 34 and len(rows) == 9

@@ -89,14 +89,17 @@ def threshold_examples(chips: DataFrame, thresholds: tuple[float, ...], per_side
 def qa_sample(rows: DataFrame, groups: list[str], order: list[str], key: str, partial: Column) -> DataFrame:
     """The first row of each value of each grouping column, and every partial chip; each key once.
 
-    The first row of a group is a partial aggregate, not a sort of the group.
+    The first row of a group is a partial aggregate, not a sort of the group. Both sides of the join are dealt to all
+    shuffle partitions (sets.dealt).
     """
+    from .sets import dealt
+
     first = F.min_by(key, F.struct(*order, key))
     keys = [rows.groupBy(g).agg(first.alias(key)).select(key) for g in groups]
     wanted = rows.where(partial).select(key)
     for k in keys:
         wanted = wanted.unionByName(k)
-    return rows.join(wanted.distinct(), key, "left_semi")
+    return dealt(rows, key).join(dealt(wanted, key).distinct(), key, "left_semi")
 
 
 def seeded_sample(rows: DataFrame, key: str, seed: int, k: int) -> DataFrame:

@@ -63,3 +63,12 @@ def test_sums_of_sources_are_not_moved(spark, no_broadcast):
     made = plan(QUERIES["class_presence_rollup"](spark, SF))
     chips = plan(adapters.Tables(spark, SF)["chips"].select("source_tiff_id"))
     assert made.count("Exchange hash") <= 2 * chips.count("Exchange hash") + 3
+
+
+def test_sampled_rows_are_dealt_to_all_partitions(spark, no_broadcast):
+    """Adaptive execution puts no partitions of the sample's join together, however small their files are."""
+    from rasterspark.operators import ranking
+
+    rows = spark.range(400).select(F.concat(F.lit("c"), "id").alias("chip_id"), (F.col("id") % 3).alias("g"))
+    found = ranking.qa_sample(rows, ["g"], ["chip_id"], "chip_id", F.col("g") == 1)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() == 4 and found.count() == 133 + 2

@@ -6,14 +6,19 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table that an operator may mark for broadcast: its counted rows times what a row of its columns takes.
+#: Largest table that an operator may mark for broadcast: its counted rows times what a row takes in a hash table.
 BROADCAST_BYTES = 16 << 20
 #: Rows of an Arrow batch; texts are long, so a batch stays small.
 ARROW_ROWS = 1_000
+#: Least and most bits (powers of two) of a filter of hashes that goes to every task, and bits for each hash: 1 MB for
+#: half a million hashes, 32 MB for 16 million and more, where it lets more pass.
+FILTER_BITS, MOST_BITS, BITS_EACH = 1 << 23, 1 << 28, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null document id inside the operators; results show null again.
 NO_ID = -(2**63)
@@ -69,14 +74,51 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_bytes(df: DataFrame) -> int:
-    """What a row takes, by the types of its columns; texts and hashes are short where an operator joins with them."""
-    sizes = {"boolean": 1, "int": 4, "bigint": 8, "double": 8, "binary": 256}
-    return sum(sizes.get(f.dataType.simpleString(), 128) for f in df.schema)
+    """What a row takes in the hash table of a broadcast: its columns, by their types (texts and hashes are short where an
+    operator joins with them), and 16 bytes about them, in pages that may be half full, with 64 bytes of slots."""
+    sizes = {"binary": 264, **dict.fromkeys(("boolean", "tinyint", "int", "bigint", "double"), 8)}
+    return 64 + 2 * (16 + sum(sizes.get(f.dataType.simpleString(), 136) for f in df.schema))
+
+
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    return rows * row_bytes(df) <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Marks df for broadcast only where its counted rows are within BROADCAST_BYTES; else Spark joins by shuffle."""
-    return F.broadcast(df) if rows * row_bytes(df) <= BROADCAST_BYTES else df
+    """Marks df for broadcast only where its counted rows are within BROADCAST_BYTES; else for a join by shuffle, for
+    Spark may take a table for small by its compressed files."""
+    return F.broadcast(df) if fits_broadcast(df, rows) else df.hint("merge")
+
+
+def bit_set(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bits, as 64-bit words, that are set where a hash (column h, n of them) has its last bits."""
+    size = min(MOST_BITS, max(FILTER_BITS, 1 << (BITS_EACH * n).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    bits = hashes.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    words = np.zeros(size // 64, np.int64)
+    found = bits.toArrow()  # MOST_BITS / 64 pairs of numbers at most, as columns
+    words[np.asarray(found["w"])] = np.asarray(found["b"])
+    return words
+
+
+def in_bit_set(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(64 * len(words) - 1)
+    return (words.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def with_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows: doc, text_hash, text; wanted: doc, text_hash, set, saved -> their join. Where wanted is not small, a filter
+    of its hashes leaves out almost all other rows before they are shuffled; it may let some pass, and loses none."""
+    n = wanted.count()
+    if fits_broadcast(wanted, n):
+        return rows.join(F.broadcast(wanted), ["doc", "text_hash"])
+    shared = rows.sparkSession.sparkContext.broadcast(bit_set(wanted.select(F.col("text_hash").alias("h")), n))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bit_set(shared.value, hashes.to_numpy().view(np.uint64)))
+
+    return rows.where(maybe("text_hash")).join(wanted.hint("merge"), ["doc", "text_hash"])
 
 
 def broadcast_measured(df: DataFrame) -> DataFrame:

@@ -14,13 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, broadcast_measured, id_or_default, read_table, saved, small_batches, spare
+from .common import ascii_lower, bit_set, broadcast_if_small, broadcast_measured, id_or_default, in_bit_set, read_table, saved, small_batches, spare
 from .words import Piece, pieces
 
 WINDOW, SHINGLE = 13, 3
-#: Least and most bits (powers of two) of the filter of shingles that goes to every task, and bits for each shingle:
-#: 1 MB for half a million shingles, 32 MB for 16 million and more, where it passes more words on for the exact comparison.
-FILTER_BITS, MOST_BITS, BITS_EACH = 1 << 23, 1 << 28, 16
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -52,19 +49,12 @@ def shingles_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def bit_filter(hashes: DataFrame, n: int) -> tuple[np.ndarray, list[int]]:
     """A bit set over the hashes (column h, n of them), and the widths k among them."""
-    size = min(MOST_BITS, max(FILTER_BITS, 1 << (BITS_EACH * n).bit_length()))
-    place = F.col("h").bitwiseAND(F.lit(size - 1))
-    bits = hashes.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    words = np.zeros(size // 64, np.int64)
-    found = bits.toArrow()  # MOST_BITS / 64 pairs of numbers at most, as columns
-    words[np.asarray(found["w"])] = np.asarray(found["b"])
-    return words, [r.k for r in hashes.select("k").distinct().collect()]
+    return bit_set(hashes, n), [r.k for r in hashes.select("k").distinct().collect()]
 
 
 def matches(piece: Piece, k: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = piece.shingles(k)
-    place = hashes & np.uint64(64 * len(words) - 1)
-    hit = (words.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    hit = in_bit_set(words, hashes)
     return hashes[hit], at[hit]
 
 

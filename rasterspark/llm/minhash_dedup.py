@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Table, broadcast_if_small, id_or_default, read_table, saved, small_batches
+from .common import NO_ID, Table, broadcast_if_small, id_or_default, read_table, saved, small_batches, with_wanted
 from .components import components
 from .ngram_join import grouped, intersections, roots_of, set_of
 from .words import SPACED, mix, pieces
@@ -261,7 +261,7 @@ def candidate_classes(sets: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame
 def texts_of(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """set, text of the wanted sets; a text that rows repeat may stand more than once."""
     named = saved(sets.select("set", "doc", "text_hash").join(wanted, "set", "left_semi"), "wanted-texts")
-    return rows.join(broadcast_if_small(named, named.count()), ["doc", "text_hash"]).select("set", "text")
+    return with_wanted(rows, named).select("set", "text")
 
 
 def verified_links(rows: DataFrame, sets: DataFrame, classes: DataFrame, homes: DataFrame, plan: Plan) -> DataFrame:

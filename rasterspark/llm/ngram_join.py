@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Table, broadcast_if_small, id_or_default, read_table, saved, small_batches, spare
+from .common import NO_ID, Table, broadcast_if_small, id_or_default, read_table, saved, small_batches, spare, with_wanted
 from .components import components
 from .words import mix, pieces, shingle_hash
 
@@ -290,11 +290,12 @@ def chosen_path_ties(sets: DataFrame, plan: Plan, first: int, runs: int) -> tupl
     n_sets = sets.count()
     while True:
         sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        live = Table(paths.join(sizes, "node"), f"paths-{depth}").read()
+        live = Table(paths.join(sizes.hint("merge"), "node"), f"paths-{depth}").read()
         nodes = live.where(F.col("n") <= NODE).select("node", F.lit(0).cast("long").alias("part"), "set", "pivot")
         parts = F.ceil(F.col("n") / (NODE // 2))
-        large = live.where(F.col("n") > NODE)
-        rows, dealt = large.agg(F.count(F.lit(1)), F.coalesce(F.sum(parts), F.lit(0))).first()
+        is_large = F.col("n") > NODE
+        large = live.where(is_large)
+        n_live, rows, dealt = live.agg(F.count(F.lit(1)), F.count_if(is_large), F.coalesce(F.sum(F.when(is_large, parts)), F.lit(0))).first()
         # what splitting hardly parts, or makes no more rows than there are sets, is compared whole: all pairs of its parts
         last = dealt <= n_sets or (before is not None and 2 * rows > before)
         if last and rows:
@@ -303,14 +304,15 @@ def chosen_path_ties(sets: DataFrame, plan: Plan, first: int, runs: int) -> tupl
             pairs = pairs.select(F.xxhash64("node", F.least("part", "b"), F.greatest("part", "b")).alias("node"), "part", "set", "pivot")
             nodes = nodes.unionByName(pairs)
         count = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        compared = nodes.join(sets.select("set", "sketch"), "set").select("node", "part", "set", "pivot", "sketch")
+        in_nodes = n_live - rows + (dealt if last else 0)
+        compared = broadcast_if_small(nodes, in_nodes).join(sets.select("set", "sketch"), "set").select("node", "part", "set", "pivot", "sketch")
         compared = compared.repartition(count, "node").sortWithinPartitions("node", "set")
         ties.append(Table(compared.mapInArrow(node_ties(plan.least, plan.fringe, plan.meet), "u long, v long"), "ties").read())
         if last:
             return ties, depth
         picks = [F.pmod(F.xxhash64(F.col("node"), F.lit(f"pick-{k}")), F.lit(SKETCH)).cast("int") for k in range(PICKS)]
         children = F.array_distinct(F.array(*[F.xxhash64("node", at, token(F.col("sketch"), at)) for at in picks]))
-        paths = large.join(sets.select("set", "sketch"), "set").select(F.explode(children).alias("node"), "set", "pivot")
+        paths = broadcast_if_small(large, rows).join(sets.select("set", "sketch"), "set").select(F.explode(children).alias("node"), "set", "pivot")
         depth, before = depth + 1, rows
 
 
@@ -318,7 +320,7 @@ def candidate_classes(sets: DataFrame, plan: Plan) -> DataFrame:
     """set, class: sets that runs tie together, directly or by others; each pair at the similarity is in one class but
     for a chance under 1 - recall."""
     homes = followers(sets, plan)
-    sets = saved(sets.join(homes, "set", "left"), "path-sets")
+    sets = saved(sets.join(broadcast_if_small(homes, homes.count()), "set", "left"), "path-sets")
     ties, done, missed, ahead = [homes.select(F.col("set").alias("u"), F.col("home").alias("v"))], 0, 1.0, 1
     while runs := plan.runs(missed, ahead):
         more, depth = chosen_path_ties(sets, plan, done, runs)
@@ -332,7 +334,7 @@ def candidate_classes(sets: DataFrame, plan: Plan) -> DataFrame:
 def exact_links(rows: DataFrame, sets: DataFrame, classes: DataFrame, similarity: tuple[int, int], plan: Plan) -> DataFrame:
     """rows: doc, text_hash, text; sets: set, doc, text_hash, bytes, sketch -> set, n, root: the links that a pair of
     blocks gives a set, and another set that they join it to."""
-    members = sets.join(classes, "set").select("class", "set", "doc", "text_hash", "bytes", "sketch")
+    members = sets.join(broadcast_if_small(classes, classes.count()), "set").select("class", "set", "doc", "text_hash", "bytes", "sketch")
     members = saved(members, "members")
     sizes = members.groupBy("class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("parts"))
     sizes = saved(sizes.where("parts > 1"), "class-sizes")  # a class in one block needs no row here
@@ -343,10 +345,10 @@ def exact_links(rows: DataFrame, sets: DataFrame, classes: DataFrame, similarity
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = lambda df: df.repartition(count, "class", "i", "j").sortWithinPartitions("class", "i", "j")
     found = saved(blocks(dealt).mapInArrow(block_candidates(plan.least), "class long, i int, j int, block int, set long"), "block-candidates")
-    wanted = members.join(found.select("set").distinct(), "set", "left_semi").select("doc", "text_hash", "set")
-    wanted = saved(wanted, "wanted-texts")
-    texts = rows.join(broadcast_if_small(wanted, wanted.count()), ["doc", "text_hash"]).select("set", "text")
-    links = blocks(found.join(texts, "set").select("class", "i", "j", "block", "set", "text")).mapInArrow(block_links(similarity), "set long, n long, root long")
+    n = found.count()
+    wanted = members.join(broadcast_if_small(found.select("set").distinct(), n), "set", "left_semi").select("doc", "text_hash", "set")
+    texts = with_wanted(rows, saved(wanted, "wanted-texts")).select("set", "text")
+    links = blocks(broadcast_if_small(found, n).join(texts, "set").select("class", "i", "j", "block", "set", "text")).mapInArrow(block_links(similarity), "set long, n long, root long")
     return saved(links, "links")
 
 
@@ -365,10 +367,13 @@ def classified(docs: DataFrame, similarity: tuple[int, int], recall: float) -> D
     classes = candidate_classes(sets.select("set", "sketch"), plan)
     links = exact_links(rows, sets, classes, similarity, plan)
     roots = components(links.select(F.col("set").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("set"), "root")
-    joined = saved(sets.select("set", "name").join(roots, "set").join(links.groupBy("set").agg(F.sum("n").alias("n_links")), "set"), "linked-sets")
+    n = links.count()  # at least a row for each set with links
+    counts = links.groupBy("set").agg(F.sum("n").alias("n_links"))
+    joined = saved(sets.select("set", "name").join(broadcast_if_small(roots, n), "set").join(broadcast_if_small(counts, n), "set"), "linked-sets")
+    n = joined.count()
     keeps = joined.groupBy("root").agg(F.min("name").alias("keep"))
-    linked = joined.join(keeps, "root").select("set", "n_links", "keep")
-    per_set = sets.select("set", "print", "name", "n_copies").join(linked, "set", "left")
+    linked = joined.join(broadcast_if_small(keeps, n), "root").select("set", "n_links", "keep")
+    per_set = sets.select("set", "print", "name", "n_copies").join(broadcast_if_small(linked, n), "set", "left")
     per_set = per_set.select("print", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("keep", "name").alias("keep"))
     out = sketched.select("doc", "text_hash", "print").join(per_set, "print", "left")
     return out.select("doc", "text_hash", F.col("keep.doc").alias("keep_doc"), F.col("keep.text_hash").alias("keep_hash"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import SF, assert_same, duck  # noqa: E402
 
-from rasterspark.llm import components, decontaminate, html_text, license_scan, line_dedup, mixing, ngram_join, quality_model, quality_rules, tool_calls, toxicity  # noqa: E402
+from rasterspark.llm import common, components, decontaminate, html_text, license_scan, line_dedup, minhash_dedup, mixing, ngram_join, quality_model, quality_rules, tool_calls, toxicity  # noqa: E402
 from rasterspark.llm.queries import ORACLES, QUERIES  # noqa: E402
 from rasterspark.llm.words import LETTERS, SPACED, pieces  # noqa: E402
 
@@ -741,3 +741,33 @@ def test_mixing_draws_of_many_blocks(spark):
     assert abs(k - 524_288) < 2 and time.perf_counter() - began < 20
     spread = docs(spark, *[f"text {k}" for k in range(3000)]).withColumn("doc_id", F.lit(None).cast("long"))
     assert mixing.planned(spread).select("key").distinct().count() == 3000
+
+
+def test_broadcast_counts_the_hash_table(spark):
+    # a row of two numbers takes 16 bytes of values, but over 64 in the driver's hash table
+    few, probe = spark.range(9).selectExpr("id AS u", "id AS m"), spark.range(9).withColumnRenamed("id", "u")
+    for rows, wanted in ((100_000, "BroadcastHashJoin"), (500_000, "SortMergeJoin")):
+        plan = probe.join(common.broadcast_if_small(few, rows), "u")._jdf.queryExecution().sparkPlan().toString()
+        assert wanted in plan, rows
+
+
+@pytest.mark.parametrize("run", [ngram_join.near_classes, minhash_dedup.near_components], ids=lambda f: f.__name__)
+def test_joins_without_broadcast(spark, monkeypatch, run):
+    base = [" ".join(f"t{g}x{i}" for i in range(80)) for g in range(20)]
+    data = docs(spark, *(f"{text} end{k}" if k else text for text in base for k in range(4)), *base, *EDGE)
+    whole = sorted(map(tuple, run(data).collect()), key=str)
+    filtered, plain = [], common.bit_set
+    monkeypatch.setattr(common, "bit_set", lambda *a: filtered.append(1) or plain(*a))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, run(data).collect()), key=str) == whole and filtered
+
+
+def test_wanted_texts_are_filtered(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = spark.range(20_000).select(F.col("id").alias("doc"), F.xxhash64("id").alias("text_hash"), F.lit("x").alias("text"))
+    wanted = common.saved(rows.where("doc % 1000 = 7").select("doc", "text_hash", (F.col("doc") + 1).alias("set")), "wanted")
+    joined = common.with_wanted(rows, wanted)
+    assert "SortMergeJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r.set for r in joined.collect()) == list(range(8, 20_000, 1000))
+    passed = common.in_bit_set(common.bit_set(wanted.select(F.col("text_hash").alias("h")), 20), np.asarray(rows.select("text_hash").toArrow()["text_hash"]).view(np.uint64))
+    assert 20 <= passed.sum() < 60
